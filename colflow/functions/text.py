@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# One token of a statement: quoted text, a comment, blanks, plain text, or a
-# stray quote. Quoted text comes first so that nothing inside it is touched.
+# One token of a statement: quoted text, a run of blanks and comments, plain
+# text, or a single other character. Quoted text comes first so that nothing
+# inside it is touched. Possessive repeats: no backtracking on long texts.
+_COMMENT = r"--[^\n]*+|/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/"
 STATEMENT_TOKEN = (
-    r"'[^'\\]*(?:\\.[^'\\]*)*'"
-    r'|"[^"\\]*(?:\\.[^"\\]*)*"'
-    r"|`[^`]*`"
-    r"|--[^\n]*"
-    r"|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/"
-    r"|\s+"
-    r"|[^\s'\"`/-]+"
-    r"|."
+    r"'[^'\\]*+(?:\\[\s\S][^'\\]*+)*+'"
+    r'|"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"'
+    r"|`[^`]*+`"
+    rf"|(?:\s++|{_COMMENT})++"
+    r"|[^\s'\"`/-]++"
+    r"|[\s\S]"
 )
 BLANK_TOKEN = r"^(\s|--|/\*)"
 
@@ -23,16 +23,8 @@ BLANK_TOKEN = r"^(\s|--|/\*)"
 def normalize_statement(sql: Column) -> Column:
     """Collapse blanks and comments outside quotes; case is kept."""
     tokens = F.regexp_extract_all(sql, F.lit(STATEMENT_TOKEN), F.lit(0))
-    blanked = F.transform(tokens, lambda t: F.when(t.rlike(BLANK_TOKEN), F.lit(" ")).otherwise(t))
-    # a run of blank tokens collapses to one: keep a blank only after a non-blank
-    kept = F.filter(
-        F.transform(
-            blanked,
-            lambda t, i: F.when((i > 0) & (t == " ") & (F.get(blanked, i - 1) == " "), F.lit("")).otherwise(t),
-        ),
-        lambda t: t != "",
-    )
-    return F.regexp_replace(F.trim(F.array_join(kept, "")), r"[\s;]+$", "")
+    spaced = F.transform(tokens, lambda t: F.when(t.rlike(BLANK_TOKEN), F.lit(" ")).otherwise(t))
+    return F.regexp_replace(F.trim(F.array_join(spaced, "")), r"[\s;]+$", "")
 
 
 def fingerprint(sql: Column, default_schema: Column) -> Column:

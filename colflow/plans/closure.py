@@ -2,36 +2,36 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colflow.session import new_path
+from colflow.session import cut
+
+# rounds kept apart before they are written together, to keep plans short
+COMPACT_EVERY = 16
 
 
 def closure(starts: DataFrame, edges: DataFrame, within: list[str] | None = None) -> DataFrame:
     """Everything reachable from ``starts(*keys, at, is_derived)``, starts included.
 
     ``edges(*within, to_id, from_id, is_derived)``; a path is derived if any
-    edge on it is. Each round joins only the rows found in the round before
-    and appends what is new to a table in the shared folder, so a cycle ends
-    and a lost executor re-reads one round. Joins and the distinct shuffle by
-    hash; a hot vertex is split by adaptive execution's skew join.
+    edge on it is. Each round joins only the rows the round before found and
+    keeps what is new, so a cycle ends. Every round is checkpointed: the plan
+    does not grow, and a lost executor costs a re-read. A hot vertex is split
+    by adaptive execution's skew join; inside plans (``partitioned_by_plan``)
+    the rounds need no shuffle at all.
     """
-    spark = starts.sparkSession
     within = within or []
-    path = new_path(spark, "closure")
     columns = starts.columns
     step = edges.select(
         *within, F.col("to_id").alias("at"), F.col("from_id").alias("next"), F.col("is_derived").alias("step_derived")
     )
-    starts.distinct().write.parquet(f"{path}/round=0")
-
-    def read(rounds: str) -> DataFrame:
-        return spark.read.schema(starts.schema).parquet(f"{path}/{rounds}")
-
-    number = 0
-    while not (frontier := read(f"round={number}")).isEmpty():
-        # rows of the same key reached twice in a round collapse before the anti join
+    frontier = cut(starts.distinct())
+    rounds = [frontier]
+    while not frontier.isEmpty():
+        # rows reached twice in a round collapse before the anti join
         found = (
             frontier.join(step, [*within, "at"])
             .withColumn("is_derived", F.col("is_derived") | F.col("step_derived"))
@@ -39,10 +39,12 @@ def closure(starts: DataFrame, edges: DataFrame, within: list[str] | None = None
             .select(columns)
             .distinct()
         )
-        seen = read("round=*")
+        seen = reduce(DataFrame.unionAll, rounds)
         same = F.lit(True)
         for name in columns:
             same = same & F.col(f"f.{name}").eqNullSafe(F.col(f"s.{name}"))
-        number += 1
-        found.alias("f").join(seen.alias("s"), same, "left_anti").write.parquet(f"{path}/round={number}")
-    return read("round=*")
+        frontier = cut(found.alias("f").join(seen.alias("s"), same, "left_anti"))
+        rounds.append(frontier)
+        if len(rounds) > COMPACT_EVERY:
+            rounds = [cut(reduce(DataFrame.unionAll, rounds))]
+    return reduce(DataFrame.unionAll, rounds)

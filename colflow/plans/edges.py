@@ -24,7 +24,7 @@ from colflow.plans.flatten import (
     flatten_plans,
     subtree_stops,
 )
-from colflow.session import materialize
+from colflow.session import cut, partitioned_by_plan
 
 # Subquery expressions by what their plan gives to the outer expression.
 FIRST_OUTPUT = ["ScalarSubquery"]
@@ -40,9 +40,58 @@ def _scope(tree: str, lo: str, hi: str) -> Column:
     return F.expr(f"cast(array(named_struct('tree', {tree}, 'lo', {lo}, 'hi', {hi})) as {SCOPES})")
 
 
+# what every later step needs of a node; plan text and tokens stay behind
+NODE_COLUMNS = [
+    "plan_id", "tree", "node", "stop", "class", "link", "outer_join", "under_view", "schema", "table", "view",
+    "barrier", "nulls_at", "opaque_at", "scopes",
+]
+
+
+def _places(nodes: DataFrame) -> DataFrame:
+    inner = f"transform(lateral, (t, x) -> if(t.plan is not null, {EMBEDDED_TREE}, null))".replace("ord", "-1")
+    return nodes.select(*NODE_COLUMNS, "kids", F.expr(f"get(filter({inner}, t -> t is not null), 0)").alias("inner_tree"))
+
+
 def _definitions(nodes: DataFrame) -> DataFrame:
-    """One row per column a node makes from its own expressions."""
-    return nodes.select("*", F.inline("items")).drop("items", "kids", "lateral").filter(F.col("attr").isNotNull())
+    """One row per column a node makes from its own expressions, with the
+    attributes and embedded plans the expression uses."""
+    bare = "filter(tokens, t -> t.class not like '%.Alias')"
+    is_attribute = "(t.class like '%.AttributeReference' or t.class like '%.OuterReference')"
+    return (
+        nodes.select(*NODE_COLUMNS, F.inline("items"))
+        .filter("attr is not null")
+        .withColumn("bare", F.expr(bare))
+        .withColumn(
+            "is_derived",
+            F.expr(
+                f"not (size(bare) = 1 and exists(bare, t -> {is_attribute}))"
+                # a view casts each column to its declared type: direct if the type is kept
+                " and not (under_view and size(bare) = 2 and get(bare, 0).class like '%.Cast'"
+                "          and get(bare, 1).class like '%.AttributeReference'"
+                "          and get(bare, 0).dataType = get(bare, 1).dataType)"
+            ),
+        )
+        # the correlated columns listed under a subquery are not values it returns
+        .withColumn("ends", F.expr(
+            "if(exists(tokens, t -> t.plan is not null),"
+            f" {subtree_stops('transform(tokens, t -> t.`num-children`)')}, cast(array() as array<int>))"
+        ))
+        .withColumn("inside", F.expr(
+            "flatten(transform(tokens, (t, i) -> if(t.plan is not null and get(ends, i) > i,"
+            " sequence(i + 1, get(ends, i)), cast(array() as array<int>))))"
+        ))
+        .withColumn("reads", F.expr(
+            f"array_distinct(transform(filter(tokens, (t, x) -> {is_attribute} and not array_contains(inside, x)),"
+            " t -> coalesce(t.exprId.id, get(t.e, 0).exprId.id)))"
+        ))
+        .withColumn("embedded", F.expr(
+            "filter(transform(tokens, (t, x) -> if(t.plan is not null and not array_contains(inside, x),"
+            " struct(regexp_extract(t.class, '([A-Za-z]+)$', 1) as kind,"
+            f" {EMBEDDED_TREE} as tree), null)), e -> e is not null)"
+        ))
+        .withColumn("plain", F.size("tokens") == 0)
+        .drop("tokens", "bare", "ends", "inside")
+    )
 
 
 def _outputs(consumers: DataFrame, definitions: DataFrame) -> DataFrame:
@@ -59,12 +108,15 @@ def _outputs(consumers: DataFrame, definitions: DataFrame) -> DataFrame:
     )
 
 
-def _consumers(nodes: DataFrame) -> DataFrame:
-    """Subtrees whose columns are used by position."""
-    roots = nodes.filter("node = 0").selectExpr(
+def _roots(nodes: DataFrame) -> DataFrame:
+    return nodes.filter("node = 0").selectExpr(
         "plan_id", "tree", "0 as lo", "stop as hi", "'root' as use", "-1 as owner", "0 as branch",
         "cast(null as bigint) as link",
     )
+
+
+def _consumers(nodes: DataFrame) -> DataFrame:
+    """Subtrees whose columns are used by position."""
     kids = (
         nodes.filter(F.col("class").isin(*BY_POSITION, "UnionLoop", "CTERelationDef"))
         .select("plan_id", "tree", "class", "node", "link", F.posexplode("kids").alias("branch", "kid"))
@@ -74,62 +126,24 @@ def _consumers(nodes: DataFrame) -> DataFrame:
             "node as owner", "branch", "link",
         )
     )
-    return roots.unionByName(kids)
+    return _roots(nodes).unionByName(kids)
 
 
-def _lateral_definitions(nodes: DataFrame, definitions: DataFrame) -> DataFrame:
+def _lateral_definitions(places: DataFrame, definitions: DataFrame) -> DataFrame:
     """Columns a lateral join adds: the outputs of its embedded plan."""
-    joins = nodes.filter("lateral is not null").select(
-        *[c for c in definitions.columns if c not in ("ord", "alt", "attr", "name", "data_type", "tokens")],
-        F.posexplode("lateral").alias("x", "t"),
-        F.lit(-1).alias("ord"),
-    )
-    joins = joins.filter("t.plan is not null").withColumn("inner_tree", F.expr(EMBEDDED_TREE)).drop("x", "t", "ord")
-    roots = _consumers(nodes).filter("use = 'root' and tree <> '0'")
-    inner = _outputs(roots, definitions).select(
+    joins = places.filter("inner_tree is not null").drop("kids")
+    inner = _outputs(_roots(places).filter("tree <> '0'"), definitions).select(
         "plan_id", F.col("tree").alias("inner_tree"), F.col("hi").alias("inner_hi"), F.col("k").alias("ord"), "attr"
     )
-    return joins.join(inner, ["plan_id", "inner_tree"])
-
-
-_READ_COLUMNS = ["plan_id", "to_id", "attr", "is_derived", "scopes"]
+    return joins.join(inner, ["plan_id", "inner_tree"]).withColumn("alt", F.lit(0))
 
 
 def _expression_reads(definitions: DataFrame, outputs: DataFrame) -> list[DataFrame]:
-    """Attributes and subquery outputs used by each item's tokens."""
-    bare = "filter(tokens, t -> t.class not like '%.Alias' and t.class not like '%.OuterReference')"
-    d = (
-        definitions.filter(F.size("tokens") > 0)
-        .withColumn("bare", F.expr(bare))
-        .withColumn(
-            "is_derived",
-            F.expr(
-                "not (size(bare) = 1 and get(bare, 0).class like '%.AttributeReference')"
-                # a view casts each column to its declared type: direct if the type is kept
-                " and not (under_view and size(bare) = 2 and get(bare, 0).class like '%.Cast'"
-                "          and get(bare, 1).class like '%.AttributeReference' and get(bare, 0).dataType = get(bare, 1).dataType)"
-            ),
-        )
-        # the correlated columns listed under a subquery are not values it returns
-        .withColumn("ends", F.expr(
-            "if(exists(tokens, t -> t.plan is not null),"
-            f" {subtree_stops('transform(tokens, t -> t.`num-children`)')}, cast(array() as array<int>))"
-        ))
-        .withColumn("inside", F.expr(
-            "flatten(transform(tokens, (t, i) -> if(t.plan is not null and get(ends, i) > i,"
-            " sequence(i + 1, get(ends, i)), cast(array() as array<int>))))"
-        ))
-    )
-    tokens = d.select(
-        "plan_id", "tree", "node", "ord", _id().alias("to_id"), "is_derived", "scopes", "inside",
-        F.posexplode("tokens").alias("x", "t"),
-    )
-    attributes = tokens.filter(
-        "t.class like '%.AttributeReference' and not array_contains(inside, x)"
-    ).selectExpr("plan_id", "to_id", "t.exprId.id as attr", "is_derived", "scopes")
-    embedded = tokens.filter("t.plan is not null and not array_contains(inside, x)").selectExpr(
-        "plan_id", "to_id", "regexp_extract(t.class, '([A-Za-z]+)$', 1) as kind", f"{EMBEDDED_TREE} as tree"
-    )
+    """Attributes and subquery outputs used by each definition."""
+    attributes = definitions.select(
+        "plan_id", _id().alias("to_id"), F.explode("reads").alias("read"), "is_derived", "scopes"
+    ).withColumnRenamed("read", "attr")
+    embedded = definitions.select("plan_id", _id().alias("to_id"), F.inline("embedded"))
     roots = outputs.filter("use = 'root'").select("plan_id", "tree", "lo", "hi", "k", "attr")
     subquery_outputs = (
         embedded.filter(F.col("kind").isin(*FIRST_OUTPUT, *ALL_OUTPUTS))
@@ -221,17 +235,23 @@ def _resolve(reads: DataFrame, visible: DataFrame) -> DataFrame:
 
 
 class PlanGraph:
-    """The lineage tables of a set of plans, each written once and re-read."""
+    """The lineage tables of a set of plans: built with one shuffle of the
+    plans, everything after it joins inside plans."""
 
     def __init__(self, plans: DataFrame, stop_at_views: bool = False):
+        with partitioned_by_plan(plans.sparkSession):
+            self._build(plans, stop_at_views)
+
+    def _build(self, plans: DataFrame, stop_at_views: bool) -> None:
         self.plans = plans
-        self.nodes = flatten_plans(plans)
-        own = _definitions(self.nodes)
+        nodes = flatten_plans(plans)
+        places, own = cut(_places(nodes)), cut(_definitions(nodes))
         if stop_at_views:
-            own = own.withColumn("tokens", F.expr("if(under_view, filter(tokens, t -> false), tokens)"))
-        lateral = _lateral_definitions(self.nodes, own)
-        definitions = own.unionByName(lateral.withColumn("alt", F.lit(0)), allowMissingColumns=True)
-        outputs = materialize(_outputs(_consumers(self.nodes), definitions), "outputs")
+            for column in ("reads", "embedded"):
+                own = own.withColumn(column, F.expr(f"if(under_view, filter({column}, r -> false), {column})"))
+        lateral = _lateral_definitions(places, own)
+        definitions = own.unionByName(lateral, allowMissingColumns=True).drop("inner_tree", "inner_hi")
+        outputs = cut(_outputs(_consumers(places), definitions))
 
         lateral_reads = lateral.select(
             "plan_id", _id().alias("to_id"), "attr", F.col("outer_join").alias("is_derived"),
@@ -239,15 +259,14 @@ class PlanGraph:
         )
         set_definitions, positional = _positional_reads(own, outputs)
         reads = reduce(DataFrame.unionByName, [*_expression_reads(own, outputs), *positional, lateral_reads])
-        places = self.nodes.select("plan_id", "tree", "node", "barrier", "nulls_at", "opaque_at")
         visible = (
             definitions.select("plan_id", "tree", "node", "attr")
             .unionByName(set_definitions.drop("ord"))
             .distinct()
-            .join(places, ["plan_id", "tree", "node"])
+            .join(places.select("plan_id", "tree", "node", "barrier", "nulls_at", "opaque_at"), ["plan_id", "tree", "node"])
             .withColumnRenamed("node", "at")
         )
-        targets = (
+        targets = cut(
             plans.select(
                 "plan_id",
                 F.posexplode(F.from_json("output_json", "STRUCT<fields: ARRAY<STRUCT<name: STRING, type: STRING>>>").fields)
@@ -261,11 +280,11 @@ class PlanGraph:
         )
         opaque_leaves = own.filter(
             F.col("class").isin(RELATIONS) & F.col("table").isNull()
-            | ~F.col("class").isin(*RELATIONS, *CONSTANT_LEAVES, *REFERENCES) & (F.size("tokens") == 0) & ~F.col("under_view")
+            | ~F.col("class").isin(*RELATIONS, *CONSTANT_LEAVES, *REFERENCES) & F.col("plain")
             & (F.col("class") != "UnionLoop")
         ).select("plan_id", _id().alias("to_id"), F.lit(None).cast("string").alias("from_id"), F.lit(True).alias("is_derived"))
 
-        self.edges = materialize(_resolve(reads.unionByName(target_reads), visible).unionByName(opaque_leaves), "edges")
+        self.edges = cut(_resolve(reads.unionByName(target_reads), visible).unionByName(opaque_leaves))
         self.targets = targets.select(
             "plan_id",
             (F.col("k") + 1).cast("int").alias("target_ordinal"),

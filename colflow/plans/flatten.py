@@ -13,11 +13,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colflow.session import materialize
+from colflow.session import cut
 
 TOKEN = (
     "STRUCT<class: STRING, `num-children`: INT, name: STRING, exprId: STRUCT<id: BIGINT>,"
-    " dataType: STRING, plan: STRING>"
+    # an outer reference holds its attribute in a field, not as a child
+    " dataType: STRING, plan: STRING, e: ARRAY<STRUCT<exprId: STRUCT<id: BIGINT>>>>"
 )
 EXPRESSION = f"ARRAY<{TOKEN}>"
 NAMED_TABLE = "STRUCT<identifier: STRUCT<table: STRING, database: STRING>>"
@@ -203,13 +204,13 @@ def flatten_plans(plans: DataFrame) -> DataFrame:
 
     One pass per nesting depth of subqueries, over all plans at once.
     """
-    trees = plans.select(
+    trees = plans.repartition("plan_id").select(
         "plan_id", F.lit("0").alias("tree"), F.expr(f"cast(array() as {SCOPES})").alias("scopes"),
         F.col("plan_json").alias("json"),
     )
     levels = []
     while True:
-        nodes = materialize(_parse(trees), "plan_nodes")
+        nodes = cut(_parse(trees))
         levels.append(nodes)
         items = nodes.select(
             "plan_id", "tree", "node", "scopes",

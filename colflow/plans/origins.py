@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colflow.plans.closure import closure
-from colflow.session import materialize
+from colflow.plans.edges import PlanGraph
+from colflow.session import cut, materialize, partitioned_by_plan
 
 
 def column_origins(
@@ -15,7 +16,7 @@ def column_origins(
     """``(origins, unknown)``: source columns per output column, and the output
     columns some part of which could not be traced."""
     starts = targets.select(key, "target_ordinal", F.col("attr_id").alias("at"), F.lit(False).alias("is_derived"))
-    reached = closure(starts, attr_edges, [key])
+    reached = cut(closure(starts, attr_edges, [key]))
     unknown = reached.filter("at is null").select(key, "target_ordinal").distinct()
     found = reached.join(attr_bases.withColumnRenamed("attr_id", "at"), [key, "at"]).join(
         targets.select(key, "target_ordinal", "target_column", "data_type"), [key, "target_ordinal"]
@@ -55,13 +56,16 @@ def lineage_of_plans(plans: DataFrame, stop_at_views: bool = False) -> tuple[Dat
     An output column that is unknown has no origins: a partial list would
     look complete.
     """
-    from colflow.plans.edges import PlanGraph
-
     graph = PlanGraph(plans, stop_at_views)
-    origins, unknown = column_origins(graph.edges, graph.bases, graph.targets)
+    with partitioned_by_plan(plans.sparkSession):
+        origins, unknown = column_origins(graph.edges, graph.bases, graph.targets)
+    # small per-text tables: written, so that later joins know their size
     keys = ["plan_id", "target_ordinal"]
-    targets = materialize(origin_status(graph.targets, origins, unknown, keys).drop("attr_id"), "targets")
-    return targets, materialize(origins.join(unknown, keys, "left_anti"), "origins")
+    with partitioned_by_plan(plans.sparkSession):
+        origins, unknown = cut(origins), cut(unknown)
+        targets = materialize(origin_status(graph.targets, origins, unknown, keys).drop("attr_id"), "targets")
+        origins = materialize(origins.join(unknown, keys, "left_anti"), "origins")
+    return targets, origins
 
 
 def collapse_duplicate_targets(targets: DataFrame, key: str = "statement_id") -> DataFrame:

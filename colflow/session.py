@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +52,39 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` in the shared folder: the plan so far is done and
+    stored, and its partitioning stays known to the planner."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(work_dir(df.sparkSession))
+    return df.checkpoint()
+
+
+@contextmanager
+def partitioned_by_plan(spark: SparkSession):
+    """Settings for work inside plans: joins, windows and aggregations keyed by
+    (plan, ...) use a partitioning by plan, so a chain of them shuffles once.
+
+    Rows of one plan are few, hence no skew for adaptive execution to mend,
+    and with it off a checkpoint keeps its partitioning. Both join sides
+    already lie together, so nothing is broadcast.
+    """
+    settings = {
+        "spark.sql.requireAllClusterKeysForCoPartition": "false",
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back: cuts the plan, and a lost executor
     costs a re-read instead of a re-run of everything before."""

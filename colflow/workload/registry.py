@@ -910,5 +910,3 @@ def stream_lineage_edges(spark, sf):
 
 QUERIES["stream_lineage"] = QUERIES.pop("stream_lineage_edges")
 ORACLES["stream_lineage"] = ORACLES.pop("stream_lineage_edges")
-
-# SQL shared by both engines spells the text type "string", which DuckDB knows as an alias

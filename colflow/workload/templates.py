@@ -435,8 +435,8 @@ TEMPLATES: dict[str, Template] = {
         stop_at_views=True,
     ),
     "lateral": Template(
-        "select n_name, x.richest, x.raised from nation, lateral (select max(c_acctbal) as richest,"
-        " max(c_acctbal) + n_regionkey as raised from customer where c_nationkey = n_nationkey) x",
+        "select n_name, x.richest, y.raised from nation, lateral (select max(c_acctbal) as richest"
+        " from customer where c_nationkey = n_nationkey) x, lateral (select x.richest + n_regionkey as raised) y",
         """
         n_name <- nation.n_name
         richest <- customer.c_acctbal*
@@ -517,7 +517,7 @@ TEMPLATES: dict[str, Template] = {
         """,
     ),
     "fn_date": Template(
-        "select o_orderkey, date_trunc('month', o_orderdate) as month_start, extract(year from o_orderdate) as y,"
+        "select o_orderkey, cast(date_trunc('month', o_orderdate) as timestamp_ntz) as month_start, extract(year from o_orderdate) as y,"
         " o_orderdate + interval '1' day as next_day from {orders}",
         """
         o_orderkey <- orders.o_orderkey
