@@ -5,30 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# One token of a statement: quoted text, a run of blanks and comments, plain
-# text, or a single other character. Quoted text comes first so that nothing
-# inside it is touched. Possessive repeats: no backtracking on long texts.
-_COMMENT = r"--[^\n]*+|/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/"
-STATEMENT_TOKEN = (
+# A statement is a sequence of runs: text without blanks (quoted parts whole),
+# then blanks and comments. Possessive repeats: one pass, no backtracking.
+_QUOTED = (
     r"'[^'\\]*+(?:\\[\s\S][^'\\]*+)*+'"
     r'|"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"'
     r"|`[^`]*+`"
-    rf"|(?:\s++|{_COMMENT})++"
-    r"|[^\s'\"`/-]++"
-    r"|[\s\S]"
 )
-BLANK_TOKEN = r"^(\s|--|/\*)"
+_BLANKS = r"(?:\s++|--[^\n]*+|/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/)++"
+_TEXT = rf"(?:[^\s'\"`/-]++|{_QUOTED}|(?!--|/\*)\S)++"
+STATEMENT_RUN = rf"({_TEXT})(?:{_BLANKS})?+|{_BLANKS}"
 
 
 def normalize_statement(sql: Column) -> Column:
     """Collapse blanks and comments outside quotes; case is kept."""
-    tokens = F.regexp_extract_all(sql, F.lit(STATEMENT_TOKEN), F.lit(0))
-    spaced = F.transform(tokens, lambda t: F.when(t.rlike(BLANK_TOKEN), F.lit(" ")).otherwise(t))
-    return F.regexp_replace(F.trim(F.array_join(spaced, "")), r"[\s;]+$", "")
+    spaced = F.regexp_replace(sql, STATEMENT_RUN, "$1 ")
+    return F.regexp_replace(F.trim(spaced), r"[\s;]+$", "")
+
+
+def text_key(sql: Column, default_schema: Column) -> Column:
+    """Key of a statement exactly as written."""
+    return F.sha2(F.concat_ws("\n", F.coalesce(default_schema, F.lit("")), sql), 256)
 
 
 def fingerprint(sql: Column, default_schema: Column) -> Column:
-    return F.sha2(F.concat_ws("\n", F.coalesce(default_schema, F.lit("")), normalize_statement(sql)), 256)
+    """Key of a statement whatever its layout."""
+    return text_key(normalize_statement(sql), default_schema)
 
 
 def sql_type(json_type: Column) -> Column:

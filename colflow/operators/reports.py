@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colflow.plans.closure import closure
+from colflow.session import materialize
 
 SOURCE = ["source_schema", "source_table", "source_column"]
 
@@ -54,6 +55,7 @@ def top_columns(origins: DataFrame, k: int) -> DataFrame:
 def upstream_closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Base columns (nothing further up) behind each root, over any number of
     statements: ``edges(to_id, from_id, is_derived)``, ``roots(root)``."""
+    edges = materialize(edges, "edges")  # read once per round
     starts = roots.select("root", F.col("root").alias("at"), F.lit(False).alias("is_derived"))
     reached = closure(starts, edges)
     return reached.join(edges.select(F.col("to_id").alias("at")).distinct(), "at", "left_anti").select(
@@ -63,7 +65,9 @@ def upstream_closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 def downstream_impact(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Every column a change of the root reaches."""
-    reverse = edges.select(F.col("from_id").alias("to_id"), F.col("to_id").alias("from_id"), "is_derived")
+    reverse = materialize(
+        edges.select(F.col("from_id").alias("to_id"), F.col("to_id").alias("from_id"), "is_derived"), "edges"
+    )
     starts = roots.select("root", F.col("root").alias("at"), F.lit(False).alias("is_derived"))
     return (
         closure(starts, reverse)
@@ -107,8 +111,8 @@ def verify_direct(result: DataFrame, targets: DataFrame, origins: DataFrame, tab
     direct, how many distinct non-null values are not found in any of its
     source columns (none should be).
 
-    The loop is over the output columns of one statement; each step is a
-    distinct and an anti join of values.
+    All columns are checked in one pass: values become (column, text) rows,
+    distinct before they are shuffled, and meet their sources' values once.
     """
     eligible = (
         origins.groupBy("target_ordinal", "target_column")
@@ -119,16 +123,22 @@ def verify_direct(result: DataFrame, targets: DataFrame, origins: DataFrame, tab
         .filter("not any_derived")
         .join(targets.filter("status = 'mapped'").select("target_ordinal"), "target_ordinal")
         .orderBy("target_ordinal")
-        .collect()
+        .collect()  # one row per output column of the statement
     )
-    checks = []
+
+    def rows(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+        """Distinct (target_column, value as text) of the named columns."""
+        cells = [F.struct(F.lit(t).alias("target_column"), F.col(c).cast("string").alias("v")) for t, c in pairs]
+        return df.select(F.inline(F.array(*cells))).filter("v is not null").distinct()
+
+    by_table: dict[str, list[tuple[str, str]]] = {}
     for row in eligible:
-        values = result.select(F.col(row.target_column).alias("v")).filter("v is not null").distinct()
-        sources = [tables[s.source_table].select(F.col(s.source_column).alias("v")) for s in row.sources]
-        missing = values.join(reduce(DataFrame.union, sources), "v", "left_anti")
-        checks.append(
-            missing.agg(F.count("*").alias("missing_values")).select(
-                F.lit(row.target_column).alias("target_column"), "missing_values"
-            )
-        )
-    return reduce(DataFrame.unionByName, checks)
+        for source in row.sources:
+            by_table.setdefault(source.source_table, []).append((row.target_column, source.source_column))
+    known = reduce(DataFrame.unionByName, [rows(tables[t], pairs) for t, pairs in by_table.items()]).distinct()
+    return (
+        rows(result, [(r.target_column, r.target_column) for r in eligible])
+        .join(known.withColumn("known", F.lit(True)), ["target_column", "v"], "left")
+        .groupBy("target_column")
+        .agg(F.count_if(F.col("known").isNull()).alias("missing_values"))
+    )

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colflow.session import cut
+from colflow.session import cut, materialize
 
 # rounds kept apart before they are written together, to keep plans short
 COMPACT_EVERY = 16
@@ -18,17 +18,22 @@ def closure(starts: DataFrame, edges: DataFrame, within: list[str] | None = None
 
     ``edges(*within, to_id, from_id, is_derived)``; a path is derived if any
     edge on it is. Each round joins only the rows the round before found and
-    keeps what is new, so a cycle ends. Every round is checkpointed: the plan
-    does not grow, and a lost executor costs a re-read. A hot vertex is split
-    by adaptive execution's skew join; inside plans (``partitioned_by_plan``)
-    the rounds need no shuffle at all.
+    keeps what is new, so a cycle ends. Rows whose ``at`` is null (a step that
+    could not be traced) lead nowhere and may repeat.
+
+    Every round is stored in the shared folder: the plan does not grow, and a
+    lost executor costs a re-read. ``within`` names the keys that confine an
+    edge; inside plans (``partitioned_by_plan``) rounds are checkpoints that
+    keep their partitioning and need no shuffle. Otherwise they are written
+    tables, whose known sizes let adaptive execution split a hot vertex.
     """
-    within = within or []
     columns = starts.columns
+    store = cut if within else partial(materialize, name="closure")
+    within = within or []
     step = edges.select(
         *within, F.col("to_id").alias("at"), F.col("from_id").alias("next"), F.col("is_derived").alias("step_derived")
     )
-    frontier = cut(starts.distinct())
+    frontier = store(starts.distinct())
     rounds = [frontier]
     while not frontier.isEmpty():
         # rows reached twice in a round collapse before the anti join
@@ -40,11 +45,8 @@ def closure(starts: DataFrame, edges: DataFrame, within: list[str] | None = None
             .distinct()
         )
         seen = reduce(DataFrame.unionAll, rounds)
-        same = F.lit(True)
-        for name in columns:
-            same = same & F.col(f"f.{name}").eqNullSafe(F.col(f"s.{name}"))
-        frontier = cut(found.alias("f").join(seen.alias("s"), same, "left_anti"))
+        frontier = store(found.join(seen, columns, "left_anti"))
         rounds.append(frontier)
         if len(rounds) > COMPACT_EVERY:
-            rounds = [cut(reduce(DataFrame.unionAll, rounds))]
+            rounds = [store(reduce(DataFrame.unionAll, rounds))]
     return reduce(DataFrame.unionAll, rounds)

@@ -74,6 +74,8 @@ def partitioned_by_plan(spark: SparkSession):
         "spark.sql.requireAllClusterKeysForCoPartition": "false",
         "spark.sql.adaptive.enabled": "false",
         "spark.sql.autoBroadcastJoinThreshold": "-1",
+        # a checkpoint hands its constraints on, and they would multiply by rounds
+        "spark.sql.constraintPropagation.enabled": "false",
     }
     before = {key: spark.conf.get(key) for key in settings}
     for key, value in settings.items():

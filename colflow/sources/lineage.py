@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from colflow.plans.origins import lineage_of_plans
 from colflow.session import materialize
 from colflow.sources.harvest import harvest_plans
-from colflow.sources.statements import fan_out, statement_fingerprint
+from colflow.sources.statements import distinct_fingerprints, fan_out, statement_fingerprint
 
 
 @dataclass
@@ -29,13 +29,13 @@ class Analysis:
     targets: DataFrame
     origins: DataFrame
     failures: DataFrame
-    distinct: DataFrame
+    texts: DataFrame
 
     def of(self, statements: DataFrame) -> Lineage:
-        """Results for ``statements(statement_id, fingerprint)``."""
+        """Results for ``statements(statement_id, text_key)``."""
 
         def spread(df: DataFrame) -> DataFrame:
-            return fan_out(statements, self.distinct, df)
+            return fan_out(statements, self.texts, df)
 
         return Lineage(spread(self.targets), spread(self.origins), spread(self.failures))
 
@@ -46,20 +46,20 @@ class Analysis:
         rows = self.targets.join(
             self.origins.drop("target_column", "data_type"), ["fingerprint", "target_ordinal"], "left"
         ).join(self.plans.select("fingerprint", "written_table"), "fingerprint")
-        return fan_out(statements, self.distinct, rows)
+        return fan_out(statements, self.texts, rows)
 
 
-def analyze_texts(spark: SparkSession, distinct: DataFrame, lenient: bool = False, stop_at_views: bool = False) -> Analysis:
-    """Analyze ``distinct(fingerprint, sql, default_schema, statements)``."""
-    distinct = materialize(distinct, "distinct_texts")
-    plans, failures = harvest_plans(spark, distinct, lenient)
+def analyze_texts(spark: SparkSession, texts: DataFrame, lenient: bool = False, stop_at_views: bool = False) -> Analysis:
+    """Analyze ``texts(text_key, fingerprint, sql, default_schema, statements)``."""
+    texts = materialize(texts, "texts")
+    plans, failures = harvest_plans(spark, distinct_fingerprints(texts), lenient)
     targets, origins = lineage_of_plans(plans.withColumnRenamed("fingerprint", "plan_id"), stop_at_views)
     return Analysis(
         plans,
         targets.withColumnRenamed("plan_id", "fingerprint"),
         origins.withColumnRenamed("plan_id", "fingerprint"),
         failures,
-        distinct,
+        texts,
     )
 
 
@@ -67,5 +67,5 @@ def analyze_statements(
     spark: SparkSession, statements: DataFrame, lenient: bool = False, stop_at_views: bool = False
 ) -> Lineage:
     """``statements(statement_id, sql, default_schema)`` to their lineage."""
-    marked, distinct = statement_fingerprint(statements)
-    return analyze_texts(spark, distinct, lenient, stop_at_views).of(marked)
+    marked, texts = statement_fingerprint(statements)
+    return analyze_texts(spark, texts, lenient, stop_at_views).of(marked)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colflow.functions.text import fingerprint, normalize_statement
+from colflow.functions.text import fingerprint, normalize_statement, text_key
 
 REQUEST = T.StructType(
     [
@@ -34,24 +34,34 @@ def read_statements(spark: SparkSession, path: str, fmt: str = "json") -> DataFr
 
 
 def statement_fingerprint(statements: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(statements with fingerprint, distinct texts with their count)``.
+    """``(statements with text_key, texts)``.
 
-    The counts combine map-side, so one text holding most of the statements
-    does not make a large task.
+    Each statement gets the key of its text as written, which is cheap; only
+    the distinct texts are normalised. The counts combine map-side, so one
+    text holding most of the statements does not make a large task.
     """
-    marked = statements.withColumn("fingerprint", fingerprint(F.col("sql"), F.col("default_schema")))
-    # repeats of the very same text collapse before anything is normalised
-    raw = statements.groupBy("sql", "default_schema").agg(F.count("*").alias("statements"))
-    distinct = (
-        raw.withColumn("fingerprint", fingerprint(F.col("sql"), F.col("default_schema")))
-        .groupBy("fingerprint")
-        .agg(
-            F.min(normalize_statement(F.col("sql"))).alias("sql"),
-            F.min("default_schema").alias("default_schema"),
-            F.sum("statements").alias("statements"),
-        )
+    marked = statements.withColumn("text_key", text_key(F.col("sql"), F.col("default_schema")))
+    raw = marked.groupBy("text_key").agg(
+        F.min("sql").alias("sql"), F.min("default_schema").alias("default_schema"), F.count("*").alias("statements")
+    )
+    return marked, fingerprint_texts(raw)
+
+
+def fingerprint_texts(raw: DataFrame) -> DataFrame:
+    """``raw(text_key, sql, default_schema, statements)`` with the normalised
+    text and its fingerprint."""
+    return raw.withColumn("fingerprint", fingerprint(F.col("sql"), F.col("default_schema"))).withColumn(
+        "sql", normalize_statement(F.col("sql"))
+    )
+
+
+def distinct_fingerprints(texts: DataFrame) -> DataFrame:
+    """One row per fingerprint: what has to be analyzed."""
+    return texts.groupBy("fingerprint").agg(
+        F.min("sql").alias("sql"),
+        F.min("default_schema").alias("default_schema"),
+        F.sum("statements").alias("statements"),
     )
-    return marked, distinct
 
 
 # A text with more statements than this is spread over several join keys.
@@ -60,34 +70,31 @@ ROWS_PER_SALT = 1_000_000
 MAX_HOT = 10_000
 
 
-def fan_out(statements: DataFrame, distinct: DataFrame, results: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+def fan_out(statements: DataFrame, texts: DataFrame, results: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """Results per fingerprint back to every statement with that fingerprint.
 
-    ``statements(statement_id, fingerprint)`` may be large and skewed. Texts
+    ``statements(statement_id, text_key)`` may be large and skewed. Texts
     above the threshold get several join keys: their statements are spread by
     hash and their (few) results repeated for each key. The threshold is at
     least total / MAX_HOT, so at most MAX_HOT texts pass it and the hot list
     can always be broadcast.
     """
-    total = distinct.agg(F.sum("statements")).first()[0] or 0
+    total = texts.agg(F.sum("statements")).first()[0] or 0
     threshold = max(rows_per_salt, total // MAX_HOT + 1)
-    hot = F.broadcast(
-        distinct.filter(F.col("statements") > threshold).select(
-            "fingerprint", F.ceil(F.col("statements") / threshold).cast("int").alias("salts")
-        )
-    )
+    salts = F.ceil(F.col("statements") / threshold).cast("int")
+    hot = F.broadcast(texts.filter(F.col("statements") > threshold).select("text_key", salts.alias("salts")))
     spread = (
-        statements.select("statement_id", "fingerprint")
-        .join(hot, "fingerprint", "left")
+        statements.select("statement_id", "text_key")
+        .join(hot, "text_key", "left")
         .withColumn("salt", F.pmod(F.xxhash64("statement_id"), F.coalesce("salts", F.lit(1))).cast("int"))
         .drop("salts")
     )
     repeated = (
-        results.join(hot, "fingerprint", "left")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
-        .drop("salts")
+        texts.select("text_key", "fingerprint", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+        .join(results, "fingerprint")
+        .drop("fingerprint")
     )
-    return spread.join(repeated, ["fingerprint", "salt"]).drop("fingerprint", "salt")
+    return spread.join(repeated, ["text_key", "salt"]).drop("text_key", "salt")
 
 
 def write_lineage(origins: DataFrame, path: str, fmt: str = "parquet", partition_by: str = "source_schema") -> None:

@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colflow.functions.text import text_key
 from colflow.session import work_dir
 from colflow.sources.catalog import catalog_of_tables, register_catalog
 from colflow.sources.lineage import Analysis, analyze_texts
-from colflow.sources.statements import statement_fingerprint
+from colflow.sources.statements import fingerprint_texts, statement_fingerprint
 from colflow.workload.templates import TABLES, TEMPLATES, VIEWS
 
 SCHEMA = "sample"
@@ -34,26 +35,40 @@ _LAYOUT_SQL = """case o_orderstatus
   else '/* order */  ' || text || ' ;' end"""
 
 
-def statements(spark: SparkSession, sf_dir: str, keys: list[str], every: bool = False) -> DataFrame:
-    """``(statement_id, template, sql, default_schema)``; order k submits
-    template k mod n (so one key alone is submitted by every order) or, with
-    ``every``, each template."""
-    texts = F.array(*[F.lit(TEMPLATES[k].text()) for k in keys])
-    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    if every:
-        picked = orders.select("*", F.posexplode(texts).alias("template", "text"))
-    else:
-        number = F.pmod("o_orderkey", F.lit(len(keys))).cast("int")
-        picked = orders.withColumn("template", number).withColumn("text", F.get(texts, "template"))
+def _written(picked: DataFrame) -> DataFrame:
+    """``picked(..., text)`` to the statement as its order writes it."""
     return (
         picked.withColumn("text", F.replace("text", F.lit("{n}"), F.substring("o_orderpriority", 1, 1)))
-        .select(
-            F.col("o_orderkey").alias("statement_id"),
-            "template",
-            F.expr(_LAYOUT_SQL).alias("sql"),
-            F.lit(SCHEMA).alias("default_schema"),
-        )
+        .withColumn("sql", F.expr(_LAYOUT_SQL))
+        .withColumn("default_schema", F.lit(SCHEMA))
+    )
+
+
+def statements(spark: SparkSession, sf_dir: str, keys: list[str]) -> DataFrame:
+    """``(statement_id, template, sql, default_schema)``; order k submits
+    template k mod n, so one key alone is submitted by every order."""
+    texts = F.array(*[F.lit(TEMPLATES[k].text()) for k in keys])
+    picked = (
+        load(spark, sf_dir, "orders")
+        .select(F.col("o_orderkey").alias("statement_id"), "o_orderstatus", "o_orderpriority")
+        .withColumn("template", F.pmod("statement_id", F.lit(len(keys))).cast("int"))
+        .withColumn("text", F.get(texts, "template"))
     )
+    return _written(picked).select("statement_id", "template", "sql", "default_schema")
+
+
+def all_texts(spark: SparkSession, sf_dir: str, keys: list[str]) -> DataFrame:
+    """The texts when every order submits every template. Orders that write
+    alike are counted before the templates multiply them."""
+    alike = load(spark, sf_dir, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("statements"))
+    texts = F.array(*[F.lit(TEMPLATES[k].text()) for k in keys])
+    raw = (
+        _written(alike.select("*", F.explode(texts).alias("text")))
+        .withColumn("text_key", text_key(F.col("sql"), F.col("default_schema")))
+        .groupBy("text_key")
+        .agg(F.min("sql").alias("sql"), F.min("default_schema").alias("default_schema"), F.sum("statements").alias("statements"))
+    )
+    return fingerprint_texts(raw)
 
 
 def prepare_catalog(spark: SparkSession, sf_dir: str) -> None:
@@ -79,8 +94,7 @@ def _analysis(spark: SparkSession, sf_dir: str, stop_at_views: bool, lenient: bo
     if key not in _analyses:
         prepare_catalog(spark, sf_dir)
         names = [k for k, t in TEMPLATES.items() if (t.stop_at_views, t.lenient) == (stop_at_views, lenient)]
-        _, texts = statement_fingerprint(statements(spark, sf_dir, names, every=True))
-        _analyses[key] = analyze_texts(spark, texts, lenient, stop_at_views)
+        _analyses[key] = analyze_texts(spark, all_texts(spark, sf_dir, names), lenient, stop_at_views)
     return _analyses[key]
 
 

@@ -17,9 +17,15 @@ from colflow.plans import origins as org
 from colflow.plans.closure import closure
 from colflow.plans.edges import PlanGraph, extract_attr_edges, extract_bases, extract_targets
 from colflow.plans.flatten import flatten_plans
-from colflow.session import new_path
+from colflow.session import materialize, new_path
 from colflow.sources import catalog as cat
-from colflow.sources.statements import fan_out, read_statements, statement_fingerprint, write_lineage
+from colflow.sources.statements import (
+    distinct_fingerprints,
+    fan_out,
+    read_statements,
+    statement_fingerprint,
+    write_lineage,
+)
 from colflow.streaming.submissions import stream_lineage
 from colflow.workload import corpora, star
 from colflow.workload.corpora import C_SQL, F_SQL, G_SQL, I_SQL, O_SQL, R_SQL, T_SQL, from_sql, load
@@ -153,8 +159,8 @@ def _mixed_texts() -> str:
         from orders join {_mixed_texts()} on o_orderkey % {len(corpora.mixed_keys())} = template group by 1"""
 )
 def statement_fingerprint_counts(spark, sf):
-    _, distinct = statement_fingerprint(corpora.statements(spark, sf, corpora.mixed_keys()))
-    return distinct.select("fingerprint", "statements")
+    _, texts = statement_fingerprint(corpora.statements(spark, sf, corpora.mixed_keys()))
+    return distinct_fingerprints(texts).select("fingerprint", "statements")
 
 
 QUERIES["statement_fingerprint"] = QUERIES.pop("statement_fingerprint_counts")
@@ -245,10 +251,11 @@ def ambiguous_refs(spark, sf):
 
 def _fan(spark, sf, key: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Every order submits ``key``; ``make`` turns the distinct plans into rows per plan."""
-    marked, distinct = statement_fingerprint(corpora.statements(spark, sf, [key]))
-    plans = corpora.analysis(spark, sf).plans.join(distinct.select("fingerprint"), "fingerprint")
+    marked, texts = statement_fingerprint(corpora.statements(spark, sf, [key]))
+    texts = materialize(texts, "texts")
+    plans = corpora.analysis(spark, sf).plans.join(texts.select("fingerprint"), "fingerprint", "left_semi")
     rows = make(plans.withColumnRenamed("fingerprint", "plan_id")).withColumnRenamed("plan_id", "fingerprint")
-    return fan_out(marked, distinct, rows)
+    return fan_out(marked, texts, rows)
 
 
 def _per_order(columns: str, *rows: str) -> str:
@@ -828,10 +835,10 @@ _ORDER_LINES = """select o_orderkey, c_name as customer_name, p_name as product_
     )
 )
 def verify_direct(spark, sf):
-    _, distinct = statement_fingerprint(corpora.statements(spark, sf, ["join_multiway"]))
+    _, texts = statement_fingerprint(corpora.statements(spark, sf, ["join_multiway"]))
     a = corpora.analysis(spark, sf)
-    targets = a.targets.join(distinct.select("fingerprint"), "fingerprint", "left_semi")
-    origins = a.origins.join(distinct.select("fingerprint"), "fingerprint", "left_semi")
+    targets = a.targets.join(texts, "fingerprint", "left_semi")
+    origins = a.origins.join(texts, "fingerprint", "left_semi")
     tables = {t: load(spark, sf, t) for t in TABLES}
     return reports.verify_direct(star.data_order_lines(spark, sf), targets, origins, tables)
 
@@ -895,7 +902,7 @@ _BY_TYPE = f"""select case cast(substr(source_column, 5) as int) % 5 when 0 then
         from events join ({_BY_TYPE}) b on b.fingerprint = event_type"""
 )
 def stream_lineage_edges(spark, sf):
-    static = from_sql(spark, sf, _BY_TYPE)
+    static = materialize(from_sql(spark, sf, _BY_TYPE), "analyzed_texts")
     schema = load(spark, sf, "events").schema
     arriving = (
         spark.readStream.schema(schema)
