@@ -12,8 +12,9 @@ _QUOTED = (
     r'|"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"'
     r"|`[^`]*+`"
 )
-_BLANKS = r"(?:\s++|--[^\n]*+|/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/)++"
-_TEXT = rf"(?:[^\s'\"`/-]++|{_QUOTED}|(?!--|/\*)\S)++"
+_COMMENT = r"--[^\n]*+|/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/"
+_BLANKS = rf"(?:\s++|{_COMMENT})++"
+_TEXT = rf"(?:[^\s'\"`/-]++|{_QUOTED}|(?!{_COMMENT})\S)++"
 STATEMENT_RUN = rf"({_TEXT})(?:{_BLANKS})?+|{_BLANKS}"
 
 
