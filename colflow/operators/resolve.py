@@ -18,17 +18,16 @@ def resolve_default_schema(refs: DataFrame) -> DataFrame:
 
 def missing_schema_report(statements: DataFrame, catalog: DataFrame) -> DataFrame:
     """Statements whose default schema the catalog does not have, with the text
-    that says so. The list of schemas is one row."""
+    that says so. The list of schemas is a single value."""
     schemas = catalog.select("schema").distinct()
-    available = schemas.agg(F.array_join(F.sort_array(F.collect_set("schema")), ", ").alias("available"))
+    available = schemas.agg(F.array_join(F.sort_array(F.collect_set("schema")), ", ")).scalar()
     return (
         statements.join(schemas, F.lower("default_schema") == F.lower("schema"), "left_anti")
-        .join(available, F.lit(True), "left")
         .select(
             "statement_id",
             F.concat(
                 F.lit("schema not found: "), F.coalesce("default_schema", F.lit("")),
-                F.lit(" (available: ["), "available", F.lit("])"),
+                F.lit(" (available: ["), available, F.lit("])"),
             ).alias("message"),
         )
     )

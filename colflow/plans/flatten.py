@@ -29,12 +29,15 @@ NODE = (
     f" generatorOutput: ARRAY<{EXPRESSION}>, projections: ARRAY<ARRAY<{EXPRESSION}>>,"
     f" output: ARRAY<{EXPRESSION}>, outputAttrIds: ARRAY<STRUCT<id: BIGINT>>,"
     " id: BIGINT, cteId: BIGINT, loopId: BIGINT, joinType: STRING, `right`: STRING,"
-    f" catalogTable: {NAMED_TABLE}, tableMeta: {NAMED_TABLE}, `desc`: {NAMED_TABLE}>"
+    f" catalogTable: {NAMED_TABLE}, tableMeta: {NAMED_TABLE}, `desc`: {NAMED_TABLE},"
+    " identifier: STRUCT<name: STRING, qualifier: STRING>>"
 )
 
 # Node classes by what they do to columns. Any class not named here makes
 # everything read through it "unknown".
-RELATIONS = ["LogicalRelation", "HiveTableRelation", "LogicalRDD", "StreamingRelation"]
+RELATIONS = [
+    "LogicalRelation", "HiveTableRelation", "DataSourceV2Relation", "StreamingRelationV2", "StreamingRelation", "LogicalRDD",
+]
 CONSTANT_LEAVES = ["LocalRelation", "Range", "OneRowRelation"]
 REFERENCES = ["CTERelationRef", "UnionLoopRef"]
 REPLACE_COLUMNS = ["Project", "Aggregate", "Expand", "UnionLoop"]
@@ -141,7 +144,10 @@ def _parse(trees: DataFrame) -> DataFrame:
           'lo', if(j = 1, i + 1, done[j - 2].hi + 1),
           'hi', stops[if(j = 1, i + 1, done[j - 2].hi + 1)])))))"""
     table = "coalesce(n.catalogTable, n.tableMeta).identifier"
+    # a relation without a name of its own has that of the view, or of the
+    # catalog table's alias, just above it
     view = "try_element_at(filter(views, v -> n.pos > v.pos and n.pos <= v.stop), -1).identifier"
+    alias = "try_element_at(filter(aliases, a -> n.pos > a.pos and n.pos <= a.stop), -1)"
     return (
         trees.select("plan_id", "tree", "scopes", F.from_json("json", f"ARRAY<{NODE}>").alias("raw"))
         .withColumn("stops", F.expr(subtree_stops("transform(raw, n -> n.`num-children`)")))
@@ -155,7 +161,7 @@ def _parse(trees: DataFrame) -> DataFrame:
                 " n.generator as generator, n.generatorOutput as generatorOutput,"
                 " n.projections as projections, n.output as output, n.outputAttrIds as outputAttrIds,"
                 " coalesce(n.cteId, n.loopId, n.id) as link, n.`right` as lateral,"
-                " n.catalogTable as catalogTable, n.tableMeta as tableMeta, n.desc as `desc`,"
+                " n.catalogTable as catalogTable, n.tableMeta as tableMeta, n.desc as `desc`, n.identifier as alias,"
                 " i > 0 and raw[i - 1].class like '%.View' as under_view))"
             ),
         )
@@ -167,6 +173,14 @@ def _parse(trees: DataFrame) -> DataFrame:
                 " n -> struct(n.pos as pos, n.stop as stop, n.desc.identifier as identifier))"
             ),
         )
+        .withColumn(
+            "aliases",
+            F.expr(
+                "transform(filter(nodes, n -> n.class = 'SubqueryAlias' and n.alias.qualifier like '[%,%]'),"
+                " n -> struct(n.pos as pos, n.stop as stop, n.alias.name as table,"
+                " regexp_extract(n.alias.qualifier, '([^, ]+)]$', 1) as database))"
+            ),
+        )
         .withColumn("n", F.explode("nodes"))
         .select(
             "plan_id",
@@ -178,8 +192,8 @@ def _parse(trees: DataFrame) -> DataFrame:
             F.expr("n.link").alias("link"),
             F.expr("n.joinType rlike 'Outer'").alias("outer_join"),
             F.expr("n.under_view").alias("under_view"),
-            F.expr(f"coalesce({table}.database, {view}.database)").alias("schema"),
-            F.expr(f"coalesce({table}.table, {view}.table)").alias("table"),
+            F.expr(f"coalesce({table}.database, {view}.database, {alias}.database)").alias("schema"),
+            F.expr(f"coalesce({table}.table, {view}.table, {alias}.table)").alias("table"),
             F.expr(f"if(n.under_view, {view}, null)").alias("view"),
             F.expr(_innermost("barrier")).alias("barrier"),
             F.expr(_innermost("nulls")).alias("nulls_at"),

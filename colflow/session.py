@@ -9,6 +9,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_written: list[str] = []
 
 
 def local_session(cores: str = "8", app: str = "colflow", **conf: str) -> SparkSession:
@@ -49,7 +50,20 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, to be removed by ``release``."""
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this session; frames that still read
+    them become invalid. Checkpoints go with ``spark.cleaner.
+    referenceTracking.cleanCheckpoints``."""
+    conf = spark._jsc.hadoopConfiguration()
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:

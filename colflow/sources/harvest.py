@@ -11,7 +11,7 @@ import re
 from concurrent.futures import ThreadPoolExecutor
 from itertools import islice
 
-from py4j.protocol import Py4JJavaError
+from py4j.protocol import Py4JError, Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,11 +95,15 @@ def _analyze(spark, fingerprint, sql, lenient):
             state = session.sessionState()
             plan = state.executePlan(state.sqlParser().parsePlan(sql), skip).analyzed()
             written = None
-            if plan.getClass().getSimpleName().endswith("Command"):
+            if plan.schema().isEmpty():
                 # INSERT ... SELECT, CREATE TABLE ... AS SELECT: the lineage is
                 # the query's; the table written is kept beside it
                 written = _written_table(plan)
-                plan = plan.query()
+                try:
+                    plan = plan.query()
+                except Py4JError:
+                    reason = f"statement has no query: {plan.nodeName()}"
+                    return (fingerprint, None, None, None, "java.lang.IllegalArgumentException", None, [reason])
             return (fingerprint, plan.toJSON(), plan.schema().json(), written, None, None, None)
         except Exception as error:
             name = _unknown_routine(error) if lenient else None

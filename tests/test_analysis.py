@@ -96,6 +96,10 @@ STATEMENTS = {
     "qualified": "select s.NAME, shop.orders.status from shop.customers s, shop.orders",
     "deep": DEEP,
     "no_schema": "select 1 as one",
+    "bad_kind": "drop table customers",
+    "bare_table": "table warehouses",
+    "unpivot": "select * from (select customer_id, order_id from orders) unpivot (v for k in (customer_id, order_id))",
+    "select_generate": "select explode(split(name, ' ')) as word, tier from customers",
 }
 
 
@@ -179,6 +183,32 @@ def test_deep_scopes(results):
     ]
 
 
+def test_other_shapes(results):
+    text = results[0]
+    assert text["bare_table"][2] == "country_code             <- [shop.warehouses.country_code]"
+    assert text["unpivot"] == [
+        "k                        <- <no source column (literal/constant)>",
+        "v                        <- [shop.orders.customer_id, shop.orders.order_id]",
+    ]
+    assert text["select_generate"][0] == "word                     <- [shop.customers.name (derived)]"
+
+
+def test_relation_named_by_its_alias(spark, shop):
+    """Sources that do not name their table take the catalog alias above them."""
+    data = [("f", "select c.name from customers c", "shop")]
+    texts = spark.createDataFrame(data, "fingerprint string, sql string, default_schema string")
+    plans, _ = harvest_plans(spark, texts)
+    renamed = plans.withColumn(
+        "plan_json",
+        F.replace(
+            F.replace("plan_json", F.lit("datasources.LogicalRelation"), F.lit("datasources.v2.DataSourceV2Relation")),
+            F.lit('"catalogTable"'), F.lit('"other"'),
+        ),
+    ).withColumnRenamed("fingerprint", "plan_id")
+    _, origins = lineage_of_plans(renamed)
+    assert [(r.source_schema, r.source_table) for r in origins.collect()] == [("shop", "customers")]
+
+
 def test_unknown_node_class_gives_unknown(spark, shop):
     data = [("f", "select name, 1 as one from (select name from customers) x", "shop")]
     texts = spark.createDataFrame(data, "fingerprint string, sql string, default_schema string")
