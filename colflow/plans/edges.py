@@ -24,7 +24,7 @@ from colflow.plans.flatten import (
     flatten_plans,
     subtree_stops,
 )
-from colflow.session import cut, partitioned_by_plan
+from colflow.session import cut, partitioned_by_plan, plan_partitions
 
 # Subquery expressions by what their plan gives to the outer expression.
 FIRST_OUTPUT = ["ScalarSubquery"]
@@ -239,7 +239,8 @@ class PlanGraph:
     plans, everything after it joins inside plans."""
 
     def __init__(self, plans: DataFrame, stop_at_views: bool = False):
-        with partitioned_by_plan(plans.sparkSession):
+        self.partitions = plan_partitions(plans)
+        with partitioned_by_plan(plans.sparkSession, self.partitions):
             self._build(plans, stop_at_views)
 
     def _build(self, plans: DataFrame, stop_at_views: bool) -> None:

@@ -57,11 +57,11 @@ def lineage_of_plans(plans: DataFrame, stop_at_views: bool = False) -> tuple[Dat
     look complete.
     """
     graph = PlanGraph(plans, stop_at_views)
-    with partitioned_by_plan(plans.sparkSession):
+    with partitioned_by_plan(plans.sparkSession, graph.partitions):
         origins, unknown = column_origins(graph.edges, graph.bases, graph.targets)
     # small per-text tables: written, so that later joins know their size
     keys = ["plan_id", "target_ordinal"]
-    with partitioned_by_plan(plans.sparkSession):
+    with partitioned_by_plan(plans.sparkSession, graph.partitions):
         origins, unknown = cut(origins), cut(unknown)
         targets = materialize(origin_status(graph.targets, origins, unknown, keys).drop("attr_id"), "targets")
         origins = materialize(origins.join(unknown, keys, "left_anti"), "origins")

@@ -75,8 +75,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+# enough plans for a task to be worth starting, few enough for its memory
+PLANS_PER_TASK = 2000
+
+
+def plan_partitions(plans: DataFrame) -> int:
+    """Partitions for work inside plans: by their number, and for few plans no
+    more than there are cores to use."""
+    count = plans.count()
+    cores = plans.sparkSession.sparkContext.defaultParallelism
+    return max(-(-count // PLANS_PER_TASK), min(cores, -(-count // 8)), 1)
+
+
 @contextmanager
-def partitioned_by_plan(spark: SparkSession):
+def partitioned_by_plan(spark: SparkSession, partitions: int):
     """Settings for work inside plans: joins, windows and aggregations keyed by
     (plan, ...) use a partitioning by plan, so a chain of them shuffles once.
 
@@ -86,6 +98,7 @@ def partitioned_by_plan(spark: SparkSession):
     """
     settings = {
         "spark.sql.requireAllClusterKeysForCoPartition": "false",
+        "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.adaptive.enabled": "false",
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         # a checkpoint hands its constraints on, and they would multiply by rounds

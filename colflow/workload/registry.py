@@ -893,8 +893,8 @@ for _key, _sql in DUCKDB_TEXT.items():
 # analyzed texts by fingerprint: here the event type, with its columns from O
 _BY_TYPE = f"""select case cast(substr(source_column, 5) as int) % 5 when 0 then 'view' when 1 then 'signup'
     when 2 then 'error' when 3 then 'click' else 'purchase' end as fingerprint,
-  source_table, min(source_column) as source_column, bool_or(is_derived) as is_derived from ({O_SQL})
-  group by 1, source_table"""
+  is_derived, min(source_table) as source_table, max(source_column) as source_column from ({O_SQL})
+  group by 1, is_derived"""
 
 
 @query(
