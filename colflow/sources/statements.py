@@ -40,10 +40,11 @@ def statement_fingerprint(statements: DataFrame) -> tuple[DataFrame, DataFrame]:
     the distinct texts are normalised. The counts combine map-side, so one
     text holding most of the statements does not make a large task.
     """
-    marked = statements.withColumn("text_key", text_key(F.col("sql"), F.col("default_schema")))
-    raw = marked.groupBy("text_key").agg(
-        F.min("sql").alias("sql"), F.min("default_schema").alias("default_schema"), F.count("*").alias("statements")
+    marked = statements.withColumn("default_schema", F.nullif("default_schema", F.lit(""))).withColumn(
+        "text_key", text_key(F.col("sql"), F.col("default_schema"))
     )
+    # the text is a grouping key, not min(text): that would sort every row
+    raw = marked.groupBy("text_key", "sql", "default_schema").agg(F.count("*").alias("statements"))
     return marked, fingerprint_texts(raw)
 
 
@@ -57,11 +58,7 @@ def fingerprint_texts(raw: DataFrame) -> DataFrame:
 
 def distinct_fingerprints(texts: DataFrame) -> DataFrame:
     """One row per fingerprint: what has to be analyzed."""
-    return texts.groupBy("fingerprint").agg(
-        F.min("sql").alias("sql"),
-        F.min("default_schema").alias("default_schema"),
-        F.sum("statements").alias("statements"),
-    )
+    return texts.groupBy("fingerprint", "sql", "default_schema").agg(F.sum("statements").alias("statements"))
 
 
 # A text with more statements than this is spread over several join keys.

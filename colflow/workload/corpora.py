@@ -65,9 +65,9 @@ def all_texts(spark: SparkSession, sf_dir: str, keys: list[str]) -> DataFrame:
     raw = (
         _written(alike.select("*", F.explode(texts).alias("text")))
         .withColumn("text_key", text_key(F.col("sql"), F.col("default_schema")))
-        .groupBy("text_key")
-        .agg(F.min("sql").alias("sql"), F.min("default_schema").alias("default_schema"), F.sum("statements").alias("statements"))
-    )
+        .groupBy("text_key", "sql", "default_schema")
+        .agg(F.sum("statements").alias("statements"))
+    )
     return fingerprint_texts(raw)
 
 

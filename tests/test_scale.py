@@ -60,3 +60,12 @@ def test_scans_read_only_needed_columns(spark, sf_dir):
     plan = star.data_order_lines(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<p_partkey:bigint,p_name:string>" in plan
     assert "o_totalprice" not in plan
+
+
+def test_texts_are_counted_by_hash_with_map_side_combine(spark):
+    statements = spark.range(10).selectExpr("id as statement_id", "'select 1' as sql", "if(id > 5, '', null) as default_schema")
+    marked, texts = statement_fingerprint(statements)
+    plan = texts._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("HashAggregate") == 2
+    # no schema and an empty one are the same
+    assert texts.count() == 1 and marked.select("text_key").distinct().count() == 1
