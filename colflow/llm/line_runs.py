@@ -143,3 +143,19 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str, docs: DataFrame | None = No
     return kept.select(
         F.col("doc_id").cast("long").alias("doc_id"), "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256")
     )
+
+
+def oracle_sql(min_docs: int = 10) -> str:
+    """The query for another engine: lines as rows, grouped by their whole key."""
+    space = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""
+with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
+l as (
+  select rid, doc_id, line, pos, translate(trim(line, {space}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from (select rid, doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as pos
+        from (select rid, doc_id, string_split(text, chr(10)) as ls from d))),
+often as (select key from l where key <> '' group by key having count(distinct rid) >= {min_docs}),
+marked as (select l.*, l.key in (select key from often) as gone from l)
+select cast(any_value(doc_id) as bigint) as doc_id, count(*) as n_lines, cast(count_if(gone) as bigint) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
+from marked group by rid"""

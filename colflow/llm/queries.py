@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+from colflow.llm import line_runs, quality
 from colflow.llm.bpe import op2_bpe
+from colflow.llm.decontaminate import op6_decontamination
 from colflow.llm.line_runs import op3_line_dedup
+from colflow.llm.notices import op8_license_scan
+from colflow.llm.quality import op1_quality
 from colflow.llm.sharding import op9_sharding
+from colflow.llm.warc_zip import op10_warc
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
     "op3_line_dedup": op3_line_dedup,
+    "op6_decontamination": op6_decontamination,
+    "op8_license_scan": op8_license_scan,
     "op9_sharding": op9_sharding,
+    "op10_warc": op10_warc,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_quality": quality.oracle_sql(), "op3_line_dedup": line_runs.oracle_sql()}
