@@ -46,8 +46,8 @@ class TrieEncoder:
         self.tokens |= {i: t for t, i in self.specials.items()}
         self.library = Tokenizer.from_file(path)
         self.fits: dict[int, bool] = {}
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.young: dict[str, tuple[str, str]] = {}
+        self.old: dict[str, tuple[str, str]] = {}
         # normalization changes no letter below U+0250 but its case, one at a time
         self.simple = regex.compile("[!-~\u00a1-\u00ac\u00ae-\u024f]*")
         # fixed value: the splitter's pattern, for texts of such letters
@@ -178,8 +178,9 @@ class TrieEncoder:
                 found += regex.findall(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", part)
         return found
 
-    def learn(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of each of the distinct ``pieces``. What was encoded before is
+    def learn(self, pieces: set[str]) -> dict[str, tuple[str, str]]:
+        """Of each of the distinct ``pieces`` its ids and its tokens, joined by one
+        space. What was encoded before is
         remembered in two generations: a full one becomes the old one, and what is
         still in use moves up from there."""
         known, fresh = {}, []
@@ -193,8 +194,16 @@ class TrieEncoder:
                 known[p] = ids
         plan = {p: self.split(p) for p in fresh if p not in self.specials}
         done = self.encode_words(list({w for ws in plan.values() for w in ws}))
-        new = {p: tuple(done[ws[0]]) if len(ws) == 1 else tuple(i for w in ws for i in done[w]) for p, ws in plan.items()}
-        new |= {p: (self.specials[p],) for p in fresh if p in self.specials}
+        tokens = self.tokens
+        written = {w: (" ".join(map(str, ids)), " ".join([tokens[i] for i in ids])) for w, ids in done.items()}
+        new = {}
+        for p, ws in plan.items():
+            if len(ws) == 1:
+                new[p] = written[ws[0]]
+            else:
+                both = [written[w] for w in ws if done[w]]
+                new[p] = " ".join([n for n, _ in both]), " ".join([t for _, t in both])
+        new |= {p: (str(self.specials[p]), p) for p in fresh if p in self.specials}
         self.young |= new
         if len(self.young) > MEMORY:
             self.young, self.old = {}, self.young
@@ -206,9 +215,9 @@ def encoder(path: str) -> TrieEncoder:
     return TrieEncoder(path)
 
 
-def encode_batches(path: str, emit: Callable[[TrieEncoder, pa.RecordBatch, list[list[str]], dict], pa.RecordBatch]):
-    """A mapInArrow function: ``emit`` gets each batch, its texts' pieces and the
-    token ids of each piece."""
+def encode_batches(path: str, emit: Callable[[pa.RecordBatch, list[str], list[str]], pa.RecordBatch]):
+    """A mapInArrow function: ``emit`` gets each batch and, of each of its texts,
+    the ids and the tokens joined by one space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -216,7 +225,15 @@ def encode_batches(path: str, emit: Callable[[TrieEncoder, pa.RecordBatch, list[
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
                 texts = [enc.pieces(t or "") for t in batch.column("text").to_pylist()]
-                yield emit(enc, batch, texts, enc.learn({p for t in texts for p in t}))
+                known = enc.learn(set().union(*texts))
+                # a piece without tokens adds nothing, not even a separator
+                empty = {p for p, (numbers, _) in known.items() if not numbers}
+                if empty:
+                    texts = [[p for p in t if p not in empty] for t in texts]
+                numbers = {p: both[0] for p, both in known.items()}
+                names = {p: both[1] for p, both in known.items()}
+                ids = [" ".join(map(numbers.__getitem__, t)) for t in texts]
+                yield emit(batch, ids, [" ".join(map(names.__getitem__, t)) for t in texts])
 
     return run
 
@@ -226,14 +243,12 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     tokens joined by one space, as a file without decoder says). A null or empty
     text has no ids and decodes to the empty text; repeated rows stay."""
 
-    def emit(enc, batch, texts, known):
-        ids = [[i for p in t for i in known[p]] for t in texts]
-        tokens = enc.tokens
+    def emit(batch, ids, decoded):
         return pa.RecordBatch.from_pydict(
             {
                 "doc_id": batch.column("doc_id"),
-                "ids": pa.array(ids, pa.list_(pa.int32())),
-                "decoded": pa.array([" ".join([tokens[i] for i in x]) for x in ids], pa.string()),
+                "ids": pa.array([list(map(int, x.split())) for x in ids], pa.list_(pa.int32())),
+                "decoded": pa.array(decoded, pa.string()),
             }
         )
 
@@ -245,20 +260,16 @@ def encoding_digests(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` without
     sending the ids and texts back: each distinct piece is written out once."""
 
-    def emit(enc, batch, texts, known):
-        tokens = enc.tokens
-        seen = {p for t in texts for p in t}
-        numbers = {p: " ".join(map(str, known[p])) for p in seen}
-        names = {p: " ".join([tokens[i] for i in known[p]]) for p in seen}
-        sha = lambda parts: hashlib.sha256(" ".join(parts).encode()).hexdigest()
-        # a piece without tokens adds nothing, not even a separator
-        texts = [[p for p in t if known[p]] for t in texts] if any(not known[p] for p in seen) else texts
+    def sha(text: str) -> str:
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    def emit(batch, ids, decoded):
         return pa.RecordBatch.from_pydict(
             {
                 "doc_id": batch.column("doc_id"),
-                "n_tokens": pa.array([sum([len(known[p]) for p in t]) for t in texts], pa.int64()),
-                "ids_sha256": pa.array([sha([numbers[p] for p in t]) for t in texts], pa.string()),
-                "decoded_sha256": pa.array([sha([names[p] for p in t]) for t in texts], pa.string()),
+                "n_tokens": pa.array([x.count(" ") + 1 if x else 0 for x in ids], pa.int64()),
+                "ids_sha256": pa.array(map(sha, ids), pa.string()),
+                "decoded_sha256": pa.array(map(sha, decoded), pa.string()),
             }
         )
 
