@@ -42,3 +42,15 @@ def words(text: Column) -> Column:
 
 def run_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: ids up to which a set of them is broadcast (8 bytes each), after counting them
+BROADCAST_IDS = 1_000_000
+
+
+def rows_with(rows: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
+    """The ``rows`` whose key is among ``keys``: a broadcast of the keys if they are
+    counted to be few, else a join by shuffle."""
+    if keys.count() <= BROADCAST_IDS:
+        keys = F.broadcast(keys)
+    return rows.join(keys, names, "left_semi")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from colflow.llm import line_runs, quality
 from colflow.llm.bpe import op2_bpe
 from colflow.llm.decontaminate import op6_decontamination
+from colflow.llm.lattice import op5_lm_score
 from colflow.llm.line_runs import op3_line_dedup
 from colflow.llm.notices import op8_license_scan
 from colflow.llm.quality import op1_quality
+from colflow.llm.recompress import op4_substring_dedup
 from colflow.llm.sharding import op9_sharding
 from colflow.llm.warc_zip import op10_warc
 
@@ -15,6 +17,8 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_bpe": op2_bpe,
     "op3_line_dedup": op3_line_dedup,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_lm_score": op5_lm_score,
     "op6_decontamination": op6_decontamination,
     "op8_license_scan": op8_license_scan,
     "op9_sharding": op9_sharding,
