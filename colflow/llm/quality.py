@@ -79,10 +79,14 @@ def repeated_words(ws: Column) -> Column:
         step = lambda s, p: F.struct(p.alias("last"), (s["n"] + F.least(F.lit(3), p - s["last"])).alias("n"))
         return F.aggregate(at, zero, step, lambda s: s["n"])
 
-    grams = F.transform(
-        F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2))
-    )
-    return F.when(n < 4, F.lit(0).cast("long")).otherwise(let(grams, lambda g: covered(places(g))))
+    def grams(hashes: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1), F.get(hashes, i + 2))
+        )
+
+    hashes = F.transform(ws, lambda w: F.xxhash64(w))
+    found = let(hashes, lambda h: let(grams(h), lambda g: covered(places(g))))
+    return F.when(n < 4, F.lit(0).cast("long")).otherwise(found)
 
 
 def with_features(docs: DataFrame) -> DataFrame:
