@@ -48,9 +48,19 @@ def run_partitions(df: DataFrame) -> int:
 BROADCAST_IDS = 1_000_000
 
 
-def rows_with(rows: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
-    """The ``rows`` whose key is among ``keys``: a broadcast of the keys if they are
-    counted to be few, else a join by shuffle."""
+def _matched(rows: DataFrame, keys: DataFrame, names: list[str], how: str) -> DataFrame:
     if keys.count() <= BROADCAST_IDS:
         keys = F.broadcast(keys)
-    return rows.join(keys, names, "left_semi")
+    same = [rows[n].eqNullSafe(keys[n]) for n in names]
+    return rows.join(keys, same, how)
+
+
+def rows_with(rows: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
+    """The ``rows`` whose key is among ``keys``: a broadcast of the keys if they are
+    counted to be few, else a join by shuffle. Null keys match."""
+    return _matched(rows, keys, names, "left_semi")
+
+
+def rows_without(rows: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
+    """The ``rows`` whose key is not among ``keys``, in the same ways."""
+    return _matched(rows, keys, names, "left_anti")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colflow.llm.common import documents
+from colflow.llm.common import documents, rows_without
 from colflow.llm.hashing import batches_of, mix, shingle_hashes, word_hashes
 from colflow.llm.notices import WORD_TABLE
 from colflow.session import materialize
@@ -236,6 +236,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without the documents that hold a benchmark item."""
+    gone = materialize(find_leaks(docs, benchmark).selectExpr("doc_id as _id").distinct(), "leaking")
+    return rows_without(docs.withColumn("_id", F.col("doc_id").cast("long")), gone, ["_id"]).select(*docs.columns)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None, benchmark: DataFrame | None = None) -> DataFrame:
     """Every (document, benchmark item) with a window of similarity 0.8 or more."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet") if benchmark is None else benchmark

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colflow.llm.common import SPACE, documents, let, words
+from colflow.llm.common import SPACE, documents, let, rows_without, words
 from colflow.session import materialize
 
 #: share of a stratum's good documents that one rule may reject
@@ -90,7 +90,8 @@ def repeated_words(ws: Column) -> Column:
 
 
 def with_features(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``stratum`` and the counts that the rules use."""
+    """``doc_id``, ``text_key`` (a hash of the text), ``stratum`` and the counts that
+    the rules use."""
     text = F.coalesce("text", F.lit(""))
 
     def of_words(ws: Column) -> Column:
@@ -107,12 +108,13 @@ def with_features(docs: DataFrame) -> DataFrame:
     with_word = F.filter(F.split(text, "\n", -1), lambda line: F.trim(line, F.lit(SPACE)) != "")
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64(text).alias("text_key"),
         F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"),
         let(words(F.col("text")), of_words).alias("w"),
         let(with_word, of_lines).alias("l"),
         F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.regexp_count(text, F.lit("[A-Z]")).cast("long").alias("n_capitals"),
-    ).select("doc_id", "stratum", "w.*", "l.*", "n_symbols", "n_capitals")
+    ).select("doc_id", "text_key", "stratum", "w.*", "l.*", "n_symbols", "n_capitals")
 
 
 def base_failed() -> Column:
@@ -205,6 +207,20 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.withColumn("kept", ~F.col("base_failed") & ~bad)
 
 
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``judge`` rejects."""
+    gone = judge(docs, labels).filter("not kept").selectExpr("doc_id as _id", "text_key as _text_key", "stratum as _stratum")
+    marked = docs.withColumns(
+        {
+            "_id": F.col("doc_id").cast("long"),
+            "_text_key": F.xxhash64(F.coalesce("text", F.lit(""))),
+            "_stratum": F.coalesce(F.col("lang").cast("string"), F.lit("")),
+        }
+    )
+    gone = materialize(gone.distinct(), "rejected")
+    return rows_without(marked, gone, ["_id", "_text_key", "_stratum"]).select(*docs.columns)
+
+
 def op1_quality(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
     docs = documents(spark, sf_dir) if docs is None else docs
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet") if labels is None else labels

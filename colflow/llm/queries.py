@@ -5,6 +5,7 @@ from __future__ import annotations
 from colflow.llm import line_runs, quality
 from colflow.llm.bpe import op2_bpe
 from colflow.llm.decontaminate import op6_decontamination
+from colflow.llm.jaccard import op7_jaccard_join
 from colflow.llm.lattice import op5_lm_score
 from colflow.llm.line_runs import op3_line_dedup
 from colflow.llm.notices import op8_license_scan
@@ -20,6 +21,7 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_lm_score": op5_lm_score,
     "op6_decontamination": op6_decontamination,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_license_scan": op8_license_scan,
     "op9_sharding": op9_sharding,
     "op10_warc": op10_warc,

@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from colflow.llm.bpe import op2_bpe
+from colflow.llm.decontaminate import drop_leaks
+from colflow.llm.jaccard import drop_near_duplicates
 from colflow.llm.line_runs import drop_frequent_lines
+from colflow.llm.quality import keep_good
 from colflow.session import materialize
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that ten documents hold go from all of them; ``n_chars`` follows."""
     return drop_frequent_lines(docs).selectExpr(
@@ -16,14 +24,31 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, that with the smallest id."""
+    return drop_near_duplicates(docs, words=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Digests of the token ids and of the decoded text of what is left."""
     return op2_bpe(spark, sf_dir, docs)
 
 
-STAGES = [("line dedup", line_dedup), ("BPE", bpe)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("BPE encoding and decoding", bpe),
+]
 
-#: the tokenizer's rules are not expressible in SQL; the tests hold the rows
-#: against brute force
+#: the similarity stages and the tokenizer's rules are not expressible in SQL; the
+#: tests hold the rows against brute force
 ORACLE_SQL = None
 
 
