@@ -45,9 +45,11 @@ def sql_type(json_type: Column) -> Column:
     )
 
 
+# fixed values: the prefixes of row ids
 def source_row_id(schema: Column, table: Column, column: Column) -> Column:
     return F.concat(F.lit("src-"), F.concat_ws(".", schema, table, column))
 
 
-def target_row_id(target: Column) -> Column:
-    return F.concat(F.lit("tgt-"), target)
+def target_row_id(ordinal: Column, target: Column) -> Column:
+    """With the position, for output names may repeat."""
+    return F.concat(F.lit("tgt-"), ordinal.cast("string"), F.lit("-"), target)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from http import HTTPStatus
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,26 +13,34 @@ CLIENT_ERRORS = [
     "HttpMessageNotReadableException", "ParseException", "AnalysisException", "ExtendedAnalysisException",
 ]
 DATABASE_ERROR = "SQLException"
-REASONS = {400: "Bad Request", 500: "Internal Server Error"}
+REASONS = {status.value: status.phrase for status in HTTPStatus}
 
 
 def _simple_name(error_class: str = "error_class") -> Column:
-    return F.substring_index(error_class, ".", -1)
+    """Name without packages and without the classes it is nested in."""
+    return F.substring_index(F.substring_index(error_class, ".", -1), "$", -1)
 
 
 def classify_failures(failures: DataFrame) -> DataFrame:
-    """Adds ``status``: 400 for the client's errors, 500 for the database's;
-    any other error keeps its own status (``own_status``) or is 500.
+    """Adds ``status``: 500 for the database's errors, 400 for the client's, each
+    with their subclasses (``ancestors``, the superclasses' names); any other
+    error keeps its own status (``own_status``) or is 500.
 
-    SQLSTATE class 42 is a syntax or naming error whatever the class.
+    Outside the database's errors, SQLSTATE class 42 is a syntax or naming error
+    whatever the class.
     """
     own = F.col("own_status") if "own_status" in failures.columns else F.lit(None).cast("int")
     state = F.col("sqlstate") if "sqlstate" in failures.columns else F.lit(None).cast("string")
-    name = _simple_name()
+    above = F.col("ancestors") if "ancestors" in failures.columns else F.lit(None).cast("array<string>")
+    classes = F.concat(F.array("error_class"), F.coalesce(above, F.array().cast("array<string>")))
+
+    def is_one_of(names: list[str]) -> Column:
+        return F.exists(classes, lambda c: F.substring_index(F.substring_index(c, ".", -1), "$", -1).isin(names))
+
     return failures.withColumn(
         "status",
-        F.when(name.isin(CLIENT_ERRORS) | F.coalesce(state.startswith("42"), F.lit(False)), 400)
-        .when(name == DATABASE_ERROR, 500)
+        F.when(is_one_of([DATABASE_ERROR]), 500)
+        .when(is_one_of(CLIENT_ERRORS) | F.coalesce(state.startswith("42"), F.lit(False)), 400)
         .otherwise(F.coalesce(own, F.lit(500))),
     )
 
@@ -48,9 +58,11 @@ def error_body(failures: DataFrame) -> DataFrame:
 
 
 def error_text(bodies: DataFrame) -> DataFrame:
-    """What a user is shown: the message if there is one, else the status line."""
+    """What a user is shown: the message if there is one, else the ``error`` that
+    the reply names, else the status line."""
     reason = F.create_map(*[x for status, text in REASONS.items() for x in (F.lit(status), F.lit(text))])
-    detail = F.when(F.col("message") != "", F.col("message"))
+    told = [F.when(F.col(c) != "", F.col(c)) for c in ("message", "error") if c in bodies.columns]
+    detail = F.coalesce(*told)
     return bodies.select(
         "statement_id",
         F.concat(
@@ -67,4 +79,4 @@ def error_text(bodies: DataFrame) -> DataFrame:
 def quarantine_split(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(good, failed)``: two filters over one table of results."""
     failed = F.col("error_class").isNotNull()
-    return results.filter(~failed).drop("error_class", "chain"), results.filter(failed)
+    return results.filter(~failed).drop("error_class", "chain", "ancestors"), results.filter(failed)

@@ -15,7 +15,7 @@ from colflow.functions.text import source_row_id, target_row_id
 def row_ids(origins: DataFrame) -> DataFrame:
     return origins.withColumn(
         "source_id", source_row_id(F.col("source_schema"), F.col("source_table"), F.col("source_column"))
-    ).withColumn("target_id", target_row_id(F.col("target_column")))
+    ).withColumn("target_id", target_row_id(F.col("target_ordinal"), F.col("target_column")))
 
 
 def mappings(origins: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def split_qualified_name(paths: DataFrame, path: str = "path") -> DataFrame:
 def target_rows(targets: DataFrame) -> DataFrame:
     """Rows of the target card, tagged ``#ordinal``."""
     return targets.select(
-        "statement_id", "target_ordinal", target_row_id(F.col("target_column")).alias("row_id"), "target_column",
+        "statement_id", "target_ordinal", target_row_id(F.col("target_ordinal"), F.col("target_column")).alias("row_id"), "target_column",
         F.concat(F.lit("#"), F.col("target_ordinal").cast("string")).alias("tag"),
     )
 

@@ -111,14 +111,16 @@ def verify_direct(result: DataFrame, targets: DataFrame, origins: DataFrame, tab
     direct, how many distinct non-null values are not found in any of its
     source columns (none should be).
 
-    All columns are checked in one pass: values become (column, text) rows,
-    distinct before they are shuffled, and meet their sources' values once.
+    ``tables`` are named with their schema, or without where that is clear. All
+    columns are checked in one pass: values become (column, text) rows, distinct
+    before they are shuffled, and meet their sources' values once. Without an
+    output to check the result is empty.
     """
     eligible = (
         origins.groupBy("target_ordinal", "target_column")
         .agg(
             F.bool_or("is_derived").alias("any_derived"),
-            F.sort_array(F.collect_set(F.struct("source_table", "source_column"))).alias("sources"),
+            F.sort_array(F.collect_set(F.struct("source_schema", "source_table", "source_column"))).alias("sources"),
         )
         .filter("not any_derived")
         .join(targets.filter("status = 'mapped'").select("target_ordinal"), "target_ordinal")
@@ -131,10 +133,14 @@ def verify_direct(result: DataFrame, targets: DataFrame, origins: DataFrame, tab
         cells = [F.struct(F.lit(t).alias("target_column"), F.col(c).cast("string").alias("v")) for t, c in pairs]
         return df.select(F.inline(F.array(*cells))).filter("v is not null").distinct()
 
+    if not eligible:
+        return result.sparkSession.createDataFrame([], "target_column string, missing_values long")
     by_table: dict[str, list[tuple[str, str]]] = {}
     for row in eligible:
         for source in row.sources:
-            by_table.setdefault(source.source_table, []).append((row.target_column, source.source_column))
+            full = f"{source.source_schema}.{source.source_table}"
+            name = full if full in tables else source.source_table
+            by_table.setdefault(name, []).append((row.target_column, source.source_column))
     known = reduce(DataFrame.unionByName, [rows(tables[t], pairs) for t, pairs in by_table.items()]).distinct()
     return (
         rows(result, [(r.target_column, r.target_column) for r in eligible])

@@ -60,6 +60,11 @@ def _definitions(nodes: DataFrame) -> DataFrame:
     return (
         nodes.select(*NODE_COLUMNS, F.inline("items"))
         .filter("attr is not null")
+        # an attribute listed again is a column of its own: users by position (set
+        # operations, outputs) get that column, readers by attribute the first
+        .withColumn("again", F.row_number().over(Window.partitionBy("plan_id", "tree", "node", "alt", "attr").orderBy("ord")))
+        .withColumn("attr", F.when(F.col("again") == 1, F.col("attr")).otherwise(-(F.col("attr") * 65536 + F.col("again"))))
+        .drop("again")
         .withColumn("bare", F.expr(bare))
         .withColumn(
             "is_derived",

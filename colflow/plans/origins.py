@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,14 +86,21 @@ def uniquify_targets(targets: DataFrame, key: str = "statement_id") -> DataFrame
 
     A suffixed name may meet another column's name; it is then renamed again.
     A column that has its name to itself keeps it for good, so every round
-    settles at least one column of each clashing name.
+    settles at least one column of each clashing name. Only what still clashes
+    goes through another round.
     """
-    named = targets.withColumn("renamed", F.lit(0))
     clash = Window.partitionBy(key, "target_column").orderBy("renamed", "target_ordinal")
+    copy = F.row_number().over(clash) - 2
+    named, settled = targets.withColumn("renamed", F.lit(0)), []
     while True:
-        copy = F.row_number().over(clash) - 2
+        repeated = named.groupBy(key, "target_column").count().filter("count > 1").select(key).distinct()
+        repeated = materialize(repeated, "repeated-names")
+        if repeated.isEmpty():
+            return reduce(DataFrame.unionByName, [*settled, named]).drop("renamed")
+        settled.append(named.join(repeated, key, "left_anti"))
         named = (
-            named.withColumn("copy", copy)
+            named.join(repeated, key, "left_semi")
+            .withColumn("copy", copy)
             .withColumn("renamed", F.when(F.col("copy") >= 0, F.col("renamed") + 1).otherwise(F.lit(0)))
             .withColumn(
                 "target_column",
@@ -100,6 +109,4 @@ def uniquify_targets(targets: DataFrame, key: str = "statement_id") -> DataFrame
             )
             .drop("copy")
         )
-        named = materialize(named, "unique_names")
-        if named.groupBy(key, "target_column").count().filter("count > 1").isEmpty():
-            return named.drop("renamed")
+        named = materialize(named, "unique-names")

@@ -57,14 +57,21 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def release(spark: SparkSession) -> None:
-    """Remove the intermediate tables of this session; frames that still read
-    them become invalid. Checkpoints go with ``spark.cleaner.
-    referenceTracking.cleanCheckpoints``."""
+    """Remove the intermediate tables and checkpoints of this session; frames
+    that still read them become invalid."""
     conf = spark._jsc.hadoopConfiguration()
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+
+    def delete(name: str) -> None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
 
+    while _written:
+        delete(_written.pop())
+    # Spark gives each application a folder of its own for its checkpoints
+    if (own := spark.sparkContext.getCheckpointDir()) is not None:
+        delete(own)
+        spark.sparkContext.setCheckpointDir(work_dir(spark))
+
 
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` in the shared folder: the plan so far is done and

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # fixed values: schemas the database keeps for itself
 SYSTEM_SCHEMAS = ["pg_catalog", "information_schema", "pg_toast"]
@@ -26,7 +27,17 @@ POSTGRES_TYPES = {
     "double precision": "DOUBLE",
     "real": "FLOAT",
     "numeric": "DECIMAL(38,18)",
+    "uuid": "STRING",
+    "json": "STRING",
+    "jsonb": "STRING",
+    "bytea": "BINARY",
+    "time without time zone": "STRING",
+    "time with time zone": "STRING",
+    "interval": "STRING",
 }
+# how a type without a counterpart is read: lineage needs the column, not its values
+FALLBACK_TYPE = "STRING"
+_SIZES = ["character_maximum_length", "numeric_precision", "numeric_scale"]
 
 
 def filter_system_schemas(df: DataFrame, column: str) -> DataFrame:
@@ -42,7 +53,8 @@ def catalog_columns(information_schema: DataFrame, names: list[str] | None = Non
     """Catalog from rows of ``information_schema.columns``.
 
     Named schemas are taken as asked for; otherwise every schema but the
-    system's. Ordinals there start at 1, here at 0.
+    system's. Ordinals there start at 1, here at 0. Length, precision and scale
+    become part of the type if the rows have them.
     """
     rows = restrict_schemas(information_schema, names, "table_schema")
     if not names:
@@ -52,10 +64,38 @@ def catalog_columns(information_schema: DataFrame, names: list[str] | None = Non
         F.col("table_name").alias("table"),
         F.col("column_name").alias("column"),
         (F.col("ordinal_position") - 1).cast("int").alias("ordinal"),
-        "data_type",
+        _sized_type(rows).alias("data_type"),
     ).distinct()
 
 
+def _sized_type(rows: DataFrame) -> Column:
+    kind = F.col("data_type")
+    if not set(_SIZES) <= set(rows.columns):
+        return kind
+    length, precision, scale = (F.col(c).cast("int") for c in _SIZES)
+    numeric = F.concat(F.lit("numeric("), precision.cast("string"), F.lit(","), F.coalesce(scale, F.lit(0)).cast("string"), F.lit(")"))
+    text = F.concat(kind, F.lit("("), length.cast("string"), F.lit(")"))
+    return (
+        F.when((kind == "numeric") & precision.between(1, 38), numeric)
+        .when(kind.isin("character", "character varying") & length.isNotNull(), text)
+        .otherwise(kind)
+    )
+
+
+def spark_type(data_type: str) -> str:
+    """Spark's name for a type of the database or of Spark itself; what has no
+    counterpart is read as text."""
+    base, _, size = data_type.partition("(")
+    if base in POSTGRES_TYPES:
+        named = {"numeric": "DECIMAL", "character": "CHAR", "character varying": "VARCHAR"}
+        return f"{named[base]}({size}" if size and base in named else POSTGRES_TYPES[base]
+    try:
+        T.DataType.fromDDL(f"c {data_type}")
+    except Exception:
+        return FALLBACK_TYPE
+    return data_type
+
+
 def read_information_schema(spark: SparkSession, url: str, **options: str) -> DataFrame:
     """``information_schema.columns`` of a database, over JDBC; the filters of
     ``catalog_columns`` are pushed to the database."""
@@ -63,7 +103,7 @@ def read_information_schema(spark: SparkSession, url: str, **options: str) -> Da
         spark.read.format("jdbc")
         .options(url=url, dbtable="information_schema.columns", **options)
         .load()
-        .select("table_schema", "table_name", "column_name", "ordinal_position", "data_type")
+        .select("table_schema", "table_name", "column_name", "ordinal_position", "data_type", *_SIZES)
     )
 
 
@@ -90,9 +130,12 @@ def register_catalog(spark: SparkSession, catalog: DataFrame, location: str) ->
         return "`" + text.replace("`", "``") + "`"
 
     for schema in {key[0] for key in tables}:
-        spark.sql(f"CREATE SCHEMA IF NOT EXISTS {name(schema)} LOCATION '{location}/{schema}'")
+        place = f"{location}/{schema}".replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(f"CREATE SCHEMA IF NOT EXISTS {name(schema)} LOCATION '{place}'")
     for (schema, table), columns in tables.items():
         fields = ", ".join(
-            f"{name(c.column)} {POSTGRES_TYPES.get(c.data_type, c.data_type)}" for c in columns
+            f"{name(c.column)} {spark_type(c.data_type)}" for c in columns
         )
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {name(schema)}.{name(table)} ({fields}) USING parquet")
+        # a table kept from before may have had other columns
+        spark.sql(f"DROP TABLE IF EXISTS {name(schema)}.{name(table)}")
+        spark.sql(f"CREATE TABLE {name(schema)}.{name(table)} ({fields}) USING parquet")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colflow.session import new_path
+from colflow.session import materialize, new_path
 
 RESULT = T.StructType(
     [
@@ -27,10 +27,42 @@ RESULT = T.StructType(
         T.StructField("error_class", T.StringType()),
         T.StructField("sqlstate", T.StringType()),
         T.StructField("chain", T.ArrayType(T.StringType())),
+        T.StructField("ancestors", T.ArrayType(T.StringType())),
     ]
 )
 
-_UNKNOWN_ROUTINE = re.compile(r"\[UNRESOLVED_ROUTINE\].*?routine `([A-Za-z_]\w*)`")
+STORED = T.StructType([*RESULT.fields, T.StructField("setting", T.StringType())])
+
+
+class PlanStore:
+    """Plans kept between runs, in a table at ``path``: a text is analyzed once
+    for each catalog and setting, by whichever run or driver sees it first.
+
+    The catalog is known by a hash of its columns, so plans of an older catalog
+    stay in the table but are not used. Two drivers that analyze the same text at
+    the same time store it twice; the readers take it once.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, catalog: DataFrame):
+        self.spark, self.path = spark, path
+        columns = ["schema", "table", "column", "ordinal", "data_type"]
+        mark = F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).cast("string")
+        self.catalog_key = catalog.select(*columns).distinct().agg(mark).first()[0] or ""
+        # an empty first write fixes the schema
+        spark.createDataFrame([], STORED).write.mode("append").parquet(path)
+
+    def setting(self, lenient: bool) -> str:
+        return f"{self.catalog_key} {'lenient' if lenient else 'strict'}"
+
+    def known(self, lenient: bool) -> DataFrame:
+        stored = self.spark.read.schema(STORED).parquet(self.path)
+        return stored.filter(F.col("setting") == self.setting(lenient)).drop("setting").dropDuplicates(["fingerprint"])
+
+    def add(self, results: DataFrame, lenient: bool) -> None:
+        results.withColumn("setting", F.lit(self.setting(lenient))).write.mode("append").parquet(self.path)
+
+
+_UNKNOWN_ROUTINE = re.compile(r"\[UNRESOLVED_ROUTINE\].*?routine ((?:`[A-Za-z_]\w*`\.)*`[A-Za-z_]\w*`)")
 # words the parser reports as routines although they belong to unsupported syntax
 _NOT_A_ROUTINE = {"on", "distinct", "in", "all", "any", "some", "exists"}
 
@@ -41,8 +73,23 @@ def harvest_plans(
     lenient: bool = False,
     threads: int = 8,
     batch_size: int = 2000,
+    store: PlanStore | None = None,
+    shard: tuple[int, int] = (0, 1),
 ) -> tuple[DataFrame, DataFrame]:
-    """``statements(fingerprint, sql, default_schema)`` to ``(plans, failures)``."""
+    """``statements(fingerprint, sql, default_schema)`` to ``(plans, failures)``.
+
+    The analysis has a session of its own: current schema, settings and stand-in
+    functions stay there. It sees the catalog's tables and views, not the caller's
+    temporary views. With a ``store`` only texts that it does not hold are
+    analyzed, and added to it. ``shard=(i, n)`` takes the i-th of n shares of the
+    texts, by hash, so that n drivers can share the work.
+    """
+    own = spark.newSession()
+    i, n = shard
+    statements = statements.filter(F.pmod(F.xxhash64("fingerprint"), F.lit(n)) == i)
+    if store is not None:
+        known = materialize(store.known(lenient).join(statements.select("fingerprint"), "fingerprint", "left_semi"), "known-plans")
+        statements = statements.join(known.select("fingerprint"), "fingerprint", "left_anti")
     path = new_path(spark, "harvest")
     # an empty first write fixes the schema, also when no statement arrives
     spark.createDataFrame([], RESULT).write.parquet(path)
@@ -55,23 +102,22 @@ def harvest_plans(
         for row in batch:
             by_schema.setdefault(row.default_schema, []).append(row)
         for schema, group in by_schema.items():
-            rows += _analyze_group(spark, schema, group, lenient, threads)
+            rows += _analyze_group(own, schema, group, lenient, threads)
         spark.createDataFrame(rows, RESULT).write.mode("append").parquet(path)
     results = spark.read.schema(RESULT).parquet(path)
+    if store is not None:
+        store.add(results, lenient)
+        results = known.unionByName(results)
     ok = F.col("error_class").isNull()
     return (
         results.filter(ok).select("fingerprint", "plan_json", "output_json", "written_table"),
-        results.filter(~ok).select("fingerprint", "error_class", "sqlstate", "chain"),
+        results.filter(~ok).select("fingerprint", "error_class", "sqlstate", "chain", "ancestors"),
     )
 
 
 def _analyze_group(spark, schema, rows, lenient, threads):
-    before = spark.catalog.currentDatabase()
-    quotes = spark.conf.get("spark.sql.ansi.doubleQuotedIdentifiers", "false")
-    ansi = spark.conf.get("spark.sql.ansi.enabled", "true")
     try:
-        if schema:
-            spark.catalog.setCurrentDatabase(schema)
+        spark.catalog.setCurrentDatabase(schema or "default")
         # "..." names a column, as in the reference's SQL dialect
         spark.conf.set("spark.sql.ansi.enabled", "true")
         spark.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")
@@ -79,10 +125,6 @@ def _analyze_group(spark, schema, rows, lenient, threads):
             return list(pool.map(lambda r: _analyze(spark, r.fingerprint, r.sql, lenient), rows))
     except Exception as error:  # the schema itself does not exist
         return [_failure(r.fingerprint, error) for r in rows]
-    finally:
-        spark.catalog.setCurrentDatabase(before)
-        spark.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", quotes)
-        spark.conf.set("spark.sql.ansi.enabled", ansi)
 
 
 def _analyze(spark, fingerprint, sql, lenient):
@@ -103,8 +145,8 @@ def _analyze(spark, fingerprint, sql, lenient):
                     plan = plan.query()
                 except Py4JError:
                     reason = f"statement has no query: {plan.nodeName()}"
-                    return (fingerprint, None, None, None, "java.lang.IllegalArgumentException", None, [reason])
-            return (fingerprint, plan.toJSON(), plan.schema().json(), written, None, None, None)
+                    return (fingerprint, None, None, None, "java.lang.IllegalArgumentException", None, [reason], [])
+            return (fingerprint, plan.toJSON(), plan.schema().json(), written, None, None, None, None)
         except Exception as error:
             name = _unknown_routine(error) if lenient else None
             if name is None or name in registered:
@@ -112,14 +154,17 @@ def _analyze(spark, fingerprint, sql, lenient):
             # a lenient lookup lets unknown functions through: a stand-in with
             # any number of arguments; it is analyzed, never called
             registered.add(name)
+            if "." in name:
+                call = r"(?i)(?<![\w`.])" + r"\s*\.\s*".join(f"`?{part}`?" for part in name.split(".")) + r"\s*\("
+                sql = re.sub(call, name.replace(".", "_") + "(", sql)
+                name = name.replace(".", "_")
             spark.udf.register(name, lambda *args: None, T.StringType())
 
 
 def _unknown_routine(error):
     found = _UNKNOWN_ROUTINE.search(str(error))
-    if not found or found.group(1).lower() in _NOT_A_ROUTINE:
-        return None
-    return found.group(1)
+    name = found and found.group(1).replace("`", "")
+    return name if name and name.lower() not in _NOT_A_ROUTINE else None
 
 
 def _written_table(command):
@@ -138,13 +183,19 @@ def _written_table(command):
 def _failure(fingerprint, error):
     java = error.java_exception if isinstance(error, Py4JJavaError) else getattr(error, "_origin", None)
     if java is None:
-        return (fingerprint, None, None, None, type(error).__name__, None, [str(error)])
-    chain, cause = [], java
-    while cause is not None and len(chain) < 20:
-        chain.append(cause.getMessage())
+        above = [c.__name__ for c in type(error).__mro__[1:-1]]
+        return (fingerprint, None, None, None, type(error).__name__, None, [str(error)], above)
+    seen, cause = [], java
+    while cause is not None and not any(cause.equals(c) for c in seen):  # a cause may lead back
+        seen.append(cause)
         cause = cause.getCause()
+    chain = [c.getMessage() for c in seen]
+    ancestors, above = [], java.getClass().getSuperclass()
+    while above is not None:
+        ancestors.append(above.getName())
+        above = above.getSuperclass()
     try:
         state = java.getSqlState()
     except Exception:
         state = None
-    return (fingerprint, None, None, None, java.getClass().getName(), state, chain)
+    return (fingerprint, None, None, None, java.getClass().getName(), state, chain, ancestors)

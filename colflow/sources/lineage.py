@@ -6,9 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colflow.plans.origins import lineage_of_plans
+from colflow.plans.origins import lineage_of_plans, uniquify_targets
 from colflow.session import materialize
-from colflow.sources.harvest import harvest_plans
+from colflow.sources.harvest import PlanStore, harvest_plans
 from colflow.sources.statements import distinct_fingerprints, fan_out, statement_fingerprint
 
 
@@ -49,11 +49,26 @@ class Analysis:
         return fan_out(statements, self.texts, rows)
 
 
-def analyze_texts(spark: SparkSession, texts: DataFrame, lenient: bool = False, stop_at_views: bool = False) -> Analysis:
-    """Analyze ``texts(text_key, fingerprint, sql, default_schema, statements)``."""
+def analyze_texts(
+    spark: SparkSession,
+    texts: DataFrame,
+    lenient: bool = False,
+    stop_at_views: bool = False,
+    unique_names: bool = True,
+    store: PlanStore | None = None,
+) -> Analysis:
+    """Analyze ``texts(text_key, fingerprint, sql, default_schema, statements)``.
+
+    With ``unique_names`` repeated output names get a suffix, so that none is
+    lost where names are keys. Plans come from the ``store``, if given, where it
+    has them."""
     texts = materialize(texts, "texts")
-    plans, failures = harvest_plans(spark, distinct_fingerprints(texts), lenient)
+    plans, failures = harvest_plans(spark, distinct_fingerprints(texts), lenient, store=store)
     targets, origins = lineage_of_plans(plans.withColumnRenamed("fingerprint", "plan_id"), stop_at_views)
+    if unique_names:
+        targets = materialize(uniquify_targets(targets, "plan_id"), "targets")
+        names = targets.select("plan_id", "target_ordinal", "target_column")
+        origins = origins.drop("target_column").join(names, ["plan_id", "target_ordinal"])
     return Analysis(
         plans,
         targets.withColumnRenamed("plan_id", "fingerprint"),
@@ -64,8 +79,13 @@ def analyze_texts(spark: SparkSession, texts: DataFrame, lenient: bool = False,
 
 
 def analyze_statements(
-    spark: SparkSession, statements: DataFrame, lenient: bool = False, stop_at_views: bool = False
+    spark: SparkSession,
+    statements: DataFrame,
+    lenient: bool = False,
+    stop_at_views: bool = False,
+    unique_names: bool = True,
+    store: PlanStore | None = None,
 ) -> Lineage:
     """``statements(statement_id, sql, default_schema)`` to their lineage."""
     marked, texts = statement_fingerprint(statements)
-    return analyze_texts(spark, texts, lenient, stop_at_views).of(marked)
+    return analyze_texts(spark, texts, lenient, stop_at_views, unique_names, store).of(marked)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colflow.functions.text import fingerprint, normalize_statement, text_key
+from colflow.session import materialize
 
 REQUEST = T.StructType(
     [
@@ -63,8 +64,6 @@ def distinct_fingerprints(texts: DataFrame) -> DataFrame:
 
 # A text with more statements than this is spread over several join keys.
 ROWS_PER_SALT = 1_000_000
-# and no more than this many texts can be that frequent, which bounds the broadcast
-MAX_HOT = 10_000
 
 
 def fan_out(statements: DataFrame, texts: DataFrame, results: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
@@ -72,14 +71,12 @@ def fan_out(statements: DataFrame, texts: DataFrame, results: DataFrame, rows_pe
 
     ``statements(statement_id, text_key)`` may be large and skewed. Texts
     above the threshold get several join keys: their statements are spread by
-    hash and their (few) results repeated for each key. The threshold is at
-    least total / MAX_HOT, so at most MAX_HOT texts pass it and the hot list
-    can always be broadcast.
+    hash and their (few) results repeated for each key. The list of such texts
+    is stored, so its size decides how it is joined: broadcast if small, else
+    by shuffle, where adaptive execution splits the hot texts.
     """
-    total = texts.agg(F.sum("statements")).first()[0] or 0
-    threshold = max(rows_per_salt, total // MAX_HOT + 1)
-    salts = F.ceil(F.col("statements") / threshold).cast("int")
-    hot = F.broadcast(texts.filter(F.col("statements") > threshold).select("text_key", salts.alias("salts")))
+    salts = F.ceil(F.col("statements") / rows_per_salt).cast("int")
+    hot = materialize(texts.filter(F.col("statements") > rows_per_salt).select("text_key", salts.alias("salts")), "hot-texts")
     spread = (
         statements.select("statement_id", "text_key")
         .join(hot, "text_key", "left")

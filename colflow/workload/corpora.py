@@ -35,22 +35,27 @@ _LAYOUT_SQL = """case o_orderstatus
   else '/* order */  ' || text || ' ;' end"""
 
 
+# the number an order puts for {n}
+_NUMBER_SQL = "o_custkey % 5 + 1"
+
+
 def _written(picked: DataFrame) -> DataFrame:
     """``picked(..., text)`` to the statement as its order writes it."""
     return (
-        picked.withColumn("text", F.replace("text", F.lit("{n}"), F.substring("o_orderpriority", 1, 1)))
+        picked.withColumn("text", F.replace("text", F.lit("{n}"), F.col("n").cast("string")))
         .withColumn("sql", F.expr(_LAYOUT_SQL))
         .withColumn("default_schema", F.lit(SCHEMA))
     )
 
 
-def statements(spark: SparkSession, sf_dir: str, keys: list[str]) -> DataFrame:
+def statements(spark: SparkSession, sf_dir: str, keys: list[str], orders: DataFrame | None = None) -> DataFrame:
     """``(statement_id, template, sql, default_schema)``; order k submits
-    template k mod n, so one key alone is submitted by every order."""
+    template k mod n, so one key alone is submitted by every order. ``orders`` may
+    be a stream."""
     texts = F.array(*[F.lit(TEMPLATES[k].text()) for k in keys])
     picked = (
-        load(spark, sf_dir, "orders")
-        .select(F.col("o_orderkey").alias("statement_id"), "o_orderstatus", "o_orderpriority")
+        (load(spark, sf_dir, "orders") if orders is None else orders)
+        .select(F.col("o_orderkey").alias("statement_id"), "o_orderstatus", F.expr(_NUMBER_SQL).alias("n"))
         .withColumn("template", F.pmod("statement_id", F.lit(len(keys))).cast("int"))
         .withColumn("text", F.get(texts, "template"))
     )
@@ -60,7 +65,7 @@ def statements(spark: SparkSession, sf_dir: str, keys: list[str]) -> DataFrame:
 def all_texts(spark: SparkSession, sf_dir: str, keys: list[str]) -> DataFrame:
     """The texts when every order submits every template. Orders that write
     alike are counted before the templates multiply them."""
-    alike = load(spark, sf_dir, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("statements"))
+    alike = load(spark, sf_dir, "orders").groupBy("o_orderstatus", F.expr(_NUMBER_SQL).alias("n")).agg(F.count("*").alias("statements"))
     texts = F.array(*[F.lit(TEMPLATES[k].text()) for k in keys])
     raw = (
         _written(alike.select("*", F.explode(texts).alias("text")))
@@ -143,19 +148,24 @@ O_SQL = f"""
 
 G_SQL = """
   select p_partkey as to_id, cast(floor(p_partkey / 2) as bigint) as from_id, p_size % 2 = 1 as is_derived
-  from part where p_partkey >= 50
+  from part where p_partkey > 0
   union
-  select p_partkey, cast(floor(p_partkey / 3) as bigint), p_size % 3 = 0 from part where p_partkey >= 50"""
+  select p_partkey, cast(floor(p_partkey / 3) as bigint), p_size % 3 = 0 from part where p_partkey > 0"""
 
 F_SQL = """
   select event_id as statement_id,
-         case when event_type = 'error' then 'org.x.ParseException'
-              when event_type = 'view' then 'java.sql.SQLException' else 'org.x.Other' end as error_class,
+         case event_type when 'error' then 'org.x.ParseException' when 'view' then 'java.sql.SQLException'
+              when 'signup' then 'org.x.Outer$Inner' when 'click' then 'java.lang.NumberFormatException'
+              else 'org.x.Other' end as error_class,
+         case event_type when 'click' then 'java.lang.IllegalArgumentException'
+              when 'view' then 'java.lang.Exception' end as ancestor,
+         case when event_id % 4 = 0 then '42P01' when event_id % 4 = 1 then '08006' end as sqlstate,
+         cast(case event_id % 7 when 0 then 404 when 1 then 405 when 2 then 415 end as int) as own_status,
          case when event_id % 3 = 0 then cast(null as string) when event_id % 3 = 1 then '  '
               else concat('m', cast(event_id as string)) end as msg0,
          case when event_id % 5 = 0 then cast(null as string)
               else concat('cause', cast(event_id as string)) end as msg1
-  from events where event_type in ('error', 'view', 'signup')"""
+  from events"""
 
 # catalog as a database would list it, with system schemas among the rest
 I_SQL = """

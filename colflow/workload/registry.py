@@ -1,7 +1,9 @@
 """Every query with its oracle.
 
 A query is ``(spark, sf_dir) -> DataFrame``; its oracle is the same answer in
-DuckDB SQL over the same tables, written independently of the Spark code.
+DuckDB SQL over the same tables. The operator's part is written independently of
+the Spark code; where an operator runs on a derived table (T, O, G, F, I, R), both
+sides share the text of that derivation.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from colflow.plans.edges import PlanGraph, extract_attr_edges, extract_bases, ex
 from colflow.plans.flatten import flatten_plans
 from colflow.session import materialize, new_path
 from colflow.sources import catalog as cat
+from colflow.sources.harvest import PlanStore
 from colflow.sources.statements import (
     distinct_fingerprints,
     fan_out,
@@ -72,11 +75,16 @@ def _r(spark, sf):
 
 
 def _f(spark, sf):
-    return from_sql(spark, sf, F_SQL).select("statement_id", "error_class", F.array("msg0", "msg1").alias("chain"))
+    ancestors = F.when(F.col("ancestor").isNotNull(), F.array("ancestor"))
+    return from_sql(spark, sf, F_SQL).select(
+        "statement_id", "error_class", "sqlstate", "own_status", ancestors.alias("ancestors"), F.array("msg0", "msg1").alias("chain")
+    )
 
 
 def _with(**parts: str) -> str:
-    return "with recursive " + ", ".join(f"{name} as ({sql})" for name, sql in parts.items()) + " "
+    # tables that an oracle names several times are worked out once
+    once = {name: "materialized " if name in ("t", "o", "e", "w") else "" for name in parts}
+    return "with recursive " + ", ".join(f"{name} as {once[name]}({sql})" for name, sql in parts.items()) + " "
 
 
 # ---- sources, catalog, sinks ------------------------------------------------
@@ -154,7 +162,7 @@ def _mixed_texts() -> str:
 
 
 @query(
-    f"""select sha256('sample' || chr(10) || replace(text, '{{n}}', substr(o_orderpriority, 1, 1))) as fingerprint,
+    f"""select sha256('sample' || chr(10) || replace(text, '{{n}}', cast(o_custkey % 5 + 1 as varchar))) as fingerprint,
           count(*) as statements
         from orders join {_mixed_texts()} on o_orderkey % {len(corpora.mixed_keys())} = template group by 1"""
 )
@@ -379,7 +387,8 @@ def _written(key: str, table: str) -> None:
 _written("insert_select", "sample.region")
 _written("create_select", "sample.region_names")
 
-_ROOTS = "select p_partkey as root from part"
+# the columns asked about are another table's
+_ROOTS = "select s_suppkey as root from supplier"
 
 
 @query(
@@ -539,7 +548,7 @@ def render_origin(spark, sf):
 # ---- graph ------------------------------------------------------------------
 
 _IDS = """'src-' || source_schema || '.' || source_table || '.' || source_column as source_id,
-  'tgt-' || target_column as target_id"""
+  'tgt-' || target_ordinal || '-' || target_column as target_id"""
 _EDGES = f"""select statement_id, source_id as "from", target_id as "to",
   case when is_derived then 'derived' else 'direct' end as label, is_derived as dashed
   from (select *, {_IDS} from ({O_SQL}))"""
@@ -548,10 +557,10 @@ _COLUMNS = """select statement_id, source_schema, source_table, source_column, c
     order by target_ordinal, data_type) as place from o) where place = 1"""
 _ROWS = """select statement_id, 'src-' || source_schema || '.' || source_table || '.' || source_column as row_id,
     source_schema || '.' || source_table as table_id from o
-  union select statement_id, 'tgt-' || target_column, 'target-id' from t"""
+  union select statement_id, 'tgt-' || target_ordinal || '-' || target_column, 'target-id' from t"""
 # the column in focus: the first output of each statement
-_KEEP = """select statement_id, 'tgt-c1' as row_id from t where target_column = 'c1'
-  union select statement_id, "from" from e where "to" = 'tgt-c1'"""
+_KEEP = """select statement_id, 'tgt-1-c1' as row_id from t where target_column = 'c1'
+  union select statement_id, "from" from e where "to" = 'tgt-1-c1'"""
 
 
 @query(f"select *, {_IDS} from ({O_SQL})")
@@ -606,7 +615,7 @@ def split_qualified_name(spark, sf):
 
 @query(
     _with(t=T_SQL)
-    + """select statement_id, target_ordinal, 'tgt-' || target_column as row_id, target_column, '#' || target_ordinal as tag
+    + """select statement_id, target_ordinal, 'tgt-' || target_ordinal || '-' || target_column as row_id, target_column, '#' || target_ordinal as tag
          from t"""
 )
 def target_rows(spark, sf):
@@ -619,17 +628,19 @@ def _rows(spark, sf):
 
 @query(
     _with(t=T_SQL, o=O_SQL, e=_EDGES, w=_ROWS)
-    + """, kept as (select * from w where row_id like 'tgt-%' or row_id not like '%5')
+    + """, kept as materialized (select * from w where row_id like 'tgt-%' or row_id not like '%5')
          select e.* from e where exists (select 1 from kept where kept.statement_id = e.statement_id and row_id = e."from")
            and exists (select 1 from kept where kept.statement_id = e.statement_id and row_id = e."to")"""
 )
 def drop_dangling_edges(spark, sf):
-    rows = _rows(spark, sf).filter("row_id like 'tgt-%' or row_id not like '%5'")
-    return graph.drop_dangling_edges(graph.mappings(_o(spark, sf)), rows)
+    # stored once: the edges and both kinds of rows come from it
+    origins, targets = materialize(_o(spark, sf), "origins"), materialize(_t(spark, sf), "targets")
+    rows = graph.graph_rows(targets, graph.source_columns(origins)).filter("row_id like 'tgt-%' or row_id not like '%5'")
+    return graph.drop_dangling_edges(graph.mappings(origins), rows)
 
 
 def _keep(spark, sf):
-    focus = _t(spark, sf).filter("target_column = 'c1'").select("statement_id", F.lit("tgt-c1").alias("row_id"))
+    focus = _t(spark, sf).filter("target_column = 'c1'").select("statement_id", F.lit("tgt-1-c1").alias("row_id"))
     return graph.focus_column(graph.mappings(_o(spark, sf)), focus=focus)
 
 
@@ -674,19 +685,20 @@ def qualified_name(spark, sf):
 
 # ---- errors -----------------------------------------------------------------
 
-_STATUS = "case when error_class like '%ParseException' then 400 else 500 end"
+_STATUS = """case when error_class = 'java.sql.SQLException' then 500 when error_class like '%ParseException'
+  or ancestor = 'java.lang.IllegalArgumentException' or sqlstate like '42%' then 400 else coalesce(own_status, 500) end"""
 _MESSAGE = """case when trim(coalesce(msg0, '')) <> '' then msg0 when trim(coalesce(msg1, '')) <> '' then msg1
-  else split_part(error_class, '.', -1) end"""
+  else split_part(split_part(error_class, '.', -1), '$', -1) end"""
 
 
 @query(_with(f=F_SQL) + f"select statement_id, error_class, cast({_STATUS} as int) as status from f")
 def classify_failures(spark, sf):
-    return fail.classify_failures(_f(spark, sf)).drop("chain")
+    return fail.classify_failures(_f(spark, sf)).select("statement_id", "error_class", "status")
 
 
 @query(_with(f=F_SQL) + f"select statement_id, error_class, {_MESSAGE} as message from f")
 def root_message(spark, sf):
-    return fail.root_message(_f(spark, sf)).drop("chain")
+    return fail.root_message(_f(spark, sf)).select("statement_id", "error_class", "message")
 
 
 _BODIES = f"""select statement_id, cast({_STATUS} as int) as status, {_MESSAGE} as message, error_class as exception
@@ -701,21 +713,27 @@ def error_body(spark, sf):
 @query(
     _with(f=F_SQL, b=_BODIES)
     + """select statement_id, 'HTTP ' || status || case when statement_id % 4 > 0 then ': ' || message
-           when status = 400 then ' Bad Request' else ' Internal Server Error' end as text from b"""
+           when statement_id % 8 = 0 then ': named' else case status when 400 then ' Bad Request'
+           when 404 then ' Not Found' when 405 then ' Method Not Allowed' when 415 then ' Unsupported Media Type'
+           else ' Internal Server Error' end end as text from b"""
 )
 def error_text(spark, sf):
-    # every fourth reply has no message
+    # every fourth reply has no message, half of these an error of another name
     bodies = fail.error_body(_f(spark, sf)).withColumn("message", F.expr("if(statement_id % 4 > 0, message, null)"))
+    bodies = bodies.withColumn("error", F.expr("if(statement_id % 8 = 0, 'named', '')"))
     return fail.error_text(bodies)
 
 
 @query(
     _with(f=F_SQL)
-    + """select event_id as statement_id, f.error_class, case when f.error_class is null then 'good' else 'failed' end as part
-         from events left join f on f.statement_id = event_id"""
+    + """select statement_id, error_class, 'failed' as part from f
+         union all select -1 - o_orderkey, null, 'good' from orders"""
 )
 def quarantine_split(spark, sf):
-    submitted = load(spark, sf, "events").select(F.col("event_id").alias("statement_id"))
+    # the events failed, the orders did not
+    submitted = load(spark, sf, "events").select(F.col("event_id").alias("statement_id")).unionAll(
+        load(spark, sf, "orders").selectExpr("-1 - o_orderkey")
+    )
     good, failed = fail.quarantine_split(submitted.join(_f(spark, sf), "statement_id", "left"))
     return good.select("statement_id", F.lit(None).cast("string").alias("error_class"), F.lit("good").alias("part")).unionByName(
         failed.select("statement_id", "error_class", F.lit("failed").alias("part"))
@@ -888,29 +906,29 @@ for _key, _sql in DUCKDB_TEXT.items():
 
 # ---- streaming --------------------------------------------------------------
 
-# analyzed texts by fingerprint: here the event type, with its columns from O
-_BY_TYPE = f"""select case cast(substr(source_column, 5) as int) % 5 when 0 then 'view' when 1 then 'signup'
-    when 2 then 'error' when 3 then 'click' else 'purchase' end as fingerprint,
-  is_derived, min(source_table) as source_table, max(source_column) as source_column from ({O_SQL})
-  group by 1, is_derived"""
+# what the orders submit while they arrive
+STREAMED = ["join_multiway", "union", "window_agg", "subquery_scalar", "cte", "intersect_except"]
+STREAM_COLUMNS = [
+    "statement_id", "target_ordinal", "target_column", "source_schema", "source_table", "source_column", "is_derived",
+]
 
 
 @query(
-    f"""select event_id as statement_id, b.fingerprint, b.source_table, b.source_column, b.is_derived
-        from events join ({_BY_TYPE}) b on b.fingerprint = event_type"""
+    f"""select {", ".join(STREAM_COLUMNS)} from (select {_EXPECTED_COLUMNS} from orders join {
+        _expected([(i, *edge) for i, k in enumerate(STREAMED) for edge in TEMPLATES[k].edges()])
+    } on o_orderkey % {len(STREAMED)} = template) where status = 'mapped'"""
 )
 def stream_lineage_edges(spark, sf):
-    static = materialize(from_sql(spark, sf, _BY_TYPE), "analyzed_texts")
-    schema = load(spark, sf, "events").schema
+    corpora.prepare_catalog(spark, sf)
+    catalog = cat.catalog_of_tables(spark, corpora.SCHEMA, {t: load(spark, sf, t) for t in TABLES})
+    store = PlanStore(spark, new_path(spark, "plan-store"), catalog)
     arriving = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(sf)
-        .select(F.col("event_id").alias("statement_id"), F.col("event_type").alias("fingerprint"))
+        spark.readStream.schema(load(spark, sf, "orders").schema).option("pathGlobFilter", "orders.parquet").parquet(sf)
     )
-    path = new_path(spark, "stream_out")
-    stream_lineage(arriving, static, path, new_path(spark, "stream_checkpoint")).awaitTermination()
-    return spark.read.parquet(path)
+    path, failures = new_path(spark, "stream-out"), new_path(spark, "stream-failures")
+    submitted = corpora.statements(spark, sf, STREAMED, arriving)
+    stream_lineage(submitted, path, failures, new_path(spark, "stream-checkpoint"), store).awaitTermination()
+    return spark.read.parquet(path).select(*STREAM_COLUMNS)
 
 
 QUERIES["stream_lineage"] = QUERIES.pop("stream_lineage_edges")

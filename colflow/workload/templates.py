@@ -367,6 +367,15 @@ TEMPLATES: dict[str, Template] = {
         " except select n_nationkey from nation where n_regionkey = {n}",
         "k <- customer.c_nationkey, supplier.s_nationkey, nation.n_nationkey",
     ),
+    "intersect_except_repeated": Template(
+        # a column repeated in the first branch is two output positions
+        "(select n_name, n_name from nation intersect select c_name, c_mktsegment from customer)"
+        " except select r_name, r_name from region where r_regionkey > {n}",
+        """
+        n_name <- nation.n_name, customer.c_name, region.r_name
+        n_name0 <- nation.n_name, customer.c_mktsegment, region.r_name
+        """,
+    ),
     "values": Template(
         "select x, y from (values (1, 'a'), ({n}, 'b')) as t(x, y)",
         """
