@@ -8,19 +8,21 @@ import pytest
 from oracle import compare
 
 from __spark_entry__ import entry, oracle_sql, queries
+from colflow.workload.registry import ORACLES, QUERIES
 
 END_TO_END = {"lineage_join_multiway", "lineage_insert_select", "lineage_view_stop", "lineage_fn_udf"}
-KEYS = [k for k in queries() if not k.startswith("lineage_") or k in END_TO_END or k == "lineage_diff"]
+KEYS = [k for k in QUERIES if not k.startswith("lineage_") or k in END_TO_END or k == "lineage_diff"]
 
 
 @pytest.mark.parametrize("key", KEYS)
 def test_query(spark, duck, sf_dir, key):
-    df = queries()[key](spark, sf_dir)
-    assert compare(df, duck, oracle_sql()[key]) is None
+    df = QUERIES[key](spark, sf_dir)
+    assert compare(df, duck, ORACLES[key]) is None
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
 def test_entry(spark):
@@ -29,5 +31,5 @@ def test_entry(spark):
 
 def test_running_twice_gives_the_same(spark, sf_dir):
     for key in ("column_origins", "source_columns"):
-        first = {tuple(r) for r in queries()[key](spark, sf_dir).collect()}
-        assert first == {tuple(r) for r in queries()[key](spark, sf_dir).collect()}
+        first = {tuple(r) for r in QUERIES[key](spark, sf_dir).collect()}
+        assert first == {tuple(r) for r in QUERIES[key](spark, sf_dir).collect()}
