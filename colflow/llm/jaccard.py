@@ -13,10 +13,17 @@ goes only to the lists of the blocks where a partner may be: lists of other
 positions and blocks are skipped as a whole.
 
 Answers from similar sets. A list is not expanded into pairs. Its members are
-verified against one of them, the hub; what links with the hub has the hub's
-component as its answer, and only members of different components are left for the
-next round with another hub. What still shares a list after the rounds is verified
-pair by pair, so no link between different components is lost.
+compared with one of them, the hub ``h``, that shares most lists with others, and
+their answers are derived from what they differ in. Let x lack r of the hub's
+shingles and have a others, X be all these, and t the threshold. Two members have
+``|h| - |X & h| - |Y & h| + |X & Y|`` shingles in common. It follows that, if they
+link and not both link with the hub (then its component is their answer), X and Y
+share at least ``max(1, r + t a - (1 - t) |h|)`` shingles, for either of them. So an
+index over the differences, by prefix, finds all these links: X in an order with
+the shingles foreign to the hub first, without its last ones that cannot be the
+first shared. Entries of such a list are skipped by position: what may still be
+shared after it must reach what the pair needs. Copies with changes of their own
+share nothing there, so a group of n of them takes n comparisons.
 
 Segments are matched by short hashes, which may only add candidates; every link is
 verified on the whole sets of 64-bit shingle hashes.
@@ -40,8 +47,6 @@ from colflow.session import materialize
 PART_DOCS = 4000
 #: texts that a task cuts into segments at a time, in bytes
 GATHER = 24 << 20
-#: rounds with one hub to a list
-HUB_ROUNDS = 3
 
 
 class Sizes:
@@ -252,52 +257,66 @@ class JaccardJoin:
         lists = blocks.groupBy("part").applyInArrow(_lists, "list long, node long")
         return materialize(lists.distinct(), "lists")
 
-    def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """``pairs`` (u, v) with ``linked``."""
+    def _with_sets(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         a = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
         b = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
-        common = F.size(F.array_intersect("a", "b"))
-        union = F.size("a") + F.size("b") - common
-        linked = F.lit(100) * common >= F.lit(self.percent) * union
-        return pairs.join(a, "u").join(b, "v").select("u", "v", linked.alias("linked"))
+        return pairs.join(a, "u").join(b, "v")
+
+    def _hub_lists(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """For each pair of a member ``u`` and its hub ``v`` whether they link, and
+        the prefix of the ordered differences with its sizes."""
+        p = self.percent
+        both = self._with_sets(pairs, sets).select(
+            "u",
+            "v",
+            F.size("b").alias("h"),
+            F.sort_array(F.array_except("a", "b")).alias("foreign"),
+            F.sort_array(F.array_except("b", "a")).alias("lacked"),
+        )
+        sized = both.withColumns({"fa": F.size("foreign"), "la": F.size("lacked")})
+        need = F.greatest(F.lit(1), F.ceil((100 * F.col("la") + p * F.col("fa") - (100 - p) * F.col("h")) / 100)).cast("int")
+        length = F.col("fa") + F.col("la")
+        linked = 100 * (F.col("h") - F.col("la")) >= p * (F.col("h") + F.col("fa"))
+        prefix = F.slice(F.concat("foreign", "lacked"), F.lit(1), length - need + 1)
+        return sized.select("u", "v", "h", "fa", "la", linked.alias("linked"), prefix.alias("prefix"))
 
     def components(self) -> DataFrame:
         """``node`` and ``low``, the smallest node of its component, for the nodes
         that link with another."""
-        spark = self.texts.sparkSession
+        p = self.percent
         lists = self.index()
         rows = self._row_of(lists.select("node").distinct())
         near = rows_with(self.texts, materialize(rows, "near"), ["doc_id", "text_key"])
         sets = materialize(near.mapInArrow(_set_rows(self.words), "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
-        size = self.firsts.select("node", "size")
-        lists = lists.join(size, "node")
-        checked = edges = spark.createDataFrame([], "u long, v long, linked boolean")
-        found = spark.createDataFrame([], "node long, low long")
-        for turn in range(HUB_ROUNDS + 1):
-            member = lists.join(found, "node", "left").withColumn("low", F.coalesce("low", "node"))
-            open_lists = member.groupBy("list").agg(
-                F.min("low").alias("a"), F.max("low").alias("b"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "low", "size")).alias("hub")
-            )
-            open_lists = materialize(open_lists.filter("a <> b").selectExpr("list", "hub.node as hub", "hub.low as hub_low", "hub.size as hub_size"), "open-lists")
-            if open_lists.isEmpty():
-                break
-            member = member.join(open_lists, "list")
-            if turn < HUB_ROUNDS:
-                pairs = member.filter("low <> hub_low").selectExpr("node", "hub", "size", "hub_size")
-            else:
-                other = member.selectExpr("list", "node as hub", "low as hub_low", "size as hub_size")
-                member = member.select("list", "node", "low", "size")
-                pairs = member.join(other, "list").filter("low <> hub_low and node < hub").selectExpr("node", "hub", "size", "hub_size")
-            # sizes alone rule out many
-            fits = F.lit(100) * F.least("size", "hub_size") >= F.lit(self.percent) * F.greatest("size", "hub_size")
-            pairs = pairs.filter(fits).selectExpr("least(node, hub) as u", "greatest(node, hub) as v").distinct()
-            pairs = pairs.join(checked, ["u", "v"], "left_anti")
-            new = materialize(self._verified(pairs, sets), "verified")
-            checked = checked.unionByName(new)
-            edges = edges.unionByName(new.filter("linked"))
-            found = materialize(components(edges.select("u", "v")), "components")
-            lists = materialize(lists.join(open_lists.select("list"), "list", "left_semi"), "lists")
-        return found
+        members = lists.groupBy("list").agg(F.count("*").alias("n"))
+        shared = materialize(lists.join(members, "list").groupBy("node").agg(F.sum("n").alias("shared")), "shared")
+        ranked = lists.join(shared, "node")
+        hubs = ranked.groupBy("list").agg(F.max(F.struct("shared", "node")).alias("hub")).selectExpr("list", "hub.node as v")
+        pairs = lists.withColumnRenamed("node", "u").join(materialize(hubs, "hubs"), "list").filter("u <> v").select("u", "v").distinct()
+        compared = materialize(self._hub_lists(pairs, sets), "compared")
+        edges = compared.filter("linked").select("u", "v")
+        found = materialize(components(edges), "components")
+
+        label = F.coalesce("low", "u").alias("low")
+        entry = (
+            compared.join(found.withColumnRenamed("node", "u"), "u", "left")
+            .select("u", "v", "h", "fa", "la", "linked", label, F.posexplode("prefix").alias("pos", "e"))
+            .select("u", "h", "fa", "la", "linked", "low", F.xxhash64("v", "e").alias("list"), (F.col("fa") + F.col("la") - F.col("pos")).alias("left"))
+        )
+        other = entry.drop("h").withColumnsRenamed({"u": "u2", "fa": "fa2", "la": "la2", "linked": "linked2", "low": "low2", "left": "left2"})
+        may_share = (100 + p) * F.least("left", "left2")
+        must_share = 100 * (F.col("la") + F.col("la2")) + p * (F.col("fa") + F.col("fa2")) - (100 - p) * F.col("h")
+        candidates = (
+            entry.join(other, "list")
+            .filter((F.col("u") < F.col("u2")) & (F.col("low") != F.col("low2")) & ~(F.col("linked") & F.col("linked2")))
+            .filter(may_share >= must_share)
+            .select("u", F.col("u2").alias("v"))
+            .distinct()
+        )
+        common = F.size(F.array_intersect("a", "b"))
+        more = self._with_sets(candidates, sets).filter(100 * common >= p * (F.size("a") + F.size("b") - common)).select("u", "v")
+        more = materialize(more, "links")
+        return found if more.isEmpty() else materialize(components(edges.unionByName(more)), "components")
 
     def documents(self) -> DataFrame:
         """One row per document row: ``doc_id``, ``text_key``, ``n_shingles`` and
