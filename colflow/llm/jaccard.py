@@ -22,8 +22,9 @@ share at least ``max(1, r + t a - (1 - t) |h|)`` shingles, for either of them. S
 index over the differences, by prefix, finds all these links: X in an order with
 the shingles foreign to the hub first, without its last ones that cannot be the
 first shared. Entries of such a list are skipped by position: what may still be
-shared after it must reach what the pair needs. Copies with changes of their own
-share nothing there, so a group of n of them takes n comparisons.
+shared after it, and what the bitmaps of X and Y allow, must reach what the pair
+needs. Copies with changes of their own share too little for that, so a group of n
+of them takes about n comparisons.
 
 Segments are matched by short hashes, which may only add candidates; every link is
 verified on the whole sets of 64-bit shingle hashes.
@@ -263,8 +264,8 @@ class JaccardJoin:
         return pairs.join(a, "u").join(b, "v")
 
     def _hub_lists(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """For each pair of a member ``u`` and its hub ``v`` whether they link, and
-        the prefix of the ordered differences with its sizes."""
+        """For each pair of a member ``u`` and its hub ``v`` whether they link, the
+        sizes of the differences, two 64-bit maps of them, and their prefix."""
         p = self.percent
         both = self._with_sets(pairs, sets).select(
             "u",
@@ -277,8 +278,15 @@ class JaccardJoin:
         need = F.greatest(F.lit(1), F.ceil((100 * F.col("la") + p * F.col("fa") - (100 - p) * F.col("h")) / 100)).cast("int")
         length = F.col("fa") + F.col("la")
         linked = 100 * (F.col("h") - F.col("la")) >= p * (F.col("h") + F.col("fa"))
-        prefix = F.slice(F.concat("foreign", "lacked"), F.lit(1), length - need + 1)
-        return sized.select("u", "v", "h", "fa", "la", linked.alias("linked"), prefix.alias("prefix"))
+        every = sized.withColumn("every", F.concat("foreign", "lacked"))
+        maps = [
+            F.expr(f"aggregate(filter(every, e -> (shiftright(e, 6) & 1) = {i}), 0L, (s, e) -> s | shiftleft(1L, cast(e & 63 as int)))")
+            for i in range(2)
+        ]
+        prefix = F.slice("every", F.lit(1), length - need + 1)
+        return every.select(
+            "u", "v", "h", "fa", "la", linked.alias("linked"), prefix.alias("prefix"), maps[0].alias("m0"), maps[1].alias("m1")
+        )
 
     def components(self) -> DataFrame:
         """``node`` and ``low``, the smallest node of its component, for the nodes
@@ -300,11 +308,14 @@ class JaccardJoin:
         label = F.coalesce("low", "u").alias("low")
         entry = (
             compared.join(found.withColumnRenamed("node", "u"), "u", "left")
-            .select("u", "v", "h", "fa", "la", "linked", label, F.posexplode("prefix").alias("pos", "e"))
-            .select("u", "h", "fa", "la", "linked", "low", F.xxhash64("v", "e").alias("list"), (F.col("fa") + F.col("la") - F.col("pos")).alias("left"))
+            .select("u", "v", "h", "fa", "la", "linked", "m0", "m1", label, F.posexplode("prefix").alias("pos", "e"))
+            .withColumn("left", F.col("fa") + F.col("la") - F.col("pos"))
+            .select("u", "h", "fa", "la", "linked", "low", "m0", "m1", "left", F.xxhash64("v", "e").alias("list"))
         )
-        other = entry.drop("h").withColumnsRenamed({"u": "u2", "fa": "fa2", "la": "la2", "linked": "linked2", "low": "low2", "left": "left2"})
-        may_share = (100 + p) * F.least("left", "left2")
+        other = entry.drop("h").withColumnsRenamed({c: f"{c}2" for c in ("u", "fa", "la", "linked", "low", "m0", "m1", "left")})
+        # a bit of one map that the other lacks stands for a difference not shared
+        most = [F.expr(f"fa{x} + la{x} - bit_count(m0{x} & ~m0{y}) - bit_count(m1{x} & ~m1{y})") for x, y in (("", "2"), ("2", ""))]
+        may_share = (100 + p) * F.least("left", "left2", *most)
         must_share = 100 * (F.col("la") + F.col("la2")) + p * (F.col("fa") + F.col("fa2")) - (100 - p) * F.col("h")
         candidates = (
             entry.join(other, "list")
