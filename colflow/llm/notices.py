@@ -3,8 +3,9 @@
 A notice may stand with up to ``k`` character edits. Cut into ``k + 1`` pieces, it
 leaves at least one piece untouched (pigeonhole), so an automaton over all pieces
 finds every place that may hold it, and the regex library's bounded-error matching
-verifies the neighbourhood of each and reports span and edits. One pass over each
-text, in batches of rows; nothing is shuffled.
+verifies the neighbourhood of each and reports span and edits: the exact places
+first, then between those found the places with one edit, and so on up to ``k``.
+Rows pass in batches; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ def pieces(notice: str, edits: int) -> list[tuple[int, str]]:
 @lru_cache(maxsize=2)
 def _machine(notices: tuple[tuple[str, str], ...]):
     """The automaton over all pieces, and each notice with its label, edits and
-    pattern."""
+    patterns for 0, 1, ... edits."""
     import ahocorasick
     import regex
 
@@ -66,7 +67,8 @@ def _machine(notices: tuple[tuple[str, str], ...]):
     rules = []
     for n, (notice, label) in enumerate(notices):
         k = edits_allowed(notice)
-        rules.append((notice, label, k, regex.compile(f"(?b)(?:{regex.escape(notice)}){{e<={k}}}")))
+        patterns = [regex.compile(f"(?:{regex.escape(notice)}){{e<={e}}}") for e in range(k + 1)]
+        rules.append((notice, label, k, patterns))
         for offset, piece in pieces(notice, k):
             found.setdefault(piece, []).append((n, offset))
     machine = ahocorasick.Automaton()
@@ -76,28 +78,47 @@ def _machine(notices: tuple[tuple[str, str], ...]):
     return machine, rules
 
 
+def _matches(text: str, low: int, high: int, least: int, patterns: list) -> Iterator[tuple[int, int, int]]:
+    """(start, end, edits) in a stretch of ``text``, the fewest edits first; each
+    further edit is only granted to what lies between the matches found before."""
+    if not patterns[-1].search(text, low, high):
+        return
+    gaps = [(low, high)]
+    for pattern in patterns:
+        rest = []
+        for a, b in gaps:
+            for m in pattern.finditer(text, a, b):
+                yield m.start(), m.end(), sum(m.fuzzy_counts)
+                rest.append((a, m.start()))
+                a = m.end()
+            rest.append((a, b))
+        gaps = [(a, b) for a, b in rest if b - a >= least]
+
+
 def fuzzy_places(text: str, notices: tuple[tuple[str, str], ...]) -> list[tuple[str, int, int, int, float]]:
     """(label, start, end, edits, score) of every notice in ``text``, a text of
-    words with single spaces; positions are characters."""
+    words with single spaces; positions are characters. Places of one notice do
+    not overlap: of overlapping ones that with the fewest edits counts, then the
+    first."""
     machine, rules = _machine(notices)
-    windows: dict[int, list[list[int]]] = {}
+    windows: dict[int, list[tuple[int, int]]] = {}
     for last, (length, owners) in machine.iter(text):
         for n, offset in owners:
             notice, _, k, _ = rules[n]
             start = last + 1 - length - offset
-            low, high = max(0, start - k), start + len(notice) + 2 * k
-            spans = windows.setdefault(n, [])
+            windows.setdefault(n, []).append((max(0, start - k), min(len(text), start + len(notice) + 2 * k)))
+    out = []
+    for n, found in windows.items():
+        notice, label, k, patterns = rules[n]
+        spans: list[list[int]] = []
+        for low, high in sorted(found):
             if spans and low <= spans[-1][1]:
-                spans[-1] = [min(spans[-1][0], low), max(spans[-1][1], high)]
+                spans[-1][1] = max(spans[-1][1], high)
             else:
                 spans.append([low, high])
-    out = []
-    for n, spans in windows.items():
-        notice, label, _, pattern = rules[n]
         for low, high in spans:
-            for m in pattern.finditer(text, low, min(high, len(text))):
-                edits = sum(m.fuzzy_counts)
-                out.append((label, m.start(), m.end(), edits, 1 - edits / len(notice)))
+            for start, end, edits in _matches(text, low, high, len(notice) - k, patterns):
+                out.append((label, start, end, edits, 1 - edits / len(notice)))
     return out
 
 
