@@ -1,7 +1,7 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-For an item of n words the windows are all n consecutive words of a document. Each
-window and item has a 64-bit SimHash over its weighted 5-word shingles (the weight
+For an item of n words the windows are all n consecutive words of a document; a
+document of fewer words is one window as a whole. Each window and item has a 64-bit SimHash over its weighted 5-word shingles (the weight
 is how often a shingle stands in it). The items' fingerprints are indexed in
 blocks: with radius R and M blocks, two fingerprints within R differ in at most
 R // M bits of some block, so looking every block up within that distance finds
@@ -132,10 +132,12 @@ class Items:
         words = raw.translate(WORD_TABLE).split()
         for size, places in hits.items():
             width = min(SHINGLE, size)
-            last = len(words) - size
-            if last < 0:
+            n = min(size, len(words))
+            # of so few shingles not even all would be similar enough
+            if (n - width + 1) / (size - width + 1) < SIMILARITY:
                 continue
-            starts = sorted({s for p in places for s in range(max(0, p - size + width), min(p, last) + 1)})
+            last = len(words) - n
+            starts = sorted({s for p in places for s in range(max(0, p - n + width), min(p, last) + 1)})
             if not starts:
                 continue
             ids, weights, blocks = self.sizes[size]
@@ -143,23 +145,23 @@ class Items:
             # neighbouring starts share their prefix sums
             first = 0
             for i in range(1, len(starts) + 1):
-                if i < len(starts) and starts[i] - starts[i - 1] <= size and i - first < 4096:
+                if i < len(starts) and starts[i] - starts[i - 1] <= n and i - first < 4096:
                     continue
                 group = np.array(starts[first:i])
                 first = i
                 base = group[0]
-                stretch = hashes[width][base : group[-1] + size - width + 1]
-                prints = _fingerprints(stretch, group - base, size - width + 1)
+                stretch = hashes[width][base : group[-1] + n - width + 1]
+                prints = _fingerprints(stretch, group - base, n - width + 1)
                 windows: dict[int, Counter] = {}
                 for q, item, distance in blocks.within(prints):
                     at = int(group[q])
                     if q not in windows:
-                        windows[q] = shingles(words[at : at + size])
+                        windows[q] = shingles(words[at : at + n])
                     close = similarity(windows[q], weights[item])
                     if close >= SIMILARITY and (item not in best or (-close, at) < best[item][:2]):
                         best[item] = (-close, at, distance)
             for item, (close, at, distance) in best.items():
-                yield ids[item], at, size, distance, -close
+                yield ids[item], at, n, distance, -close
 
 
 @lru_cache(maxsize=2)
@@ -210,7 +212,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Words are runs of digits, letters (A-Z lower-cased) and non-ASCII characters.
     Items without words match nothing; items of fewer than five words are one
-    shingle. Null and empty texts match nothing. Rows that repeat an id, of a
+    shingle. A text of fewer words than an item is compared with it as a whole.
+    Null and empty texts match nothing. Rows that repeat an id, of a
     document or of an item, are taken together: the best of them counts.
     """
     spark = docs.sparkSession
