@@ -169,11 +169,11 @@ def _items(rows: tuple[tuple[int, str | None], ...]) -> Items:
     return Items(list(rows))
 
 
-def _find(rows: tuple[tuple[int, str | None], ...]):
+def _find(rows: tuple[tuple[int, str | None], ...], keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = _items(rows)
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
+            ids = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
             out = []
             for first, raws in batches_of(batch.column("text").to_pylist()):
                 words, begin = word_hashes(raws, WORD_TABLE)
@@ -194,55 +194,65 @@ def _find(rows: tuple[tuple[int, str | None], ...]):
                                 found[d][size].append(p - int(begin[d]))
                 for d, hits in found.items():
                     own = {w: h[begin[d] : max(begin[d], begin[d + 1] - w + 1)] for w, h in by_width.items()}
-                    out += [(ids[first + d], *m) for m in items.matches(raws[d], hits, own)]
-            columns = list(zip(*out, strict=True)) or [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64()]
-            names = ["doc_id", "item_id", "first_word", "n_words", "distance", "similarity"]
+                    out += [(*ids[first + d], *m) for m in items.matches(raws[d], hits, own)]
+            names = [*keys, "item_id", "first_word", "n_words", "distance", "similarity"]
+            columns = list(zip(*out, strict=True)) or [[]] * len(names)
+            kinds = [pa.int64()] * (len(keys) + 3) + [pa.int32(), pa.float64()]
             yield pa.RecordBatch.from_pydict({n: pa.array(c, k) for n, c, k in zip(names, columns, kinds, strict=True)})
 
     return run
 
 
-MATCH = "doc_id long, item_id long, first_word long, n_words long, distance int, similarity double"
+MATCH = "item_id long, first_word long, n_words long, distance int, similarity double"
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document and item that a window of the document matches: the
-    best window (the first of equal ones), its Hamming distance and similarity.
-
-    Words are runs of digits, letters (A-Z lower-cased) and non-ASCII characters.
-    Items without words match nothing; items of fewer than five words are one
-    shingle. A text of fewer words than an item is compared with it as a whole.
-    Null and empty texts match nothing. Rows that repeat an id, of a
-    document or of an item, are taken together: the best of them counts.
-    """
-    spark = docs.sparkSession
-    slim = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
+def _leaks(rows: DataFrame, benchmark: DataFrame, keys: list[str]) -> DataFrame:
+    """The best window of each item by ``keys`` of ``rows``, which are longs and name
+    what is taken together."""
+    spark = rows.sparkSession
+    slim = rows.select(*keys, "text")
+    match = ", ".join(f"{k} long" for k in keys) + ", " + MATCH
     items = benchmark.selectExpr("cast(item_id as long) as item_id", "text").distinct()
     block, size, passes = [], 0, []
     for row in items.toLocalIterator():
         cost = len((row.text or "").encode()) + 64
         if block and size + cost > ITEM_BYTES:
             # stored, so that no more than one block is held at a time
-            passes.append(materialize(slim.mapInArrow(_find(tuple(block)), MATCH), "leaks"))
+            passes.append(materialize(slim.mapInArrow(_find(tuple(block), keys), match), "leaks"))
             block, size = [], 0
         block.append((row.item_id, row.text))
         size += cost
     if block:
-        passes.append(slim.mapInArrow(_find(tuple(block)), MATCH))
+        passes.append(slim.mapInArrow(_find(tuple(block), keys), match))
     if not passes:
-        return spark.createDataFrame([], MATCH)
+        return spark.createDataFrame([], match)
     best = F.min(F.struct((-F.col("similarity")).alias("far"), "first_word", "distance", "n_words"))
-    found = reduce(DataFrame.unionByName, passes).groupBy("doc_id", "item_id").agg(best.alias("best"))
+    found = reduce(DataFrame.unionByName, passes).groupBy(*keys, "item_id").agg(best.alias("best"))
     return found.selectExpr(
-        "doc_id", "item_id", "best.first_word", "best.n_words", "best.distance", "-best.far as similarity"
+        *keys, "item_id", "best.first_word", "best.n_words", "best.distance", "-best.far as similarity"
     )
 
 
+def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row per document and item that a window of the document matches: the
+    best window (the first of equal ones), its Hamming distance and similarity.
+
+    Words are runs of digits, letters (A-Z lower-cased) and non-ASCII characters.
+    Items without words match nothing; items of fewer than five words are one
+    shingle. A text of fewer words than an item is compared with it as a whole.
+    Null and empty texts match nothing. Rows that repeat an id, of a
+    document or of an item, are taken together: the best of them counts.
+    """
+    return _leaks(docs.selectExpr("cast(doc_id as long) as doc_id", "text"), benchmark, ["doc_id"])
+
+
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    gone = materialize(find_leaks(docs, benchmark).selectExpr("doc_id as _id").distinct(), "leaking")
-    return rows_without(docs.withColumn("_id", F.col("doc_id").cast("long")), gone, ["_id"]).select(*docs.columns)
+    """``docs`` without the rows that hold a benchmark item. A row is named by its id,
+    which may be null, and a hash of its text: others with the same id stay."""
+    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    marked = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_text_key": key})
+    gone = _leaks(marked, benchmark, ["_id", "_text_key"]).select("_id", "_text_key").distinct()
+    return rows_without(marked, materialize(gone, "leaking"), ["_id", "_text_key"]).select(*docs.columns)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None, benchmark: DataFrame | None = None) -> DataFrame:
