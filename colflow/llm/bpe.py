@@ -14,17 +14,25 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Iterator
-from functools import lru_cache
+from array import array
+from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from colflow.llm.common import documents
 
-#: distinct pieces of text in a generation of a worker's memory (speed, not results)
-MEMORY = 500_000
+#: bytes of a generation of remembered pieces in a worker (speed, not results)
+MEMORY = 40 << 20
+#: pairs of tokens whose fit a worker remembers (speed, not results), some 130 bytes each
+PAIRS = 1 << 17
+#: bytes of text that a worker cuts into pieces at a time; a longer text stays whole
+CHUNK = 1 << 20
+#: bytes of a remembered piece besides its characters and ids: two headers and a slot
+ENTRY = 200
 
 
 class TrieEncoder:
@@ -32,22 +40,21 @@ class TrieEncoder:
     file at ``path``."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         self.end: str = model["end_of_word_suffix"] or ""
         self.ids: dict[str, int] = model["vocab"]
         self.tokens = {i: t for t, i in self.ids.items()}
-        self.rank = {tuple(m if isinstance(m, list) else m.split(" ")): r for r, m in enumerate(model["merges"])}
+        # no symbol holds a blank, so a blank separates the two of a merge
+        self.rank = {m if isinstance(m, str) else " ".join(m): r for r, m in enumerate(model["merges"])}
         self.inner, self.last = self._suffixes()
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens |= {i: t for t, i in self.specials.items()}
-        self.library = Tokenizer.from_file(path)
-        self.fits: dict[int, bool] = {}
-        self.young: dict[str, tuple[str, str]] = {}
-        self.old: dict[str, tuple[str, str]] = {}
+        self.path = path
+        self.kind = "H" if max(self.tokens) < 1 << 16 else "I"
+        self.numbers = {i: str(i) for i in self.tokens}
+        self.forget()
         # normalization changes no letter below U+0250 but its case, one at a time
         self.simple = regex.compile("[!-~\u00a1-\u00ac\u00ae-\u024f]*")
         # fixed value: the splitter's pattern, for texts of such letters
@@ -57,6 +64,27 @@ class TrieEncoder:
         moved = (c for c in range(256) if c not in plain)
         self.bytes = {c: c for c in plain} | {c: 256 + n for n, c in enumerate(moved)}
 
+    def forget(self) -> None:
+        """Drops what was remembered of texts; the vocabulary stays."""
+        self.fits: dict[int, bool] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
+
+    @cached_property
+    def library(self):
+        """The file's own normalizer and splitter, loaded for the first piece of text
+        that needs more than the rules here."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def written(self, ids: Iterable[int]) -> str:
+        return " ".join(map(self.numbers.__getitem__, ids))
+
+    def decode(self, ids: Iterable[int]) -> str:
+        return " ".join(map(self.tokens.__getitem__, ids))
+
     def units(self, token: str) -> list[str]:
         """The single symbols that the merges start from."""
         if self.end and token.endswith(self.end):
@@ -67,8 +95,8 @@ class TrieEncoder:
     def merge(self, parts: list[str]) -> list[str]:
         """Plain byte-pair merging: the lowest rank first, from the left."""
         while len(parts) > 1:
-            best = min(zip(parts, parts[1:], strict=False), key=lambda p: self.rank.get(p, 1 << 60))
-            if best not in self.rank:
+            best = min(zip(parts, parts[1:], strict=False), key=lambda p: self.rank.get(f"{p[0]} {p[1]}", 1 << 60))
+            if f"{best[0]} {best[1]}" not in self.rank:
                 break
             out, i = [], 0
             while i < len(parts):
@@ -117,6 +145,8 @@ class TrieEncoder:
                     key = (before[0] + 1) << 32 | token
                     known = fits.get(key)
                     if known is None:
+                        if len(fits) >= PAIRS:
+                            fits.clear()
                         known = fits[key] = self.follows(before[0], token)
                     if known:
                         return token, k
@@ -178,36 +208,47 @@ class TrieEncoder:
                 found += regex.findall(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", part)
         return found
 
-    def learn(self, pieces: set[str]) -> dict[str, tuple[str, str]]:
-        """Of each of the distinct ``pieces`` its ids and its tokens, joined by one
-        space. What was encoded before is
-        remembered in two generations: a full one becomes the old one, and what is
-        still in use moves up from there."""
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Of each of the distinct ``pieces`` its ids, packed. What was encoded before
+        is remembered in two generations of ``MEMORY`` bytes: a full one becomes the
+        old one, and what is still in use moves up from there."""
         known, fresh = {}, []
         for p in pieces:
             ids = self.young.get(p)
             if ids is None and (ids := self.old.get(p)) is not None:
-                self.young[p] = ids
+                self._remember(p, ids)
             if ids is None:
                 fresh.append(p)
             else:
                 known[p] = ids
         plan = {p: self.split(p) for p in fresh if p not in self.specials}
         done = self.encode_words(list({w for ws in plan.values() for w in ws}))
-        tokens = self.tokens
-        written = {w: (" ".join(map(str, ids)), " ".join([tokens[i] for i in ids])) for w, ids in done.items()}
-        new = {}
+        kind = self.kind
         for p, ws in plan.items():
-            if len(ws) == 1:
-                new[p] = written[ws[0]]
-            else:
-                both = [written[w] for w in ws if done[w]]
-                new[p] = " ".join([n for n, _ in both]), " ".join([t for _, t in both])
-        new |= {p: (str(self.specials[p]), p) for p in fresh if p in self.specials}
-        self.young |= new
-        if len(self.young) > MEMORY:
-            self.young, self.old = {}, self.young
-        return known | new
+            ids = done[ws[0]] if len(ws) == 1 else [i for w in ws for i in done[w]]
+            known[p] = array(kind, ids).tobytes()
+        for p in fresh:
+            if p in self.specials:
+                known[p] = array(kind, [self.specials[p]]).tobytes()
+            self._remember(p, known[p])
+        return known
+
+    def _remember(self, piece: str, ids: bytes) -> None:
+        size = ENTRY + len(piece) + len(ids)
+        if self.held + size > MEMORY:
+            self.young, self.old, self.held = {}, self.young, 0
+        if size <= MEMORY:
+            self.young[piece] = ids
+            self.held += size
+
+    def encode(self, texts: list[str]) -> Iterator[array]:
+        """Token ids of each of ``texts``; their distinct pieces are encoded together."""
+        cut = [self.pieces(t) for t in texts]
+        known = self.learn(set().union(*cut))
+        for pieces in cut:
+            ids = array(self.kind)
+            ids.frombytes(b"".join(map(known.__getitem__, pieces)))
+            yield ids
 
 
 @lru_cache(maxsize=2)
@@ -215,25 +256,30 @@ def encoder(path: str) -> TrieEncoder:
     return TrieEncoder(path)
 
 
-def encode_batches(path: str, emit: Callable[[pa.RecordBatch, list[str], list[str]], pa.RecordBatch]):
-    """A mapInArrow function: ``emit`` gets each batch and, of each of its texts,
-    the ids and the tokens joined by one space."""
+def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` of about ``CHUNK`` bytes of text, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+    first, held = 0, 0
+    for i, size in enumerate(sizes):
+        if i > first and held + size > CHUNK:
+            yield batch.slice(first, i - first)
+            first, held = i, 0
+        held += size
+    if first < len(sizes):
+        yield batch.slice(first)
+
+
+def encode_batches(path: str, emit: Callable[[TrieEncoder, pa.RecordBatch, Iterator[array]], pa.RecordBatch]):
+    """A mapInArrow function: ``emit`` gets the encoder, a batch, and the ids of each
+    of its texts; a null text has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                texts = [enc.pieces(t or "") for t in batch.column("text").to_pylist()]
-                known = enc.learn(set().union(*texts))
-                # a piece without tokens adds nothing, not even a separator
-                empty = {p for p, (numbers, _) in known.items() if not numbers}
-                if empty:
-                    texts = [[p for p in t if p not in empty] for t in texts]
-                numbers = {p: both[0] for p, both in known.items()}
-                names = {p: both[1] for p, both in known.items()}
-                ids = [" ".join(map(numbers.__getitem__, t)) for t in texts]
-                yield emit(batch, ids, [" ".join(map(names.__getitem__, t)) for t in texts])
+            for batch in _chunks(whole):
+                yield emit(enc, batch, enc.encode([t or "" for t in batch.column("text").to_pylist()]))
+        # the worker outlives the partition: it keeps the vocabulary, not the texts'
+        enc.forget()
 
     return run
 
@@ -243,12 +289,13 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     tokens joined by one space, as a file without decoder says). A null or empty
     text has no ids and decodes to the empty text; repeated rows stay."""
 
-    def emit(batch, ids, decoded):
+    def emit(enc, batch, encoded):
+        ids = [list(i) for i in encoded]
         return pa.RecordBatch.from_pydict(
             {
                 "doc_id": batch.column("doc_id"),
-                "ids": pa.array([list(map(int, x.split())) for x in ids], pa.list_(pa.int32())),
-                "decoded": pa.array(decoded, pa.string()),
+                "ids": pa.array(ids, pa.list_(pa.int32())),
+                "decoded": pa.array([enc.decode(i) for i in ids], pa.string()),
             }
         )
 
@@ -258,18 +305,19 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
 def encoding_digests(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` without
-    sending the ids and texts back: each distinct piece is written out once."""
+    sending the ids and texts back; rows as in ``encode_documents``."""
 
     def sha(text: str) -> str:
         return hashlib.sha256(text.encode()).hexdigest()
 
-    def emit(batch, ids, decoded):
+    def emit(enc, batch, encoded):
+        rows = [(len(i), sha(enc.written(i)), sha(enc.decode(i))) for i in encoded]
         return pa.RecordBatch.from_pydict(
             {
                 "doc_id": batch.column("doc_id"),
-                "n_tokens": pa.array([x.count(" ") + 1 if x else 0 for x in ids], pa.int64()),
-                "ids_sha256": pa.array(map(sha, ids), pa.string()),
-                "decoded_sha256": pa.array(map(sha, decoded), pa.string()),
+                "n_tokens": pa.array([r[0] for r in rows], pa.int64()),
+                "ids_sha256": pa.array([r[1] for r in rows], pa.string()),
+                "decoded_sha256": pa.array([r[2] for r in rows], pa.string()),
             }
         )
 

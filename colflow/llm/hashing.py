@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 
 #: bytes hashed at a time; a longer text is hashed in stretches of about this size
-BLOCK = 1 << 21
+BLOCK = 1 << 18
 
 _SPACES = b" \t\n\x0b\x0c\r"
 #: bytes.translate tables: words as they stand, and with A-Z lower-cased
@@ -25,15 +25,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+BASE = 0x9E3779B97F4A7C15
+
+
+def _table(base: int, length: int) -> np.ndarray:
+    out = np.full(length, base, dtype=np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _powers(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each byte, the powers of ``BASE`` and of its inverse. Tables for
+    a stretch are kept by the worker; longer ones, for a longer word, are not."""
+    if length > 2 * BLOCK:
+        return _letters(), _table(BASE, length), _table(pow(BASE, -1, 1 << 64), length)
+    return _kept_powers()
+
+
 @lru_cache(maxsize=1)
-def _powers(base: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    def table(b: int) -> np.ndarray:
-        out = np.full(length, b, dtype=np.uint64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
+def _letters() -> np.ndarray:
+    return mix(np.arange(1, 257, dtype=np.uint64) * U(BASE))
 
-    letters = mix(np.arange(1, 257, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
-    return letters, table(base), table(pow(base, -1, 1 << 64))
+
+@lru_cache(maxsize=1)
+def _kept_powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _letters(), _table(BASE, 2 * BLOCK), _table(pow(BASE, -1, 1 << 64), 2 * BLOCK)
 
 
 def _block(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,8 +59,7 @@ def _block(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
         return starts, np.zeros(0, np.uint64)
-    size = max(len(data), BLOCK * 2)
-    letters, up, down = _powers(0x9E3779B97F4A7C15, 1 << (size - 1).bit_length())
+    letters, up, down = _powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(letters[data] * up[: len(data)], out=sums[1:])
     return starts, mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))

@@ -99,6 +99,21 @@ def test_bpe_of_real_texts(spark, sf_dir):
     assert got == {r.doc_id: brute.sha(" ".join(map(str, lib.encode(r.text, add_special_tokens=False).ids))) for r in rows}
 
 
+def test_encoder_memory_is_bounded():
+    import public_tokenizers
+
+    from colflow.llm import bpe
+
+    enc = bpe.TrieEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    for first in range(0, 1_000_000, 50_000):
+        enc.learn({f"{i * 7919:x}" for i in range(first, first + 50_000)})
+        held = sum(bpe.ENTRY + len(p) + len(ids) for p, ids in enc.young.items())
+        assert held == enc.held <= bpe.MEMORY and len(enc.fits) <= bpe.PAIRS
+        assert sum(bpe.ENTRY + len(p) + len(ids) for p, ids in enc.old.items()) <= bpe.MEMORY
+    enc.forget()
+    assert not enc.young and not enc.old and not enc.fits
+
+
 def test_trie_walk_equals_merging():
     import public_tokenizers
 
