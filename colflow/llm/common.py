@@ -64,3 +64,16 @@ def rows_with(rows: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
 def rows_without(rows: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
     """The ``rows`` whose key is not among ``keys``, in the same ways."""
     return _matched(rows, keys, names, "left_anti")
+
+
+def named_rows(docs: DataFrame, **keys: Column) -> DataFrame:
+    """``row``, the whole row of ``docs`` as a struct, and ``keys``: columns of any
+    name of the caller's stay apart from those used inside. A table without
+    columns is not a case: every operator reads one at least."""
+    return docs.select(F.struct("*").alias("row"), *(value.alias(name) for name, value in keys.items()))
+
+
+def document_rows(docs: DataFrame, **more: Column) -> DataFrame:
+    """``named_rows`` by id and hash of the text, which name a document's rows."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return named_rows(docs, doc_id=F.col("doc_id").cast("long"), text_key=F.xxhash64(text), **more)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colflow.llm.common import documents, rows_without
+from colflow.llm.common import document_rows, documents, rows_without
 from colflow.llm.hashing import batches_of, mix, shingle_hashes, word_hashes
 from colflow.llm.notices import WORD_TABLE
 from colflow.session import materialize
@@ -247,12 +247,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark item. A row is named by its id,
-    which may be null, and a hash of its text: others with the same id stay."""
-    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    marked = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_text_key": key})
-    gone = _leaks(marked, benchmark, ["_id", "_text_key"]).select("_id", "_text_key").distinct()
-    return rows_without(marked, materialize(gone, "leaking"), ["_id", "_text_key"]).select(*docs.columns)
+    """``docs`` without the rows that hold a benchmark item, all their columns kept. A
+    row is named by its id, which may be null, and a hash of its text: others with
+    the same id stay. Null and empty texts hold no item and stay; an empty
+    benchmark drops nothing."""
+    names = ["doc_id", "text_key"]
+    marked = document_rows(docs)
+    gone = _leaks(marked.select(*names, F.col("row.text").cast("string").alias("text")), benchmark, names)
+    return rows_without(marked, materialize(gone.select(*names).distinct(), "leaking"), names).select("row.*")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None, benchmark: DataFrame | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colflow.llm.common import SPACE, documents, fold
+from colflow.llm.common import SPACE, document_rows, documents, fold
 from colflow.session import materialize
 
 
@@ -79,9 +79,10 @@ class LineRuns:
         self.levels[level + 1].append(self._store(merged))
 
 
-def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4) -> DataFrame:
+def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4, counts: bool = True) -> DataFrame:
     """``docs`` with ``text`` freed of the lines whose key stands in ``min_docs``
-    documents or more, and ``n_lines`` and ``n_dropped`` (replaced if present).
+    documents or more, and with ``n_lines`` and ``n_dropped`` (replaced if present).
+    Without ``counts`` the columns are those of ``docs``, in their order.
 
     A null or empty text is one empty line and comes out empty; empty lines are
     never dropped. A line repeated in one document counts that document once and
@@ -91,13 +92,14 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4) -
     """
     spark = docs.sparkSession
     # rows of one id and one text lose the same lines, so the pair names them
-    named = docs.withColumn("_text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    named = document_rows(docs)
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
     keyed = materialize(
         named.select(
-            F.col("doc_id").alias("_doc"),
-            "_text_key",
-            F.pmod(F.xxhash64("doc_id", "_text_key"), F.lit(batches)).cast("int").alias("batch"),
-            line_keys(F.col("text")).alias("keys"),
+            "doc_id",
+            "text_key",
+            F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(batches)).cast("int").alias("batch"),
+            line_keys(text).alias("keys"),
         ),
         "line-keys",
     )
@@ -106,34 +108,34 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4) -
         own = keyed.filter(F.col("batch") == batch)
         runs.add(own.select(F.explode(F.array_distinct("keys")).alias("line_key")).filter("line_key is not null"))
     frequent = materialize(runs.frequent(), "frequent-lines")
-    places = keyed.select("_doc", "_text_key", F.posexplode("keys").alias("pos", "line_key")).filter("line_key is not null")
+    places = keyed.select("doc_id", "text_key", F.posexplode("keys").alias("pos", "line_key")).filter("line_key is not null")
     hits = places.join(frequent, "line_key", "left_semi")
-    gone = hits.groupBy("_doc", "_text_key").agg(F.sort_array(F.collect_set("pos")).alias("_gone"))
-    gone = gone.withColumnRenamed("_text_key", "_gone_key")
-    same = named["doc_id"].eqNullSafe(gone["_doc"]) & (named["_text_key"] == gone["_gone_key"])
-    joined = named.join(gone, same, "left")
+    gone = hits.groupBy(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).agg(
+        F.sort_array(F.collect_set("pos")).alias("gone")
+    )
+    same = named["doc_id"].eqNullSafe(gone["gone_id"]) & (named["text_key"] == gone["gone_key"])
 
     # the stretches between dropped lines, so long texts stay linear
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    ends = F.array_append("_gone", F.size("_lines"))
-
     def stretch(end: Column, i: Column) -> Column:
-        start = F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("_gone"), i - 1) + 1)
-        return F.slice("_lines", start + 1, end - start)
+        start = F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("gone"), i - 1) + 1)
+        return F.slice("lines", start + 1, end - start)
 
-    kept = F.when(F.col("_gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(
-        F.array_join(F.flatten(F.transform(F.col("_ends"), stretch)), "\n")
+    kept = F.when(F.col("gone").isNull(), text).otherwise(
+        F.array_join(F.flatten(F.transform(F.col("ends"), stretch)), "\n")
+    )
+    own = {c: F.col(f"row.`{c}`") for c in docs.columns} | {next(c for c in docs.columns if c.lower() == "text"): kept}
+    joined = (
+        named.join(gone, same, "left")
+        .select("row", "gone", F.split(text, "\n", -1).alias("lines"))
+        .withColumn("ends", F.array_append("gone", F.size("lines")))
     )
-    columns = [c for c in docs.columns if c.lower() not in ("text", "n_lines", "n_dropped")]
-    return (
-        joined.withColumn("_lines", lines)
-        .withColumn("_ends", ends)
-        .select(
-            *columns,
-            kept.alias("text"),
-            F.size("_lines").cast("long").alias("n_lines"),
-            F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
-        )
+    if not counts:
+        return joined.select(*(value.alias(c) for c, value in own.items()))
+    return joined.select(
+        *(value.alias(c) for c, value in own.items() if c.lower() not in ("text", "n_lines", "n_dropped")),
+        kept.alias("text"),
+        F.size("lines").cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colflow.llm.common import SPACE, documents, let, rows_without, words
+from colflow.llm.common import SPACE, document_rows, documents, let, rows_without, words
 from colflow.session import materialize
 
 #: share of a stratum's good documents that one rule may reject
@@ -208,17 +208,16 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that ``judge`` rejects."""
-    gone = judge(docs, labels).filter("not kept").selectExpr("doc_id as _id", "text_key as _text_key", "stratum as _stratum")
-    marked = docs.withColumns(
-        {
-            "_id": F.col("doc_id").cast("long"),
-            "_text_key": F.xxhash64(F.coalesce("text", F.lit(""))),
-            "_stratum": F.coalesce(F.col("lang").cast("string"), F.lit("")),
-        }
-    )
-    gone = materialize(gone.distinct(), "rejected")
-    return rows_without(marked, gone, ["_id", "_text_key", "_stratum"]).select(*docs.columns)
+    """``docs`` without the rows that ``judge`` rejects, all their columns kept.
+
+    A null or empty text is rejected, as it has too few words; a null language is a
+    stratum of its own; a null id has no label but is judged. Rows that repeat id,
+    text and language share their verdict. Empty tables stay empty, and without
+    labels only the base rule rejects."""
+    names = ["doc_id", "text_key", "stratum"]
+    gone = materialize(judge(docs, labels).filter("not kept").select(*names).distinct(), "rejected")
+    marked = document_rows(docs, stratum=F.coalesce(F.col("lang").cast("string"), F.lit("")))
+    return rows_without(marked, gone, names).select("row.*")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:

@@ -64,6 +64,7 @@ def with_clashes(df):
     from pyspark.sql import functions as F
 
     names = ["keys", "pos", "batch", "part", "seq", "row", "shard", "slot", "n_words", "kept", "line_key", "sig", "hub", "size", "word", "ids", "score", "key"]
+    names += ["_id", "_text_key", "_stratum", "_lines", "_gone", "_ends", "text_key", "stratum", "gone", "gone_id", "lines", "ends", "n_lines", "a.b"]
     return df.withColumns({n: F.lit("x") for n in names})
 
 
