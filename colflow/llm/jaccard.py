@@ -7,7 +7,9 @@ Index lists by position. The hash order of the shingles is cut into positions, f
 segments of the hash range. Linked sets of sizes a and b differ in at most
 ``k = (a + b) * (100 - percent) / (100 + percent)`` shingles, so of the first
 segments that hold k + 1 non-empty ones at least one is equal in both. A list of the
-index holds the sets with the same content at the same position. How fine the
+index holds the sets with the same content at the same position. Sets of so few
+shingles that they have no k + 1 non-empty segments stand in lists of single shingles
+as well: those of their prefix, of which linked sets share one. How fine the
 segments are depends on the larger set of a pair; sizes fall into blocks, and a set
 goes only to the lists of the blocks where a partner may be: lists of other
 positions and blocks are skipped as a whole.
@@ -21,9 +23,11 @@ link and not both link with the hub (then its component is their answer), X and
 share at least ``max(1, r + t a - (1 - t) |h|)`` shingles, for either of them. So an
 index over the differences, by prefix, finds all these links: X in an order with
 the shingles foreign to the hub first, without its last ones that cannot be the
-first shared. Entries of such a list are skipped by position: what may still be
-shared after it, and what the bitmaps of X and Y allow, must reach what the pair
-needs. Copies with changes of their own share too little for that, so a group of n
+first shared. Only members that the comparison with the hub leaves open enter it:
+those of lists that are not of one component by then. Entries of such a list are
+skipped by blocks of one component and one size of differences, and by position:
+what may still be shared after it, and what the bitmaps of X and Y allow, must reach
+what the pair needs. Copies with changes of their own share too little for that, so a group of n
 of them takes about n comparisons.
 
 Segments are matched by short hashes, which may only add candidates; every link is
@@ -39,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colflow.llm.common import documents, rows_with, rows_without
+from colflow.llm.common import document_rows, documents, rows_with, rows_without
 from colflow.llm.components import components
 from colflow.llm.hashing import FOLDED, U, batches_of, mix, shingle_hashes, word_hashes
 from colflow.session import materialize
@@ -116,6 +120,11 @@ def _signatures(values: np.ndarray, size: int, sizes: Sizes) -> Iterator[np.ndar
         m = sizes.segments(block)
         segment = (values >> U(32)) * U(m) >> U(32)  # ascending, as the values are
         first = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))[: k + 2]
+        if len(first) <= k:
+            # linked sets with too few segments between them have too few each, and
+            # share one of the first shingles in hash order (prefix filter)
+            prefix = size - -(-size * sizes.percent // 100) + 1
+            yield mix(values[:prefix] + mix(np.array([~block], np.int64).view(np.uint64)))
         stop = first[k + 1] if len(first) > k + 1 else len(values)
         first = first[: k + 1]
         sums = np.add.reduceat(mix(values[:stop]), first)
@@ -258,6 +267,25 @@ class JaccardJoin:
         lists = blocks.groupBy("part").applyInArrow(_lists, "list long, node long")
         return materialize(lists.distinct(), "lists")
 
+    def _sets(self, rows: DataFrame) -> DataFrame:
+        """``node`` and ``shingles`` of the ``rows``, each once. Only the texts of rows
+        that stand in the table more than once are shuffled."""
+        names = ["doc_id", "text_key"]
+        near = rows_with(self.texts, rows, names)
+        twice = materialize(self.classes.groupBy(*names).count().filter("count > 1").select(*names), "repeated-rows")
+        if not twice.isEmpty():
+            near = rows_without(near, twice, names).unionByName(rows_with(near, twice, names).dropDuplicates(names))
+        return near.mapInArrow(_set_rows(self.words), "node long, shingles array<long>")
+
+    def _open_pairs(self, lists: DataFrame, hubs: DataFrame, found: DataFrame) -> DataFrame:
+        """Pairs ``u`` and hub ``v`` of the lists that may hold a link not found yet:
+        lists of three members or more that are not of one component."""
+        labelled = lists.withColumnRenamed("node", "u").join(found.withColumnRenamed("node", "u"), "u", "left")
+        labelled = labelled.select("list", "u", F.coalesce("low", "u").alias("low"))
+        state = labelled.groupBy("list").agg(F.count("*").alias("n"), F.min("low").alias("least"), F.max("low").alias("most"))
+        unsettled = state.filter("n > 2 and least < most").select("list")
+        return labelled.join(unsettled, "list", "left_semi").join(hubs, "list").filter("u <> v").select("u", "v").distinct()
+
     def _with_sets(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         a = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
         b = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
@@ -294,32 +322,41 @@ class JaccardJoin:
         p = self.percent
         lists = self.index()
         rows = self._row_of(lists.select("node").distinct())
-        near = rows_with(self.texts, materialize(rows, "near"), ["doc_id", "text_key"])
-        sets = materialize(near.mapInArrow(_set_rows(self.words), "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+        sets = materialize(self._sets(materialize(rows, "near")), "sets")
         members = lists.groupBy("list").agg(F.count("*").alias("n"))
         shared = materialize(lists.join(members, "list").groupBy("node").agg(F.sum("n").alias("shared")), "shared")
         ranked = lists.join(shared, "node")
         hubs = ranked.groupBy("list").agg(F.max(F.struct("shared", "node")).alias("hub")).selectExpr("list", "hub.node as v")
-        pairs = lists.withColumnRenamed("node", "u").join(materialize(hubs, "hubs"), "list").filter("u <> v").select("u", "v").distinct()
+        hubs = materialize(hubs, "hubs")
+        pairs = lists.withColumnRenamed("node", "u").join(hubs, "list").filter("u <> v").select("u", "v").distinct()
         compared = materialize(self._hub_lists(pairs, sets), "compared")
         edges = compared.filter("linked").select("u", "v")
         found = materialize(components(edges), "components")
 
+        left_over = materialize(self._open_pairs(lists, hubs, found), "open-pairs")
         label = F.coalesce("low", "u").alias("low")
         entry = (
-            compared.join(found.withColumnRenamed("node", "u"), "u", "left")
-            .select("u", "v", "h", "fa", "la", "linked", "m0", "m1", label, F.posexplode("prefix").alias("pos", "e"))
+            compared.join(left_over, ["u", "v"], "left_semi")
+            .join(found.withColumnRenamed("node", "u"), "u", "left")
+            .select("u", "v", "h", "fa", "la", "m0", "m1", label, F.posexplode("prefix").alias("pos", "e"))
             .withColumn("left", F.col("fa") + F.col("la") - F.col("pos"))
-            .select("u", "h", "fa", "la", "linked", "low", "m0", "m1", "left", F.xxhash64("v", "e").alias("list"))
+            .select(F.xxhash64("v", "e").alias("list"), "u", "h", "fa", "la", "low", "m0", "m1", "left")
         )
-        other = entry.drop("h").withColumnsRenamed({c: f"{c}2" for c in ("u", "fa", "la", "linked", "low", "m0", "m1", "left")})
+        # Entries of one list, component and size of the differences are a block; a
+        # pair of blocks is skipped whole if nothing in it can share enough.
+        must_share = 100 * (F.col("la") + F.col("la2")) + p * (F.col("fa") + F.col("fa2")) - (100 - p) * F.col("h")
+        block = ["list", "low", "fa", "la"]
+        blocks = entry.groupBy(*block).agg(F.max("left").alias("left"), F.max("h").alias("h"))
+        second = {c: f"{c}2" for c in ("u", "fa", "la", "low", "m0", "m1", "left")}
+        other = blocks.drop("h").withColumnsRenamed(second)
+        meet = (F.col("low") < F.col("low2")) & ((100 + p) * F.least("left", "left2") >= must_share)
+        met = blocks.join(other, "list").filter(meet).drop("left", "left2", "h")
         # a bit of one map that the other lacks stands for a difference not shared
         most = [F.expr(f"fa{x} + la{x} - bit_count(m0{x} & ~m0{y}) - bit_count(m1{x} & ~m1{y})") for x, y in (("", "2"), ("2", ""))]
         may_share = (100 + p) * F.least("left", "left2", *most)
-        must_share = 100 * (F.col("la") + F.col("la2")) + p * (F.col("fa") + F.col("fa2")) - (100 - p) * F.col("h")
         candidates = (
-            entry.join(other, "list")
-            .filter((F.col("u") < F.col("u2")) & (F.col("low") != F.col("low2")) & ~(F.col("linked") & F.col("linked2")))
+            met.join(entry, block)
+            .join(entry.drop("h").withColumnsRenamed(second), ["list", "low2", "fa2", "la2"])
             .filter(may_share >= must_share)
             .select("u", F.col("u2").alias("v"))
             .distinct()
@@ -352,12 +389,11 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str, docs: DataFrame | None =
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest id. Rows
-    that repeat its id are the same document and stay with it; rows without id go
-    if their component has an id."""
+    """``docs`` with one document of each component: that with the smallest id, all
+    its columns kept. Rows that repeat its id are the same document and stay with it;
+    rows without id go if their component has an id. Null and empty texts are
+    linked with nothing and stay; an empty table stays empty."""
+    names = ["doc_id", "text_key"]
     found = JaccardJoin(docs, words, percent).documents()
-    gone = found.filter("component_id is not null and not (doc_id <=> component_id)").select("doc_id", "text_key").distinct()
-    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    marked = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_text_key": key})
-    gone = materialize(gone.withColumnsRenamed({"doc_id": "_id", "text_key": "_text_key"}), "near-duplicates")
-    return rows_without(marked, gone, ["_id", "_text_key"]).select(*docs.columns)
+    gone = found.filter("component_id is not null and not (doc_id <=> component_id)").select(*names).distinct()
+    return rows_without(document_rows(docs), materialize(gone, "near-duplicates"), names).select("row.*")

@@ -102,6 +102,26 @@ def test_index_meets_every_pair_at_the_threshold(percent):
         assert signs[0] & signs[1], (n, len(other))
 
 
+@pytest.mark.parametrize("percent", [90, 80])
+@pytest.mark.parametrize("bits", [64, 61, 56])
+def test_index_meets_all_small_sets(percent, bits):
+    """Sets of up to 12 shingles, also where hashes crowd into few segments: each set
+    against each that links with it by leaving out or exchanging shingles."""
+    rng = random.Random(percent + bits)
+    sizes = Sizes(percent)
+    for n in range(1, 13):
+        for _ in range(40):
+            base = {rng.getrandbits(bits) for _ in range(n)}
+            spare = [rng.getrandbits(bits) for _ in range(3)]
+            signs = lambda x: {int(s) for part in jaccard._signatures(np.array(sorted(x), np.uint64), len(x), sizes) for s in part}
+            own = signs(base)
+            for out in range(3):
+                for extra in range(4):
+                    other = set(rng.sample(sorted(base), max(n - out, 0))) | set(spare[:extra])
+                    if other and other != base and 100 * len(other & base) >= percent * len(other | base):
+                        assert own & signs(other), (n, out, extra)
+
+
 def test_components_of_graphs(spark):
     rng = random.Random(6)
     edges = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 540)]
