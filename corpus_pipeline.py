@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from colflow.llm.bpe import op2_bpe
 from colflow.llm.decontaminate import drop_leaks
@@ -12,30 +13,36 @@ from colflow.llm.quality import keep_good
 from colflow.session import materialize
 
 
+# All stages keep every column of their input under its own name, treat rows that
+# repeat an id as the operators say, and give an empty table for an empty one.
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go; null and empty texts are among them."""
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that ten documents hold go from all of them; ``n_chars`` follows."""
-    return drop_frequent_lines(docs).selectExpr(
-        *(c if c != "n_chars" else "cast(char_length(text) as long) as n_chars" for c in docs.columns)
-    )
+    """Lines that ten documents hold go from all of them; ``n_chars``, where it is a
+    column, follows. A null text becomes the empty text."""
+    kept = drop_frequent_lines(docs, counts=False)
+    return kept.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else kept
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that with the smallest id."""
+    """One document of each group stays, that with the smallest id; null and empty
+    texts are in no group and stay, as do rows that repeat the kept id."""
     return drop_near_duplicates(docs, words=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and empty texts hold none."""
     return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of the token ids and of the decoded text of what is left."""
+    """Digests of the token ids and of the decoded text of what is left, one row for
+    each; null and empty texts have no tokens."""
     return op2_bpe(spark, sf_dir, docs)
 
 
