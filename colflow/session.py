@@ -4,12 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
 _written: list[str] = []
+_on_release: list[Callable[[SparkSession], None]] = []
+
+
+def on_release(forget: Callable[[SparkSession], None]) -> Callable[[SparkSession], None]:
+    """``forget(spark)`` is called by ``release``: whoever hands out frames over
+    intermediate tables more than once drops them there."""
+    _on_release.append(forget)
+    return forget
 
 
 def local_session(cores: str = "8", app: str = "colflow", **conf: str) -> SparkSession:
@@ -59,6 +68,8 @@ def new_path(spark: SparkSession, name: str) -> str:
 def release(spark: SparkSession) -> None:
     """Remove the intermediate tables and checkpoints of this session; frames
     that still read them become invalid."""
+    for forget in _on_release:
+        forget(spark)
     conf = spark._jsc.hadoopConfiguration()
 
     def delete(name: str) -> None:

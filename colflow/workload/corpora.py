@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colflow.functions.text import text_key
-from colflow.session import work_dir
+from colflow.session import on_release, work_dir
 from colflow.sources.catalog import catalog_of_tables, register_catalog
 from colflow.sources.lineage import Analysis, analyze_texts
 from colflow.sources.statements import fingerprint_texts, statement_fingerprint
@@ -92,6 +92,15 @@ def prepare_catalog(spark: SparkSession, sf_dir: str) -> None:
 _analyses: dict[tuple, Analysis] = {}
 
 
+@on_release
+def _forget(spark: SparkSession) -> None:
+    """The tables behind the kept analyses of this application are gone."""
+    own = spark.sparkContext.applicationId
+    for key in [key for key in _analyses if key[0] == own]:
+        del _analyses[key]
+
+
+
 def _analysis(spark: SparkSession, sf_dir: str, stop_at_views: bool, lenient: bool) -> Analysis:
     """All templates of one setting analyzed together: the number of rounds is
     that of the deepest statement, not the sum. Kept for the session."""

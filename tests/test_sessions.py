@@ -15,6 +15,7 @@ from colflow.sources.catalog import CATALOG_SCHEMA, catalog_columns, register_ca
 from colflow.sources.harvest import PlanStore, _failure, harvest_plans
 from colflow.sources.lineage import analyze_statements
 from colflow.streaming.submissions import stream_lineage
+from colflow.workload.corpora import lineage
 
 TEXTS = "fingerprint string, sql string, default_schema string"
 STATEMENTS = "statement_id long, sql string, default_schema string"
@@ -205,3 +206,12 @@ def test_closure_of_a_long_chain(spark):
     starts = spark.createDataFrame([(0, 0, False)], "root long, at long, is_derived boolean")
     reached = {r.at: r.is_derived for r in closure(starts, edges).collect()}
     assert len(reached) == 41 and not reached[7] and reached[8]
+
+
+def test_release_forgets_the_analyses(spark, sf_dir):
+    def rows():
+        return sorted(map(repr, lineage(spark, sf_dir, "join_multiway").collect()))
+
+    before = rows()
+    release(spark)
+    assert rows() == before != []
