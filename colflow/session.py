@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
 _written: list[str] = []
+_tables: list[str] = []
 _on_release: list[Callable[[SparkSession], None]] = []
 
 
@@ -76,6 +77,8 @@ def release(spark: SparkSession) -> None:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
 
+    while _tables:
+        spark.sql(f"drop table if exists {_tables.pop()}")
     while _written:
         delete(_written.pop())
     # Spark gives each application a folder of its own for its checkpoints
@@ -139,3 +142,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, name: str, keys: list[str], sort: bool = True, dealt: bool = False) -> DataFrame:
+    """``materialize`` as a table bucketed (and sorted) by ``keys`` into as many
+    buckets as there are shuffle partitions: joins and groups by the keys read it
+    without an exchange. Rows are shuffled once for it, unless the caller says that
+    they are ``dealt``: the rows of a task have few keys."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = new_path(spark, name)
+    table = f"default.{path.rsplit('/', 1)[-1].replace('-', '_')}"
+    rows = df if dealt else df.repartition(buckets, *keys)
+    writer = rows.write.format("parquet").option("path", path).bucketBy(buckets, *keys)
+    (writer.sortBy(*keys) if sort else writer).saveAsTable(table)
+    _tables.append(table)
+    return spark.table(table)
