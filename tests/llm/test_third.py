@@ -96,9 +96,23 @@ def test_alignment_in_small_pieces(pair, monkeypatch):
         assert Counter((int(k) >> pair.shift, int(k) & mask) for k in keys) == want
 
 
+def test_ranks_encode_as_the_file(pair):
+    assert pair.fast is not None
+    rng = random.Random(4)
+    alphabet = ["a", "The", " ", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "\u2003", "'s", "'ll", "12", "!?", "é́", "日", "\u200b", "_", "<|endoftext|>", "ÿ", "ǅ", "²", "½", "\u00ad", "ª"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 30))) for _ in range(3000)]
+    (ids_a, ids_b), (count_a, count_b) = pair.encode(texts)
+    ends_a, ends_b = count_a.cumsum(), count_b.cumsum()
+    for text, a, n, b, m in zip(texts, ends_a, count_a, ends_b, count_b, strict=True):
+        if text:
+            assert ids_a[a - n : a].tolist() == pair.a.encode(" " + text, add_special_tokens=False).ids
+            assert ids_b[b - m : b].tolist() == pair.b.encode(text)
+        else:
+            assert n == m == 0
+
+
 def test_overlaps_are_the_tokens_that_share_a_byte(pair):
-    side_a, side_b = pair.encode([r[1] for r in brute.awkward()[:20] + ODD])
-    a, b = alignment.token_frame(side_a, pair.length_a), alignment.token_frame(side_b, pair.length_b)
+    a, b = alignment.token_frames(pair, [r[1] for r in brute.awkward()[:20] + ODD])
     found = alignment.overlaps(a, b)
     got = list(zip(found["i"], found["j"], strict=True))
     spans = [list(zip(f["start"], f["end"], strict=True)) for f in (a, b)]
