@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colflow.llm.common import document_rows, documents, rows_with, rows_without
+from colflow.llm.common import document_rows, documents, rows_joined, rows_with, rows_without
 from colflow.llm.components import components
 from colflow.llm.hashing import FOLDED, U, batches_of, mix, shingle_hashes, word_hashes
 from colflow.session import materialize
@@ -220,11 +220,17 @@ def _lists(table: pa.Table) -> pa.Table:
 
 
 def _set_rows(n: int):
+    """``node`` and ``shingles`` of each text, once for each of its ``others``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, values, at in _sets_of(batch, n):
+            for first, count, values, at in _sets_of(batch, n):
+                others = batch.column("others").slice(first, count)
+                each = np.diff(others.offsets.to_numpy())
+                row = np.repeat(np.arange(count), each)
+                sets = pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_pydict(
-                    {"node": _nodes(values, at), "shingles": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64)))}
+                    {"node": _nodes(values, at)[row], "other": others.flatten(), "shingles": sets.take(row).cast(pa.list_(pa.int64()))}
                 )
 
     return run
@@ -251,9 +257,6 @@ class JaccardJoin:
         firsts = self.classes.filter("node is not null").groupBy("node").agg(first.alias("f"), F.max("n_shingles").alias("size"))
         self.firsts = materialize(firsts.selectExpr("node", "size", "f.doc_id", "f.text_key"), "class-rows")
 
-    def _row_of(self, nodes: DataFrame) -> DataFrame:
-        return self.firsts.join(nodes, "node", "left_semi").select("doc_id", "text_key").distinct()
-
     def index(self) -> DataFrame:
         """``list`` and ``node``: the lists of the index with two sets or more."""
         rows = self.classes.filter("node is not null").select("doc_id", "text_key", "node")
@@ -267,15 +270,29 @@ class JaccardJoin:
         lists = blocks.groupBy("part").applyInArrow(_lists, "list long, node long")
         return materialize(lists.distinct(), "lists")
 
-    def _sets(self, rows: DataFrame) -> DataFrame:
-        """``node`` and ``shingles`` of the ``rows``, each once. Only the texts of rows
-        that stand in the table more than once are shuffled."""
+    def _sets(self, wanted: DataFrame) -> DataFrame:
+        """``node``, ``other`` and ``shingles`` for ``wanted(node, others)``: the set of
+        each node, once for each of the others. Only the texts of rows that stand in
+        the table more than once are shuffled."""
         names = ["doc_id", "text_key"]
-        near = rows_with(self.texts, rows, names)
+        keys = materialize(self.firsts.join(wanted, "node").select(*names, "others"), "wanted")
+        near = rows_joined(self.texts, keys, names)
         twice = materialize(self.classes.groupBy(*names).count().filter("count > 1").select(*names), "repeated-rows")
         if not twice.isEmpty():
             near = rows_without(near, twice, names).unionByName(rows_with(near, twice, names).dropDuplicates(names))
-        return near.mapInArrow(_set_rows(self.words), "node long, shingles array<long>")
+        return near.select("text", "others").mapInArrow(_set_rows(self.words), "node long, other long, shingles array<long>")
+
+    def _sets_of_nodes(self, nodes: DataFrame) -> DataFrame:
+        """``node`` and ``shingles`` of the distinct ``nodes``."""
+        return self._sets(nodes.withColumn("others", F.array("node"))).select("node", "shingles")
+
+    def _beside_hubs(self, pairs: DataFrame) -> DataFrame:
+        """``u``, its hub ``v`` and both sets. A set has no more hubs than segments, so
+        its copies for them leave the task that reads its text."""
+        hubs = pairs.groupBy(F.col("u").alias("node")).agg(F.collect_list("v").alias("others"))
+        a = self._sets(hubs).select(F.col("node").alias("u"), F.col("other").alias("v"), F.col("shingles").alias("a"))
+        b = self._sets_of_nodes(pairs.select(F.col("v").alias("node")).distinct())
+        return a.join(b.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
 
     def _open_pairs(self, lists: DataFrame, hubs: DataFrame, found: DataFrame) -> DataFrame:
         """Pairs ``u`` and hub ``v`` of the lists that may hold a link not found yet:
@@ -291,11 +308,11 @@ class JaccardJoin:
         b = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
         return pairs.join(a, "u").join(b, "v")
 
-    def _hub_lists(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    def _hub_lists(self, pairs: DataFrame) -> DataFrame:
         """For each pair of a member ``u`` and its hub ``v`` whether they link, the
         sizes of the differences, two 64-bit maps of them, and their prefix."""
         p = self.percent
-        both = self._with_sets(pairs, sets).select(
+        both = self._beside_hubs(pairs).select(
             "u",
             "v",
             F.size("b").alias("h"),
@@ -321,15 +338,13 @@ class JaccardJoin:
         that link with another."""
         p = self.percent
         lists = self.index()
-        rows = self._row_of(lists.select("node").distinct())
-        sets = materialize(self._sets(materialize(rows, "near")), "sets")
         members = lists.groupBy("list").agg(F.count("*").alias("n"))
         shared = materialize(lists.join(members, "list").groupBy("node").agg(F.sum("n").alias("shared")), "shared")
         ranked = lists.join(shared, "node")
         hubs = ranked.groupBy("list").agg(F.max(F.struct("shared", "node")).alias("hub")).selectExpr("list", "hub.node as v")
         hubs = materialize(hubs, "hubs")
         pairs = lists.withColumnRenamed("node", "u").join(hubs, "list").filter("u <> v").select("u", "v").distinct()
-        compared = materialize(self._hub_lists(pairs, sets), "compared")
+        compared = materialize(self._hub_lists(materialize(pairs, "pairs")), "compared")
         edges = compared.filter("linked").select("u", "v")
         found = materialize(components(edges), "components")
 
@@ -342,6 +357,10 @@ class JaccardJoin:
             .withColumn("left", F.col("fa") + F.col("la") - F.col("pos"))
             .select(F.xxhash64("v", "e").alias("list"), "u", "h", "fa", "la", "low", "m0", "m1", "left")
         )
+        # lists of one component end here; what is left is few, and its size known
+        ends = entry.groupBy("list").agg(F.min("low").alias("least"), F.max("low").alias("most"))
+        shared = materialize(ends.filter("least < most").select("list"), "shared-differences")
+        entry = materialize(entry.join(shared, "list", "left_semi"), "entries")
         # Entries of one list, component and size of the differences are a block; a
         # pair of blocks is skipped whole if nothing in it can share enough.
         must_share = 100 * (F.col("la") + F.col("la2")) + p * (F.col("fa") + F.col("fa2")) - (100 - p) * F.col("h")
@@ -350,7 +369,7 @@ class JaccardJoin:
         second = {c: f"{c}2" for c in ("u", "fa", "la", "low", "m0", "m1", "left")}
         other = blocks.drop("h").withColumnsRenamed(second)
         meet = (F.col("low") < F.col("low2")) & ((100 + p) * F.least("left", "left2") >= must_share)
-        met = blocks.join(other, "list").filter(meet).drop("left", "left2", "h")
+        met = materialize(blocks.join(other, "list").filter(meet).drop("left", "left2", "h"), "met-blocks")
         # a bit of one map that the other lacks stands for a difference not shared
         most = [F.expr(f"fa{x} + la{x} - bit_count(m0{x} & ~m0{y}) - bit_count(m1{x} & ~m1{y})") for x, y in (("", "2"), ("2", ""))]
         may_share = (100 + p) * F.least("left", "left2", *most)
@@ -361,6 +380,9 @@ class JaccardJoin:
             .select("u", F.col("u2").alias("v"))
             .distinct()
         )
+        candidates = materialize(candidates, "candidates")
+        nodes = candidates.select(F.inline(F.array(F.struct(F.col("u").alias("node")), F.struct(F.col("v").alias("node"))))).distinct()
+        sets = materialize(self._sets_of_nodes(nodes), "sets")
         common = F.size(F.array_intersect("a", "b"))
         more = self._with_sets(candidates, sets).filter(100 * common >= p * (F.size("a") + F.size("b") - common)).select("u", "v")
         more = materialize(more, "links")

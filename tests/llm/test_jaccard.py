@@ -70,7 +70,7 @@ def test_query(spark, sf_dir):
 
 def test_other_ways_give_the_same(spark, monkeypatch):
     rows = near_rows(1)
-    monkeypatch.setattr(common, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     monkeypatch.setattr(jaccard, "PART_DOCS", 20)
     monkeypatch.setattr(jaccard, "GATHER", 2000)
     assert brute.ordered(op7_jaccard_join(spark, "", brute.table(spark, rows)).collect()) == brute.ordered(grouped(rows, 3, 90))

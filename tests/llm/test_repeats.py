@@ -67,7 +67,7 @@ def test_substring_dedup_of_real_texts(spark, sf_dir):
 def test_substring_dedup_by_shuffled_ids(spark, monkeypatch):
     from colflow.llm import common
 
-    monkeypatch.setattr(common, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     rows = long_rows()
     assert brute.ordered(op4_substring_dedup(spark, "", brute.table(spark, rows)).collect()) == brute.ordered(repeats(rows))
 
