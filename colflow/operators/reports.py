@@ -106,6 +106,28 @@ def co_used_tables(origins: DataFrame, table: str) -> DataFrame:
     )
 
 
+def co_used_pairs(origins: DataFrame, support: int) -> DataFrame:
+    """Pairs of tables that at least ``support`` statements read together.
+
+    A table of a frequent pair is read by as many statements itself: the others go
+    first, and with them most of what a statement's pairs would be. Few tables pass
+    a support worth the name, and a statement's pairs are of those only; the counts
+    combine map-side.
+    """
+    name = F.concat_ws(".", "source_schema", "source_table")
+    reads = origins.select("statement_id", name.alias("table")).distinct()
+    often = reads.groupBy("table").agg(F.count("*").alias("n")).filter(F.col("n") >= support).select("table")
+    reads = materialize(reads.join(often, "table", "left_semi"), "frequent-reads")
+    other = reads.select("statement_id", F.col("table").alias("other"))
+    return (
+        reads.join(other, "statement_id")
+        .filter("table < other")
+        .groupBy("table", "other")
+        .agg(F.count("*").alias("statements"))
+        .filter(F.col("statements") >= support)
+    )
+
+
 def verify_direct(result: DataFrame, targets: DataFrame, origins: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     """Check lineage against data: per output column whose origins are all
     direct, how many distinct non-null values are not found in any of its

@@ -21,6 +21,7 @@ from colflow.plans.flatten import (
     REFERENCES,
     RELATIONS,
     SCOPES,
+    _quoted,
     flatten_plans,
     subtree_stops,
 )
@@ -100,23 +101,27 @@ def _definitions(nodes: DataFrame) -> DataFrame:
 
 
 def _outputs(consumers: DataFrame, definitions: DataFrame) -> DataFrame:
-    """Ordered output columns of the subtree ``[lo, hi]`` of each consumer."""
+    """Ordered output columns of the subtree ``[lo, hi]`` of each consumer.
+
+    A definition is seen from ``lo`` if no barrier lies between, that is, if the
+    innermost barrier above both is the same: an equi-join, after which the interval
+    leaves little to drop."""
     d = definitions.filter("alt = 0").select(
         "plan_id", "tree", F.col("node").alias("at"), F.col("stop").alias("at_stop"), "barrier", "ord", "attr"
     )
     order = Window.partitionBy("plan_id", "tree", "lo").orderBy("at_stop", F.desc("at"), "ord")
     return (
-        consumers.join(d, ["plan_id", "tree"])
-        .filter("at between lo and hi and barrier < lo")
+        consumers.join(d, ["plan_id", "tree", "barrier"])
+        .filter("at between lo and hi")
         .withColumn("k", F.row_number().over(order) - 1)
-        .select(*consumers.columns, "k", "attr")
+        .select(*(c for c in consumers.columns if c != "barrier"), "k", "attr")
     )
 
 
 def _roots(nodes: DataFrame) -> DataFrame:
     return nodes.filter("node = 0").selectExpr(
         "plan_id", "tree", "0 as lo", "stop as hi", "'root' as use", "-1 as owner", "0 as branch",
-        "cast(null as bigint) as link",
+        "cast(null as bigint) as link", "barrier",
     )
 
 
@@ -124,11 +129,13 @@ def _consumers(nodes: DataFrame) -> DataFrame:
     """Subtrees whose columns are used by position."""
     kids = (
         nodes.filter(F.col("class").isin(*BY_POSITION, "UnionLoop", "CTERelationDef"))
-        .select("plan_id", "tree", "class", "node", "link", F.posexplode("kids").alias("branch", "kid"))
+        .select("plan_id", "tree", "class", "node", "link", "barrier", F.posexplode("kids").alias("branch", "kid"))
         .selectExpr(
             "plan_id", "tree", "kid.lo as lo", "kid.hi as hi",
             "case class when 'CTERelationDef' then 'cte' when 'UnionLoop' then 'loop' else 'branch' end as use",
             "node as owner", "branch", "link",
+            # the owner is a barrier itself for what it makes anew or takes by position
+            f"if(class = 'UnionLoop' or class in ({_quoted(BY_POSITION)}) and branch > 0, node, barrier) as barrier",
         )
     )
     return _roots(nodes).unionByName(kids)

@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colflow.plans.closure import closure
+from colflow.plans.closure import path_ends
 from colflow.plans.edges import PlanGraph
-from colflow.session import cut, materialize, partitioned_by_plan
+from colflow.session import materialize, partitioned_by_plan
 
 
 def column_origins(
@@ -17,8 +17,12 @@ def column_origins(
 ) -> tuple[DataFrame, DataFrame]:
     """``(origins, unknown)``: source columns per output column, and the output
     columns some part of which could not be traced."""
-    starts = targets.select(key, "target_ordinal", F.col("attr_id").alias("at"), F.lit(False).alias("is_derived"))
-    reached = cut(closure(starts, attr_edges, [key]))
+    reached = (
+        path_ends(attr_edges, attr_bases, key)
+        .withColumnsRenamed({"to_id": "attr_id", "from_id": "at"})
+        .join(targets.select(key, "target_ordinal", "attr_id"), [key, "attr_id"])
+        .drop("attr_id")
+    )
     unknown = reached.filter("at is null").select(key, "target_ordinal").distinct()
     found = reached.join(attr_bases.withColumnRenamed("attr_id", "at"), [key, "at"]).join(
         targets.select(key, "target_ordinal", "target_column", "data_type"), [key, "target_ordinal"]
@@ -59,12 +63,10 @@ def lineage_of_plans(plans: DataFrame, stop_at_views: bool = False) -> tuple[Dat
     look complete.
     """
     graph = PlanGraph(plans, stop_at_views)
-    with partitioned_by_plan(plans.sparkSession, graph.partitions):
-        origins, unknown = column_origins(graph.edges, graph.bases, graph.targets)
-    # small per-text tables: written, so that later joins know their size
     keys = ["plan_id", "target_ordinal"]
     with partitioned_by_plan(plans.sparkSession, graph.partitions):
-        origins, unknown = cut(origins), cut(unknown)
+        origins, unknown = column_origins(graph.edges, graph.bases, graph.targets)
+        # small per-text tables: written, so that later joins know their size
         targets = materialize(origin_status(graph.targets, origins, unknown, keys).drop("attr_id"), "targets")
         origins = materialize(origins.join(unknown, keys, "left_anti"), "origins")
     return targets, origins

@@ -124,15 +124,20 @@ def partitioned_by_plan(spark: SparkSession, partitions: int):
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         # a checkpoint hands its constraints on, and they would multiply by rounds
         "spark.sql.constraintPropagation.enabled": "false",
+        # for a few plans it takes longer to compile the stages than to run them
+        "spark.sql.codegen.wholeStage": str(partitions > 1).lower(),
     }
-    before = {key: spark.conf.get(key) for key in settings}
+    before = {key: spark.conf.get(key, None) for key in settings}
     for key, value in settings.items():
         spark.conf.set(key, value)
     try:
         yield
     finally:
         for key, value in before.items():
-            spark.conf.set(key, value)
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

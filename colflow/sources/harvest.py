@@ -7,12 +7,13 @@ table in the shared folder: the driver holds one batch at a time.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from concurrent.futures import ThreadPoolExecutor
 from itertools import islice
 
 from py4j.protocol import Py4JError, Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,35 +32,95 @@ RESULT = T.StructType(
     ]
 )
 
-STORED = T.StructType([*RESULT.fields, T.StructField("setting", T.StringType())])
+STORED = T.StructType([*RESULT.fields, T.StructField("setting", T.StringType()), T.StructField("bucket", T.IntegerType())])
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("fingerprint"), F.lit(PlanStore.BUCKETS)).cast("int")
+
+
+def catalog_mark(spark: SparkSession, catalog: DataFrame) -> str:
+    """What an analysis depends on, as one hash: the catalog's columns, the texts of
+    all views, the functions that users registered, and Spark's version."""
+    columns = ["schema", "table", "column", "ordinal", "data_type"]
+    total = F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).cast("string")
+    parts = [spark.version, catalog.select(*columns).distinct().agg(total).first()[0] or ""]
+    state = spark._jsparkSession.sessionState().catalog()
+    name = spark._jvm.org.apache.spark.sql.catalyst.TableIdentifier
+    some = spark._jvm.scala.Option.apply
+    for database in sorted(d.name for d in spark.catalog.listDatabases()):
+        for view in sorted(r.viewName for r in spark.sql(f"show views in `{database}`").filter("not isTemporary").collect()):
+            parts += [database, view, state.getTableMetadata(name(view, some(database))).viewText().get()]
+        parts += sorted(r.function for r in spark.sql(f"show user functions in `{database}`").collect())
+    return hashlib.sha256("\n".join(parts).encode()).hexdigest()[:32]
 
 
 class PlanStore:
     """Plans kept between runs, in a table at ``path``: a text is analyzed once
     for each catalog and setting, by whichever run or driver sees it first.
 
-    The catalog is known by a hash of its columns, so plans of an older catalog
-    stay in the table but are not used. Two drivers that analyze the same text at
-    the same time store it twice; the readers take it once.
+    The catalog is known by ``catalog_mark`` at the time of each use, so a view that
+    changes is seen by the next lookup; plans of an older state stay in the table but
+    are not used. The table is laid out by setting and a bucket of the fingerprint: a
+    lookup reads the buckets of its texts. Two drivers that analyze the same text at
+    the same time store it twice; the readers take it once, and ``compact`` too.
     """
 
+    BUCKETS = 64
+
     def __init__(self, spark: SparkSession, path: str, catalog: DataFrame):
-        self.spark, self.path = spark, path
-        columns = ["schema", "table", "column", "ordinal", "data_type"]
-        mark = F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).cast("string")
-        self.catalog_key = catalog.select(*columns).distinct().agg(mark).first()[0] or ""
-        # an empty first write fixes the schema
-        spark.createDataFrame([], STORED).write.mode("append").parquet(path)
+        self.spark, self.path, self.catalog = spark, path.rstrip("/"), catalog
 
     def setting(self, lenient: bool) -> str:
-        return f"{self.catalog_key} {'lenient' if lenient else 'strict'}"
+        return f"{catalog_mark(self.spark, self.catalog)}-{'lenient' if lenient else 'strict'}"
+
+    def _generations(self) -> list[int]:
+        """Numbers of the tables under ``path`` that are complete, ascending."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        system = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not system.exists(folder):
+            return []
+        names = [s.getPath().getName() for s in system.listStatus(folder)]
+        numbers = sorted(int(n.removeprefix("plans-")) for n in names if n.startswith("plans-"))
+        success = self.spark._jvm.org.apache.hadoop.fs.Path
+        return [n for n in numbers if system.exists(success(f"{self.path}/plans-{n}/_SUCCESS"))]
 
-    def known(self, lenient: bool) -> DataFrame:
-        stored = self.spark.read.schema(STORED).parquet(self.path)
-        return stored.filter(F.col("setting") == self.setting(lenient)).drop("setting").dropDuplicates(["fingerprint"])
+    def _write(self, rows: DataFrame, generation: int) -> None:
+        rows.write.mode("append").partitionBy("setting", "bucket").parquet(f"{self.path}/plans-{generation}")
+
+    def known(self, lenient: bool, texts: DataFrame | None = None) -> DataFrame:
+        """The stored plans of the present catalog, for ``texts(fingerprint)`` if given:
+        only their buckets are read."""
+        found = self._generations()
+        if not found:
+            return self.spark.createDataFrame([], RESULT)
+        # the numbers are fixed, so a compaction by another driver does no harm
+        stored = self.spark.read.schema(STORED).parquet(f"{self.path}/plans-{found[-1]}")
+        stored = stored.filter(F.col("setting") == self.setting(lenient))
+        if texts is not None:
+            buckets = [r[0] for r in texts.select(_bucket()).distinct().collect()]  # BUCKETS numbers at most
+            stored = stored.filter(F.col("bucket").isin(buckets)).join(texts.select("fingerprint"), "fingerprint", "left_semi")
+        return stored.drop("setting", "bucket").dropDuplicates(["fingerprint"])
 
     def add(self, results: DataFrame, lenient: bool) -> None:
-        results.withColumn("setting", F.lit(self.setting(lenient))).write.mode("append").parquet(self.path)
+        rows = results.withColumns({"setting": F.lit(self.setting(lenient)), "bucket": _bucket()})
+        # one file for each bucket that gets rows
+        self._write(rows.repartition("bucket"), (self._generations() or [0])[-1])
+
+    def compact(self) -> None:
+        """Writes the plans of the present catalog anew, once each and one file to a
+        bucket, as the next generation, and removes those before the last. A plan that
+        another driver adds meanwhile may be lost, which costs its analysis."""
+        found = self._generations()
+        if not found:
+            return
+        present = [self.setting(lenient) for lenient in (False, True)]
+        rows = self.spark.read.schema(STORED).parquet(f"{self.path}/plans-{found[-1]}").filter(F.col("setting").isin(present))
+        self._write(rows.dropDuplicates(["setting", "fingerprint"]).repartition("bucket"), found[-1] + 1)
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        system = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for number in found[:-1]:
+            system.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/plans-{number}"), True)
 
 
 _UNKNOWN_ROUTINE = re.compile(r"\[UNRESOLVED_ROUTINE\].*?routine ((?:`[A-Za-z_]\w*`\.)*`[A-Za-z_]\w*`)")
@@ -88,7 +149,7 @@ def harvest_plans(
     i, n = shard
     statements = statements.filter(F.pmod(F.xxhash64("fingerprint"), F.lit(n)) == i)
     if store is not None:
-        known = materialize(store.known(lenient).join(statements.select("fingerprint"), "fingerprint", "left_semi"), "known-plans")
+        known = materialize(store.known(lenient, statements), "known-plans")
         statements = statements.join(known.select("fingerprint"), "fingerprint", "left_anti")
     path = new_path(spark, "harvest")
     # an empty first write fixes the schema, also when no statement arrives
@@ -121,6 +182,8 @@ def _analyze_group(spark, schema, rows, lenient, threads):
         # "..." names a column, as in the reference's SQL dialect
         spark.conf.set("spark.sql.ansi.enabled", "true")
         spark.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")
+        # each level of nested names takes a pass of the analyzer
+        spark.conf.set("spark.sql.analyzer.maxIterations", "10000")
         with ThreadPoolExecutor(threads) as pool:
             return list(pool.map(lambda r: _analyze(spark, r.fingerprint, r.sql, lenient), rows))
     except Exception as error:  # the schema itself does not exist

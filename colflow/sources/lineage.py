@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from colflow.plans.origins import lineage_of_plans, uniquify_targets
 from colflow.session import materialize
 from colflow.sources.harvest import PlanStore, harvest_plans
-from colflow.sources.statements import distinct_fingerprints, fan_out, statement_fingerprint
+from colflow.sources.statements import distinct_fingerprints, fan_out, hot_texts, statement_fingerprint
 
 
 @dataclass
@@ -34,8 +34,10 @@ class Analysis:
     def of(self, statements: DataFrame) -> Lineage:
         """Results for ``statements(statement_id, text_key)``."""
 
+        hot = hot_texts(self.texts)
+
         def spread(df: DataFrame) -> DataFrame:
-            return fan_out(statements, self.texts, df)
+            return fan_out(statements, self.texts, df, hot=hot)
 
         return Lineage(spread(self.targets), spread(self.origins), spread(self.failures))
 

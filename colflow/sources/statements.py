@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,18 +22,38 @@ REQUEST = T.StructType(
     ]
 )
 
+CORRUPT = "_unreadable"
+#: an unreadable request is the client's error, as an invalid argument is
+UNREADABLE = "java.lang.IllegalArgumentException"
+
 
 def _trim(column: str) -> Column:
     return F.regexp_replace(column, r"^\s+|\s+$", "")
 
 
-def read_statements(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """``statements(statement_id, sql, default_schema)`` from request records.
+def read_statements(spark: SparkSession, path: str, fmt: str = "json") -> tuple[DataFrame, DataFrame]:
+    """``(statements, failures)`` from request records.
 
-    Connection fields are left in the file: no credential enters a table.
+    ``statements(statement_id, sql, default_schema)``; connection fields are left in
+    the file: no credential enters a table. A JSON line that is no such record is a
+    failure: ``record`` (its SHA-256, as it may hold a credential), ``error_class`` and
+    ``chain``, in the form in which failed statements are reported.
     """
-    raw = spark.read.schema(REQUEST).format(fmt).load(path)
-    return raw.select("statement_id", _trim("sql").alias("sql"), _trim("schema").alias("default_schema"))
+    if fmt != "json":
+        raw = spark.read.schema(REQUEST).format(fmt).load(path).withColumn(CORRUPT, F.lit(None).cast("string"))
+    else:
+        schema = T.StructType([*REQUEST.fields, T.StructField(CORRUPT, T.StringType())])
+        lines = spark.read.text(path).filter(F.trim("value") != "")
+        parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+        raw = lines.select(parsed.alias("request")).select("request.*")
+    good = raw.filter(F.col(CORRUPT).isNull())
+    statements = good.select("statement_id", _trim("sql").alias("sql"), _trim("schema").alias("default_schema"))
+    failures = raw.filter(F.col(CORRUPT).isNotNull()).select(
+        F.sha2(CORRUPT, 256).alias("record"),
+        F.lit(UNREADABLE).alias("error_class"),
+        F.array(F.lit("request body is not a readable record")).alias("chain"),
+    )
+    return statements, failures
 
 
 def statement_fingerprint(statements: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -66,17 +88,26 @@ def distinct_fingerprints(texts: DataFrame) -> DataFrame:
 ROWS_PER_SALT = 1_000_000
 
 
-def fan_out(statements: DataFrame, texts: DataFrame, results: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+def hot_texts(texts: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """Texts of more statements than one join key takes, with their number of keys."""
+    salts = F.ceil(F.col("statements") / rows_per_salt).cast("int")
+    return materialize(texts.filter(F.col("statements") > rows_per_salt).select("text_key", salts.alias("salts")), "hot-texts")
+
+
+def fan_out(
+    statements: DataFrame, texts: DataFrame, results: DataFrame, rows_per_salt: int = ROWS_PER_SALT, hot: DataFrame | None = None
+) -> DataFrame:
     """Results per fingerprint back to every statement with that fingerprint.
 
     ``statements(statement_id, text_key)`` may be large and skewed. Texts
     above the threshold get several join keys: their statements are spread by
     hash and their (few) results repeated for each key. The list of such texts
     is stored, so its size decides how it is joined: broadcast if small, else
-    by shuffle, where adaptive execution splits the hot texts.
+    by shuffle, where adaptive execution splits the hot texts. A caller with several
+    results passes it as ``hot``.
     """
     salts = F.ceil(F.col("statements") / rows_per_salt).cast("int")
-    hot = materialize(texts.filter(F.col("statements") > rows_per_salt).select("text_key", salts.alias("salts")), "hot-texts")
+    hot = hot_texts(texts, rows_per_salt) if hot is None else hot
     spread = (
         statements.select("statement_id", "text_key")
         .join(hot, "text_key", "left")
@@ -91,6 +122,30 @@ def fan_out(statements: DataFrame, texts: DataFrame, results: DataFrame, rows_pe
     return spread.join(repeated, ["text_key", "salt"]).drop("text_key", "salt")
 
 
-def write_lineage(origins: DataFrame, path: str, fmt: str = "parquet", partition_by: str = "source_schema") -> None:
-    """Persist lineage edges, laid out by source schema."""
-    origins.write.mode("append").partitionBy(partition_by).format(fmt).save(path)
+def write_lineage(origins: DataFrame, path: str, run: str, fmt: str = "parquet") -> None:
+    """Persist the lineage edges of one ``run``, laid out by run and source schema.
+
+    A run that is written again, or once more after it was killed, replaces what it
+    wrote before: only the folder of its own name is overwritten. It is struck from
+    the manifest first and entered last, so what a killed attempt leaves never counts.
+    """
+    manifest = origins.sparkSession.createDataFrame([(run,)], "run string").coalesce(1)
+    entry = f"{path}/manifest/{_folder(run)}"
+    manifest.limit(0).write.mode("overwrite").parquet(entry)
+    origins.write.mode("overwrite").partitionBy("source_schema").format(fmt).save(f"{path}/edges/run={run}")
+    manifest.write.mode("overwrite").parquet(entry)
+
+
+def _folder(run: str) -> str:
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9_.-]*", run):
+        raise ValueError("a run's name has letters, digits, '_', '.' and '-' only")
+    return run
+
+
+def read_lineage(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
+    """The edges of all committed runs, with ``run``: what a run left half-way is not
+    among them."""
+    committed = spark.read.schema("run string").parquet(f"{path}/manifest/*").distinct()
+    full = T.StructType([*schema.fields, T.StructField("run", T.StringType())])
+    edges = spark.read.schema(full).format(fmt).load(f"{path}/edges")
+    return edges.join(committed, "run", "left_semi")

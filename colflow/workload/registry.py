@@ -25,6 +25,7 @@ from colflow.sources.harvest import PlanStore
 from colflow.sources.statements import (
     distinct_fingerprints,
     fan_out,
+    read_lineage,
     read_statements,
     statement_fingerprint,
     write_lineage,
@@ -145,7 +146,29 @@ def read_statements_json(spark, sf):
         F.lit(" secret ").alias("password"),
         F.concat(F.lit(" "), "role").alias("schema"),
     ).write.json(path)
-    return read_statements(spark, path, "json")
+    return read_statements(spark, path, "json")[0]
+
+
+@query(
+    """select cast(null as bigint) as statement_id, cast(null as varchar) as sql,
+           sha256('{"statement_id": ' || (conv_id * 1000 + turn) || ', "sql": "select') as record from conversations where turn % 3 = 0
+         union all
+         select conv_id * 1000 + turn, 'select ' || turn, null from conversations where turn % 3 <> 0""",
+    name="read_statements_unreadable",
+)
+def _read_statements_unreadable(spark, sf):
+    # every third request breaks off
+    path = new_path(spark, "requests")
+    load(spark, sf, "conversations").select(
+        F.concat(
+            F.lit('{"statement_id": '), F.expr("cast(conv_id * 1000 + turn as string)"), F.lit(', "sql": "select'),
+            F.when(F.col("turn") % 3 == 0, "").otherwise(F.concat(F.lit(" "), F.col("turn").cast("string"), F.lit('"}'))),
+        )
+    ).write.text(path)
+    good, failed = read_statements(spark, path)
+    return good.select("statement_id", "sql", F.lit(None).cast("string").alias("record")).unionByName(
+        failed.select(F.lit(None).cast("long").alias("statement_id"), F.lit(None).cast("string").alias("sql"), "record")
+    )
 
 
 QUERIES["read_statements"] = QUERIES.pop("read_statements_json")
@@ -179,8 +202,10 @@ ORACLES["statement_fingerprint"] = ORACLES.pop("statement_fingerprint_counts")
 def write_lineage_parquet(spark, sf):
     path = new_path(spark, "lineage")
     origins = _o(spark, sf)
-    write_lineage(origins, path)
-    return spark.read.schema(origins.schema).parquet(path)
+    # the second attempt replaces the first
+    for _ in range(2):
+        write_lineage(origins, path, "first")
+    return read_lineage(spark, path, origins.schema).drop("run")
 
 
 QUERIES["write_lineage"] = QUERIES.pop("write_lineage_parquet")
@@ -626,10 +651,11 @@ def _rows(spark, sf):
 
 
 @query(
-    _with(t=T_SQL, o=O_SQL, e=_EDGES, w=_ROWS)
-    + """, kept as materialized (select * from w where row_id like 'tgt-%' or row_id not like '%5')
-         select e.* from e where exists (select 1 from kept where kept.statement_id = e.statement_id and row_id = e."from")
-           and exists (select 1 from kept where kept.statement_id = e.statement_id and row_id = e."to")"""
+    f"""with t as ({T_SQL}), o as ({O_SQL}), e as ({_EDGES}),
+         kept as (select distinct statement_id, row_id from ({_ROWS}) where row_id like 'tgt-%' or row_id not like '%5')
+         select e.statement_id, e."from", e."to", e.label, e.dashed from e
+         join kept a on a.statement_id = e.statement_id and a.row_id = e."from"
+         join kept b on b.statement_id = e.statement_id and b.row_id = e."to\""""
 )
 def drop_dangling_edges(spark, sf):
     # stored once: the edges and both kinds of rows come from it
@@ -832,6 +858,16 @@ def co_used_tables(spark, sf):
     return reports.co_used_tables(_o(spark, sf), "sample.brand_17")
 
 
+@query(
+    _with(o=O_SQL)
+    + """, r as materialized (select distinct statement_id, source_schema || '.' || source_table as tab from o)
+         select a.tab as "table", b.tab as "other", count(*) as statements from r a join r b
+           on a.statement_id = b.statement_id and a.tab < b.tab group by all having count(*) >= 5"""
+)
+def co_used_pairs(spark, sf):
+    return reports.co_used_pairs(_o(spark, sf), 5)
+
+
 _ORDER_LINES = """select o_orderkey, c_name as customer_name, p_name as product_name, l_quantity, l_extendedprice, l_discount,
   l_quantity * l_extendedprice * (1 - l_discount / 100) as line_total
   from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey join part on p_partkey = l_partkey"""

@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 
 from colflow.operators import failures as fail
 from colflow.operators.shape import render_text
+from colflow.plans import closure as closures
 from colflow.plans.closure import closure
 from colflow.plans.flatten import flatten_plans
 from colflow.plans.origins import lineage_of_plans, uniquify_targets
-from colflow.session import new_path
+from colflow.session import cut, new_path
 from colflow.sources.catalog import CATALOG_SCHEMA, catalog_columns, register_catalog
 from colflow.sources.harvest import harvest_plans
 from colflow.sources.lineage import analyze_statements
@@ -263,5 +264,45 @@ def test_no_credential_is_read(spark, tmp_path):
     (tmp_path / "r.json").write_text(
         '{"statement_id": 1, "sql": "  select 1\\n", "password": "secret", "username": "u", "schema": " shop "}'
     )
-    (row,) = read_statements(spark, str(tmp_path)).collect()
+    good, failed = read_statements(spark, str(tmp_path))
+    (row,) = good.collect()
+    assert failed.collect() == []
     assert row.asDict() == {"statement_id": 1, "sql": "select 1", "default_schema": "shop"}
+
+
+def test_unreadable_requests_are_failures(spark, tmp_path):
+    lines = ['{"statement_id": 1, "sql": "select 1"}', '{"statement_id": 2, "password": "secret", "sql', "", "no record", "[1, 2]"]
+    (tmp_path / "r.json").write_text("\n".join(lines))
+    good, failed = read_statements(spark, str(tmp_path))
+    assert [r.statement_id for r in good.collect()] == [1]
+    rows = failed.collect()
+    assert len(rows) == 3 and all("secret" not in str(r) for r in rows)
+    assert {r.status for r in fail.classify_failures(failed).collect()} == {400}
+
+
+def test_paths_double(spark, monkeypatch):
+    """A chain of 200 steps with a derived one, a cycle with a way out, a path that
+    stops at an unknown, and a dead end, which gives nothing."""
+    rounds = []
+    monkeypatch.setattr(closures, "cut", lambda df: rounds.append(1) or cut(df))
+    chain = [("p", f"n{i}", f"n{i + 1}", i == 100) for i in range(60)]
+    odd = [("q", "out", "a", False), ("q", "a", "b", True), ("q", "b", "a", False), ("q", "b", "base", False), ("q", "out", None, False), ("q", "out", "dead", False)]
+    edges = spark.createDataFrame(chain + odd, "plan_id string, to_id string, from_id string, is_derived boolean")
+    ends = spark.createDataFrame([("p", "n200"), ("q", "base")], "plan_id string, attr_id string")
+    found = {tuple(r) for r in closures.path_ends(edges, ends, "plan_id").filter("to_id in ('n0', 'n150', 'out')").collect()}
+    assert found == {("p", "n0", "n200", True), ("p", "n150", "n200", False), ("q", "out", "base", True), ("q", "out", None, False)}
+    assert len(rounds) <= 10
+
+
+def test_nested_unions(spark, shop, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(closures, "cut", lambda df: rounds.append(1) or cut(df))
+    # nested by name: the parser does not take so many brackets
+    steps = ["q0 as (select name as x from customers)"]
+    steps += [f"q{i + 1} as (select x from q{i} union all select {'upper(name)' if i == 7 else 'name'} from customers)" for i in range(60)]
+    sql = f"with {', '.join(steps)} select x from q60"
+    texts = spark.createDataFrame([("f", sql, "shop")], "fingerprint string, sql string, default_schema string")
+    plans, _ = harvest_plans(spark, texts)
+    _, origins = lineage_of_plans(plans.withColumnRenamed("fingerprint", "plan_id"))
+    assert {(r.source_column, r.is_derived) for r in origins.collect()} == {("name", False), ("name", True)}
+    assert len(rounds) <= 10

@@ -14,6 +14,7 @@ from colflow.sources import harvest
 from colflow.sources.catalog import CATALOG_SCHEMA, catalog_columns, register_catalog, spark_type
 from colflow.sources.harvest import PlanStore, _failure, harvest_plans
 from colflow.sources.lineage import analyze_statements
+from colflow.sources.statements import read_lineage, write_lineage
 from colflow.streaming.submissions import stream_lineage
 from colflow.workload.corpora import lineage
 
@@ -64,6 +65,64 @@ def test_plans_are_kept_and_shared(spark, store_catalog, monkeypatch):
         harvest_plans(spark, texts, store=PlanStore(spark, path, other))
 
 
+def test_a_changed_view_is_seen(spark, store_catalog):
+    spark.sql("create or replace view depot.vv as select a as x from depot.goods")
+    texts = spark.createDataFrame([(1, "select x from vv", "depot")], STATEMENTS)
+    store = PlanStore(spark, new_path(spark, "plan-store"), store_catalog)
+
+    def origin():
+        return [r.source_column for r in analyze_statements(spark, texts, store=store).origins.collect()]
+
+    try:
+        assert origin() == ["a"] == origin()
+        spark.sql("create or replace view depot.vv as select b as x from depot.goods")
+        assert origin() == ["b"] == origin()
+        assert store.known(False).count() == 1
+    finally:
+        spark.sql("drop view depot.vv")
+
+
+def test_plan_store_reads_its_buckets_and_compacts(spark, store_catalog):
+    path = new_path(spark, "plan-store")
+    store = PlanStore(spark, path, store_catalog)
+    for i in range(4):
+        texts = spark.createDataFrame([(str(j), f"select a, {j} as n from goods", "depot") for j in range(i, i + 3)], TEXTS)
+        harvest_plans(spark, texts, store=store)
+    one = spark.createDataFrame([("3",)], "fingerprint string")
+    files = lambda df: len(df.inputFiles())
+    whole = spark.read.parquet(f"{path}/plans-0")
+    read = store.known(False, one)
+    assert [r.fingerprint for r in read.collect()] == ["3"]
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(setting" in plan and "bucket" in plan.split("PartitionFilters")[1].split("]")[0]
+    # the same text added twice, as by two drivers
+    store.add(store.known(False), False)
+    before = files(whole)
+    store.compact()
+    assert files(spark.read.parquet(f"{path}/plans-1")) < files(spark.read.parquet(f"{path}/plans-0")) and before > 0
+    assert store.known(False).count() == spark.read.parquet(f"{path}/plans-1").count() == 6
+    store.compact()
+    assert store._generations() == [1, 2] and store.known(False, one).count() == 1
+
+
+def test_a_run_written_twice_or_killed_counts_once(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "lineage")
+    edges = spark.range(20).selectExpr("id as statement_id", "concat('s', id % 2) as source_schema")
+    for _ in range(2):
+        write_lineage(edges, path, "r1")
+    write_lineage(edges.limit(5), path, "r2")
+    rows = lambda: {r.run: r.n for r in read_lineage(spark, path, edges.schema).groupBy("run").agg(F.count("*").alias("n")).collect()}
+    assert rows() == {"r1": 20, "r2": 5}
+    broken = edges.withColumn("source_schema", F.expr("if(statement_id = 19, raise_error('killed'), source_schema)")).repartition(4)
+    with pytest.raises(Exception, match="killed"):
+        write_lineage(broken, path, "r1")
+    assert rows() == {"r2": 5}
+    write_lineage(edges, path, "r1")
+    assert rows() == {"r1": 20, "r2": 5}
+    with pytest.raises(ValueError, match="name"):
+        write_lineage(edges, path, "../r3")
+
+
 def test_stream_of_texts(spark, store_catalog, tmp_path):
     store = PlanStore(spark, new_path(spark, "plan-store"), store_catalog)
     incoming, out, failed = (str(tmp_path / n) for n in ("in", "out", "failed"))
