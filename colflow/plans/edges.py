@@ -44,13 +44,16 @@ def _scope(tree: str, lo: str, hi: str) -> Column:
 # what every later step needs of a node; plan text and tokens stay behind
 NODE_COLUMNS = [
     "plan_id", "tree", "node", "stop", "class", "link", "outer_join", "under_view", "schema", "table", "view",
-    "barrier", "nulls_at", "opaque_at", "scopes",
+    "barrier", "region", "nulls_at", "opaque_at", "scopes",
 ]
 
 
 def _places(nodes: DataFrame) -> DataFrame:
     inner = f"transform(lateral, (t, x) -> if(t.plan is not null, {EMBEDDED_TREE}, null))".replace("ord", "-1")
-    return nodes.select(*NODE_COLUMNS, "kids", F.expr(f"get(filter({inner}, t -> t is not null), 0)").alias("inner_tree"))
+    return nodes.select(
+        *NODE_COLUMNS, "branch", "owner", "owner_class", "owner_link",
+        F.expr(f"get(filter({inner}, t -> t is not null), 0)").alias("inner_tree"),
+    )
 
 
 def _definitions(nodes: DataFrame) -> DataFrame:
@@ -103,47 +106,41 @@ def _definitions(nodes: DataFrame) -> DataFrame:
 def _outputs(consumers: DataFrame, definitions: DataFrame) -> DataFrame:
     """Ordered output columns of the subtree ``[lo, hi]`` of each consumer.
 
-    A definition is seen from ``lo`` if no barrier lies between, that is, if the
-    innermost barrier above both is the same: an equi-join, after which the interval
-    leaves little to drop."""
+    A definition is seen from ``lo`` if no barrier lies between, that is, if the same
+    barrier's subtree (``region``) is the innermost around both: an equi-join, after
+    which the interval leaves little to drop."""
     d = definitions.filter("alt = 0").select(
-        "plan_id", "tree", F.col("node").alias("at"), F.col("stop").alias("at_stop"), "barrier", "ord", "attr"
+        "plan_id", "tree", F.col("node").alias("at"), F.col("stop").alias("at_stop"), "region", "ord", "attr"
     )
     order = Window.partitionBy("plan_id", "tree", "lo").orderBy("at_stop", F.desc("at"), "ord")
     return (
-        consumers.join(d, ["plan_id", "tree", "barrier"])
+        consumers.join(d, ["plan_id", "tree", "region"])
         .filter("at between lo and hi")
         .withColumn("k", F.row_number().over(order) - 1)
-        .select(*(c for c in consumers.columns if c != "barrier"), "k", "attr")
+        .select(*(c for c in consumers.columns if c != "region"), "k", "attr")
     )
 
 
 def _roots(nodes: DataFrame) -> DataFrame:
     return nodes.filter("node = 0").selectExpr(
         "plan_id", "tree", "0 as lo", "stop as hi", "'root' as use", "-1 as owner", "0 as branch",
-        "cast(null as bigint) as link", "barrier",
+        "cast(null as bigint) as link", "region",
     )
 
 
 def _consumers(nodes: DataFrame) -> DataFrame:
     """Subtrees whose columns are used by position."""
-    kids = (
-        nodes.filter(F.col("class").isin(*BY_POSITION, "UnionLoop", "CTERelationDef"))
-        .select("plan_id", "tree", "class", "node", "link", "barrier", F.posexplode("kids").alias("branch", "kid"))
-        .selectExpr(
-            "plan_id", "tree", "kid.lo as lo", "kid.hi as hi",
-            "case class when 'CTERelationDef' then 'cte' when 'UnionLoop' then 'loop' else 'branch' end as use",
-            "node as owner", "branch", "link",
-            # the owner is a barrier itself for what it makes anew or takes by position
-            f"if(class = 'UnionLoop' or class in ({_quoted(BY_POSITION)}) and branch > 0, node, barrier) as barrier",
-        )
-    )
+    kids = nodes.filter(F.col("owner_class").isin(*BY_POSITION, "UnionLoop", "CTERelationDef")).selectExpr(
+        "plan_id", "tree", "node as lo", "stop as hi",
+        "case owner_class when 'CTERelationDef' then 'cte' when 'UnionLoop' then 'loop' else 'branch' end as use",
+        "owner", "branch", "owner_link as link", "region",
+    )
     return _roots(nodes).unionByName(kids)
 
 
 def _lateral_definitions(places: DataFrame, definitions: DataFrame) -> DataFrame:
     """Columns a lateral join adds: the outputs of its embedded plan."""
-    joins = places.filter("inner_tree is not null").drop("kids")
+    joins = places.filter("inner_tree is not null").drop("branch", "owner", "owner_class", "owner_link")
     inner = _outputs(_roots(places).filter("tree <> '0'"), definitions).select(
         "plan_id", F.col("tree").alias("inner_tree"), F.col("hi").alias("inner_hi"), F.col("k").alias("ord"), "attr"
     )

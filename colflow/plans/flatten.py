@@ -50,6 +50,10 @@ PASS_COLUMNS = [
 KNOWN = RELATIONS + CONSTANT_LEAVES + REFERENCES + REPLACE_COLUMNS + BY_POSITION + PASS_COLUMNS
 
 
+# short name of a node's class
+CLASS = "regexp_extract(n.class, '([A-Za-z0-9_]+)[$]?$', 1)"
+
+
 def _quoted(names: list[str]) -> str:
     return ", ".join(f"'{n}'" for n in names)
 
@@ -93,7 +97,7 @@ def _items() -> str:
         ord="i", alt="0", attr="a.id", name="cast(null as string)", type="cast(null as string)", tokens=no_tokens
     )
     return f"""
-      case n.class
+      case class
         when 'Project' then {_columns("n.projectList")}
         when 'Aggregate' then {_columns("n.aggregateExpressions")}
         when 'Window' then {_columns("n.windowExpressions")}
@@ -104,108 +108,146 @@ def _items() -> str:
       end"""
 
 
-def _marks() -> str:
-    """Position ranges that change what is seen through a node, by kind:
+# what the shape of a tree takes of a node; read apart from the expressions, so
+# that the sorts below move short rows
+SHAPE = (
+    "STRUCT<class: STRING, `num-children`: INT, joinType: STRING, id: BIGINT, cteId: BIGINT, loopId: BIGINT,"
+    f" `desc`: {NAMED_TABLE}, identifier: STRUCT<name: STRING, qualifier: STRING>>"
+)
+TREE = ["plan_id", "tree"]
 
-    barrier - columns in the range are not visible from ``at`` or above
-    nulls   - columns in the range may be filled with nulls by the outer join at ``at``
-    opaque  - the node at ``at`` is of an unknown class
-    """
 
-    def ranges(kind: str, which: str, where: str = "true") -> str:
-        return (
-            f"transform(filter(n.kids, (k, j) -> {which} and {where}),"
-            f" k -> struct('{kind}' as kind, n.pos as at, k.lo as lo, k.hi as hi))"
-        )
-
-    return f"""
-      flatten(transform(nodes, n -> concat(
-        if(n.class in ({_quoted(REPLACE_COLUMNS)}), {ranges("barrier", "true")}, array()),
-        if(n.class in ({_quoted(BY_POSITION)}), {ranges("barrier", "j > 0")}, array()),
-        if(n.class = 'WithCTE', {ranges("barrier", "j < size(n.kids) - 1")}, array()),
-        if(n.class = 'Join', {ranges("barrier", "j = 1", "n.joinType rlike 'Left(Semi|Anti)'")}, array()),
-        if(n.class = 'Join', {ranges("nulls", "j = 1", "n.joinType rlike 'LeftOuter|FullOuter'")}, array()),
-        if(n.class = 'Join', {ranges("nulls", "j = 0", "n.joinType rlike 'RightOuter|FullOuter'")}, array()),
-        if(n.class not in ({_quoted(KNOWN)}),
-           array(struct('opaque' as kind, n.pos as at, n.pos as lo, n.stop as hi)), array()))))"""
+def _mark(at: str = "null", region: str = "null", name: str = "null") -> str:
+    return (
+        f"named_struct('at', cast({at} as int), 'region', cast({region} as int),"
+        f" 'name', cast({name} as struct<`table`: string, database: string>))"
+    )
 
 
-def _innermost(kind: str) -> str:
-    inside = f"m.kind = '{kind}' and n.pos between m.lo and m.hi"
-    return f"coalesce(array_max(transform(filter(marks, m -> {inside}), m -> m.at)), -1)"
+# Subtrees that change what is seen through the node above or at their top:
+# barrier - columns of the subtree are not visible from ``at`` or above
+# nulls   - columns of the subtree may be filled with nulls by the outer join ``at``
+# opaque  - the node on top is of an unknown class
+# view, alias - the name that a relation without one of its own has from the view,
+#           or the catalog table's alias, just above it
+MARKS = {
+    "barrier": (
+        f"parent.class in ({_quoted(REPLACE_COLUMNS)})"
+        f" or parent.class in ({_quoted(BY_POSITION)}) and branch > 0"
+        " or parent.class = 'WithCTE' and branch < parent.kids - 1"
+        " or parent.class = 'Join' and branch = 1 and parent.joinType rlike 'Left(Semi|Anti)'",
+        _mark(at="parent.node", region="node"),
+    ),
+    "nulls": (
+        "parent.class = 'Join' and (branch = 1 and parent.joinType rlike 'LeftOuter|FullOuter'"
+        " or branch = 0 and parent.joinType rlike 'RightOuter|FullOuter')",
+        _mark(at="parent.node"),
+    ),
+    "opaque": (f"class not in ({_quoted(KNOWN)})", _mark(at="node")),
+    "view": ("parent.class = 'View'", _mark(name="parent.view_name")),
+    "alias": (
+        "parent.class = 'SubqueryAlias' and parent.view_name.`table` is not null",
+        _mark(name="parent.view_name"),
+    ),
+}
+
+
+def _so_far(order: str, *keys: str) -> str:
+    return f"over (partition by {', '.join([*TREE, *keys])} order by {order} rows unbounded preceding)"
+
+
+def _shape_sql() -> str:
+    """Where each node of ``trees(plan_id, tree, json)`` lies, and what covers it.
+
+    Sorted passes over node rows, all keyed by the tree: the cost grows with the nodes,
+    and a long plan spills instead of being held as one value. A pass in which nodes
+    ask and others answer has each node as two rows.
+
+    * ``open`` is the number of children still to come after a node, less one for each
+      tree that is complete. A subtree ends at the first position that takes it below
+      its value before the subtree.
+    * Subtrees are nested or apart, so over their sorted ends the number of those open
+      is the depth of a stack. The last one opened at a depth is the top there: the
+      parent, among all nodes; the innermost mark of a kind, among its marks.
+    """
+    kinds = ", ".join(f"'{kind}'" for kind in MARKS)
+    marks = ", ".join(f"if({applies}, {mark}, null)" for applies, mark in MARKS.values())
+    tops = ", ".join(f"max(if(kind = '{kind}', top, null)) as {kind}" for kind in MARKS)
+    passed = "node, kids, class, joinType, link, view_name"
+    return f"""
+      with nodes as (
+        select plan_id, tree, node, {CLASS} as class, n.`num-children` as kids, n.joinType as joinType,
+          coalesce(n.cteId, n.loopId, n.id) as link,
+          -- the name a view or a catalog table's alias gives to what lies below
+          case when {CLASS} = 'View'
+               then named_struct('table', n.desc.identifier.table, 'database', n.desc.identifier.database)
+               when {CLASS} = 'SubqueryAlias' and n.identifier.qualifier like '[%,%]'
+               then named_struct('table', n.identifier.name,
+                                 'database', regexp_extract(n.identifier.qualifier, '([^, ]+)]$', 1)) end as view_name
+        from (select plan_id, tree, posexplode(from_json(json, 'ARRAY<{SHAPE}>')) as (node, n) from {{trees}})),
+      opened as (
+        select *, explode(array(false, true)) as asks
+        from (select *, sum(kids - 1) {_so_far("node")} as open from nodes)),
+      stopped as (
+        select plan_id, tree, {passed}, open, asks,
+          last(if(asks, null, node), true) {_so_far("node desc, asks", "open - if(asks, kids, 0)")} as stop
+        from opened),
+      ends as (
+        select *, explode(array(false, true)) as closing from stopped where asks),
+      deep as (
+        select *, sum(if(closing, -1, 1)) {_so_far("if(closing, stop + 1, node), closing desc")} as depth from ends),
+      asking as (
+        select *, explode(array(false, true)) as above from deep where not closing),
+      below as (
+        select plan_id, tree, {passed}, open, stop, above,
+          last(if(above, struct({passed}, open), null), true) {_so_far("node", "depth + if(above, 1, 0)")} as parent
+        from asking),
+      placed as (
+        select *, cast(parent.open - (open - kids + 1) as int) as branch from below where not above),
+      marked as (
+        select *, inline(arrays_zip(array({kinds}), array({marks}))) as (kind, mark) from placed),
+      mark_ends as (
+        select *, explode(if(mark is null, array(false), array(false, true))) as closing from marked),
+      mark_depths as (
+        select *, sum(if(mark is null, 0, if(closing, -1, 1)))
+            {_so_far("if(closing, stop + 1, node), closing desc", "kind")} as mark_depth
+        from mark_ends),
+      tops as (
+        select *, if(mark_depth > 0, last(mark, true) {_so_far("node", "kind", "mark_depth")}, null) as top
+        from mark_depths where not closing),
+      covered as (
+        select plan_id, tree, node, first(stop) as stop, first(class) as class, first(branch) as branch,
+          first(parent) as parent, first(link) as link, first(joinType) as joinType, {tops}
+        from tops group by plan_id, tree, node)
+      select plan_id, tree, node, stop, class, branch, parent.node as owner, parent.class as owner_class,
+        parent.link as owner_link, link, joinType rlike 'Outer' as outer_join,
+        coalesce(branch = 0 and parent.class = 'View', false) as under_view,
+        view.name as view_name, alias.name as alias_name,
+        coalesce(barrier.at, -1) as barrier, coalesce(barrier.region, -1) as region,
+        coalesce(nulls.at, -1) as nulls_at, coalesce(opaque.at, -1) as opaque_at
+      from covered"""
+
+
+def _shape(trees: DataFrame) -> DataFrame:
+    # one text: it is analyzed once, not once for each step
+    return trees.sparkSession.sql(_shape_sql(), trees=trees)
 
 
 def _parse(trees: DataFrame) -> DataFrame:
     """One row per node of ``trees(plan_id, tree, scopes, json)``."""
-    kids = """
-      if(raw[i].`num-children` = 0, array(), aggregate(sequence(1, greatest(raw[i].`num-children`, 1)),
-        cast(array() as array<struct<lo: int, hi: int>>),
-        (done, j) -> concat(done, array(named_struct(
-          'lo', if(j = 1, i + 1, done[j - 2].hi + 1),
-          'hi', stops[if(j = 1, i + 1, done[j - 2].hi + 1)])))))"""
     table = "coalesce(n.catalogTable, n.tableMeta).identifier"
-    # a relation without a name of its own has that of the view, or of the
-    # catalog table's alias, just above it
-    view = "try_element_at(filter(views, v -> n.pos > v.pos and n.pos <= v.stop), -1).identifier"
-    alias = "try_element_at(filter(aliases, a -> n.pos > a.pos and n.pos <= a.stop), -1)"
-    return (
-        trees.select("plan_id", "tree", "scopes", F.from_json("json", f"ARRAY<{NODE}>").alias("raw"))
-        .withColumn("stops", F.expr(subtree_stops("transform(raw, n -> n.`num-children`)")))
-        .withColumn(
-            "nodes",
-            F.expr(
-                "transform(raw, (n, i) -> struct(i as pos, stops[i] as stop,"
-                " regexp_extract(n.class, '([A-Za-z0-9_]+)[$]?$', 1) as class,"
-                f" {kids} as kids, n.joinType as joinType, n.projectList as projectList,"
-                " n.aggregateExpressions as aggregateExpressions, n.windowExpressions as windowExpressions,"
-                " n.generator as generator, n.generatorOutput as generatorOutput,"
-                " n.projections as projections, n.output as output, n.outputAttrIds as outputAttrIds,"
-                " coalesce(n.cteId, n.loopId, n.id) as link, n.`right` as lateral,"
-                " n.catalogTable as catalogTable, n.tableMeta as tableMeta, n.desc as `desc`, n.identifier as alias,"
-                " i > 0 and raw[i - 1].class like '%.View' as under_view))"
-            ),
-        )
-        .withColumn("marks", F.expr(_marks()))
-        .withColumn(
-            "views",
-            F.expr(
-                "transform(filter(nodes, n -> n.class = 'View'),"
-                " n -> struct(n.pos as pos, n.stop as stop, n.desc.identifier as identifier))"
-            ),
-        )
-        .withColumn(
-            "aliases",
-            F.expr(
-                "transform(filter(nodes, n -> n.class = 'SubqueryAlias' and n.alias.qualifier like '[%,%]'),"
-                " n -> struct(n.pos as pos, n.stop as stop, n.alias.name as table,"
-                " regexp_extract(n.alias.qualifier, '([^, ]+)]$', 1) as database))"
-            ),
-        )
-        .withColumn("n", F.explode("nodes"))
-        .select(
-            "plan_id",
-            "tree",
-            F.expr("n.pos").alias("node"),
-            F.expr("n.stop").alias("stop"),
-            F.expr("n.class").alias("class"),
-            F.expr("n.kids").alias("kids"),
-            F.expr("n.link").alias("link"),
-            F.expr("n.joinType rlike 'Outer'").alias("outer_join"),
-            F.expr("n.under_view").alias("under_view"),
-            F.expr(f"coalesce({table}.database, {view}.database, {alias}.database)").alias("schema"),
-            F.expr(f"coalesce({table}.table, {view}.table, {alias}.table)").alias("table"),
-            F.expr(f"if(n.under_view, {view}, null)").alias("view"),
-            F.expr(_innermost("barrier")).alias("barrier"),
-            F.expr(_innermost("nulls")).alias("nulls_at"),
-            F.expr(_innermost("opaque")).alias("opaque_at"),
-            F.expr(_items()).alias("items"),
-            F.when(F.expr("n.class = 'LateralJoin'"), F.from_json("n.lateral", EXPRESSION)).alias("lateral"),
-            # what an embedded plan may read besides its own columns
-            F.expr(
-                "concat(array(named_struct('tree', tree, 'lo', n.pos + 1, 'hi', n.stop)), scopes)"
-            ).alias("scopes"),
-        )
-    )
+    nodes = trees.select(*TREE, "scopes", F.posexplode(F.from_json("json", f"ARRAY<{NODE}>")).alias("node", "n"))
+    return nodes.join(_shape(trees), [*TREE, "node"]).select(
+        *TREE, "node", "stop", "class", "branch", "owner", "owner_class", "owner_link", "link", "outer_join", "under_view",
+        F.expr(f"coalesce({table}.database, view_name.database, alias_name.database)").alias("schema"),
+        F.expr(f"coalesce({table}.table, view_name.table, alias_name.table)").alias("table"),
+        F.expr("if(under_view, view_name, null)").alias("view"),
+        "barrier", "region", "nulls_at", "opaque_at",
+        F.expr(_items()).alias("items"),
+        F.when(F.col("class") == "LateralJoin", F.from_json("n.right", EXPRESSION)).alias("lateral"),
+        # what an embedded plan may read besides its own columns
+        F.expr("concat(array(named_struct('tree', tree, 'lo', node + 1, 'hi', stop)), scopes)").alias("scopes"),
+    )
 
 
 SCOPES = "ARRAY<STRUCT<tree: STRING, lo: INT, hi: INT>>"
