@@ -124,8 +124,8 @@ def partitioned_by_plan(spark: SparkSession, partitions: int):
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         # a checkpoint hands its constraints on, and they would multiply by rounds
         "spark.sql.constraintPropagation.enabled": "false",
-        # for a few plans it takes longer to compile the stages than to run them
-        "spark.sql.codegen.wholeStage": str(partitions > 1).lower(),
+        # for a few thousand plans a core it takes longer to compile the stages than to run them
+        "spark.sql.codegen.wholeStage": str(partitions > spark.sparkContext.defaultParallelism).lower(),
     }
     before = {key: spark.conf.get(key, None) for key in settings}
     for key, value in settings.items():
