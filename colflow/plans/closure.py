@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-from functools import partial, reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colflow.session import cut, materialize
-
-# rounds kept apart before they are written together, to keep plans short
-COMPACT_EVERY = 16
+from colflow.session import BucketedRounds, cut
 
 
 def path_ends(edges: DataFrame, ends: DataFrame, key: str) -> DataFrame:
@@ -50,40 +45,38 @@ def path_ends(edges: DataFrame, ends: DataFrame, key: str) -> DataFrame:
         paths = cut(paths.filter(~F.col("open")).unionByName(longer).distinct())
 
 
-def closure(starts: DataFrame, edges: DataFrame, within: list[str] | None = None) -> DataFrame:
+def closure(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """Everything reachable from ``starts(*keys, at, is_derived)``, starts included.
 
-    ``edges(*within, to_id, from_id, is_derived)``; a path is derived if any
-    edge on it is. Each round joins only the rows the round before found and
-    keeps what is new, so a cycle ends. Rows whose ``at`` is null (a step that
-    could not be traced) lead nowhere and may repeat.
+    ``edges(to_id, from_id, is_derived)``; a path is derived if any edge on it is. Each
+    round joins only the rows the round before found and keeps what is new, so a cycle
+    ends. Rows whose ``at`` is null (a step that could not be traced) lead nowhere
+    and may repeat.
 
-    Every round is stored in the shared folder: the plan does not grow, and a
-    lost executor costs a re-read. ``within`` names the keys that confine an
-    edge; inside plans (``partitioned_by_plan``) rounds are checkpoints that
-    keep their partitioning and need no shuffle. Otherwise they are written
-    tables, whose known sizes let adaptive execution split a hot vertex.
+    What has been seen is one table (``BucketedRounds``), bucketed by the whole row: a
+    round shuffles what it found, never the table, and no vertex or root is hot in it.
+    The edges are joined by a shuffle of the last round, which adaptive execution
+    splits at a hot vertex.
     """
     columns = starts.columns
-    store = cut if within else partial(materialize, name="closure")
-    within = within or []
     step = edges.select(
-        *within, F.col("to_id").alias("at"), F.col("from_id").alias("next"), F.col("is_derived").alias("step_derived")
+        F.col("to_id").alias("at"), F.col("from_id").alias("next"), F.col("is_derived").alias("step_derived")
     )
-    frontier = store(starts.distinct())
-    rounds = [frontier]
-    while not frontier.isEmpty():
-        # rows reached twice in a round collapse before the anti join
+    seen = BucketedRounds(starts.distinct(), "closure")
+    while seen.last_rows:
         found = (
-            frontier.join(step, [*within, "at"])
+            seen.last()
+            .join(step, "at")
             .withColumn("is_derived", F.col("is_derived") | F.col("step_derived"))
             .withColumn("at", F.col("next"))
             .select(columns)
-            .distinct()
         )
-        seen = reduce(DataFrame.unionAll, rounds)
-        frontier = store(found.join(seen, columns, "left_anti"))
-        rounds.append(frontier)
-        if len(rounds) > COMPACT_EVERY:
-            rounds = [store(reduce(DataFrame.unionAll, rounds))]
-    return reduce(DataFrame.unionAll, rounds)
+        seen.add(new_rows(found, seen.all()))
+    return seen.all()
+
+
+def new_rows(found: DataFrame, seen: DataFrame) -> DataFrame:
+    """Distinct rows of ``found`` that are not in ``seen``, a table bucketed by all its
+    columns: one exchange, of ``found``, serves both. A row with a null is always new."""
+    # a broadcast of ``seen`` would grow with the result
+    return found.distinct().join(seen.hint("merge"), seen.columns, "left_anti")

@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _local_dirs: dict[str, str] = {}
 _written: list[str] = []
@@ -163,3 +164,34 @@ def bucketed(df: DataFrame, name: str, keys: list[str], sort: bool = True, dealt
     (writer.sortBy(*keys) if sort else writer).saveAsTable(table)
     _tables.append(table)
     return spark.table(table)
+
+
+class BucketedRounds:
+    """A table that grows by rounds: bucketed by all its columns, one partition for
+    each round. Joins and anti-joins by whole rows read it without an exchange."""
+
+    def __init__(self, first: DataFrame, name: str):
+        self.spark, self.columns, self.round = first.sparkSession, first.columns, -1
+        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.path = new_path(self.spark, name)
+        self.table = f"default.{self.path.rsplit('/', 1)[-1].replace('-', '_')}"
+        _tables.append(self.table)
+        self.add(first)
+
+    def add(self, rows: DataFrame) -> None:
+        """Appends ``rows`` as the next round; their number is ``last_rows``."""
+        self.round += 1
+        counted = Observation()
+        dealt = rows.repartition(self.buckets, *self.columns).observe(counted, F.count(F.lit(1)).alias("n"))
+        (
+            dealt.withColumn("_round", F.lit(self.round))
+            .write.format("parquet").mode("append").option("path", self.path)
+            .partitionBy("_round").bucketBy(self.buckets, *self.columns).saveAsTable(self.table)
+        )
+        self.last_rows = counted.get["n"]
+
+    def last(self) -> DataFrame:
+        return self.spark.table(self.table).filter(F.col("_round") == self.round).drop("_round")
+
+    def all(self) -> DataFrame:
+        return self.spark.table(self.table).drop("_round")

@@ -6,6 +6,8 @@ import re
 from pyspark.sql import functions as F
 
 from colflow.functions.text import normalize_statement
+from colflow.plans.closure import closure, new_rows
+from colflow.session import BucketedRounds
 from colflow.sources.statements import fan_out, statement_fingerprint
 from colflow.workload import star
 
@@ -69,3 +71,39 @@ def test_texts_are_counted_by_hash_with_map_side_combine(spark):
     assert "SortAggregate" not in plan and plan.count("HashAggregate") == 2
     # no schema and an empty one are the same
     assert texts.count() == 1 and marked.select("text_key").distinct().count() == 1
+
+
+def test_a_closure_does_not_shuffle_what_it_has_seen(spark):
+    rows = spark.range(100).selectExpr("id as root", "id as at", "id % 2 = 0 as is_derived")
+    seen = BucketedRounds(rows, "seen")
+    seen.add(rows.selectExpr("root", "at + 1 as at", "is_derived"))
+    assert seen.last_rows == 100 and seen.all().count() == 200 and seen.last().filter("at = 0").isEmpty()
+    new = new_rows(rows.unionAll(rows), seen.all())
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan and "Broadcast" not in plan
+    assert new.isEmpty()
+    again = new_rows(rows.selectExpr("root", "at + 2 as at", "is_derived").union(rows), seen.all())
+    assert again.count() == 100
+
+
+def test_a_closure_over_a_hot_vertex_and_a_cycle_is_whole(spark):
+    # every root leads to vertex 0, which leads on to a ring of three
+    n = 400
+    spokes = spark.range(1, n).selectExpr("id + 100 as to_id", "0L as from_id", "id % 3 = 0 as is_derived")
+    ring = spark.createDataFrame([(0, 1, False), (1, 2, True), (2, 3, False), (3, 1, False)], spokes.schema)
+    starts = spark.range(1, n).selectExpr("id as root", "id + 100 as at", "false as is_derived")
+    got = {tuple(r) for r in closure(starts, spokes.unionAll(ring)).collect()}
+    want = set()
+    for root in range(1, n):
+        todo = [(root + 100, False)]
+        while todo:
+            at, derived = todo.pop()
+            if (root, at, derived) in want:
+                continue
+            want.add((root, at, derived))
+            if at > 100:
+                todo.append((0, derived or root % 3 == 0))
+            for to_id, from_id, step in [(0, 1, False), (1, 2, True), (2, 3, False), (3, 1, False)]:
+                if to_id == at:
+                    todo.append((from_id, derived or step))
+    assert got == want
