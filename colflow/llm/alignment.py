@@ -128,7 +128,8 @@ def token_frame(ids: np.ndarray, count: np.ndarray, length: np.ndarray) -> pd.Da
     """``doc``, ``id``, ``start`` and ``end`` of the tokens of a batch; the texts lie
     one behind the other, so starts ascend over the whole batch."""
     end = np.cumsum(length[ids])
-    return pd.DataFrame({"doc": np.repeat(np.arange(len(count)), count), "id": ids, "start": end - length[ids], "end": end})
+    columns = {"doc": np.repeat(np.arange(len(count)), count), "id": ids, "start": end - length[ids], "end": end}
+    return pd.DataFrame(columns, copy=False)
 
 
 def token_frames(tokens: Pair, texts: list[str | None]) -> tuple[pd.DataFrame, pd.DataFrame]:
@@ -138,24 +139,24 @@ def token_frames(tokens: Pair, texts: list[str | None]) -> tuple[pd.DataFrame, p
 
 def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     """``i`` and ``j``, rows of ``a`` and ``b`` that share a byte, with their ends."""
-    sides = [f.assign(n=np.arange(len(f)))[["doc", "start", "end", "n"]] for f in (a, b)]
-    found = []
-    for own, other in (sides, sides[::-1]):
-        covering = other.assign(other_start=other["start"]).rename(columns={"end": "other_end", "n": "other"})
-        found.append(pd.merge_asof(own, covering, on="start", by="doc"))
-    left, right = found
+    covering = []
+    for own, other in ((a, b), (b, a)):
+        places = pd.DataFrame({"doc": other["doc"], "start": other["start"], "n": np.arange(len(other))}, copy=False)
+        # a text has tokens on both sides or on none, so each start is covered
+        covering.append(pd.merge_asof(own[["doc", "start"]], places, on="start", by="doc")["n"].to_numpy(np.int64))
+    j_of_a, i_of_b = covering
     # a pair with equal starts is found from both sides
-    right = right[right["start"] != right["other_start"]]
-    names = ["i", "j", "end_i", "end_j", "doc"]
-    left = left[["n", "other", "end", "other_end", "doc"]].set_axis(names, axis=1)
-    right = right[["other", "n", "other_end", "end", "doc"]].set_axis(names, axis=1)
-    return pd.concat([left, right], ignore_index=True)
+    only = np.flatnonzero(b["start"].to_numpy() != a["start"].to_numpy()[i_of_b])
+    i = np.concatenate((np.arange(len(a)), i_of_b[only]))
+    j = np.concatenate((j_of_a, only))
+    ends = {"end_i": a["end"].to_numpy()[i], "end_j": b["end"].to_numpy()[j]}
+    return pd.DataFrame({"i": i, "j": j, **ends, "doc": a["doc"].to_numpy()[i]}, copy=False)
 
 
 def group_ends(found: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The last tokens of each group on both sides, in order: overlaps of equal ends."""
-    last = found.loc[found["end_i"] == found["end_j"], ["i", "j"]]
-    return np.sort(last["i"].to_numpy()), np.sort(last["j"].to_numpy())
+    last = np.flatnonzero(found["end_i"].to_numpy() == found["end_j"].to_numpy())
+    return np.sort(found["i"].to_numpy()[last]), np.sort(found["j"].to_numpy()[last])
 
 
 class Links:
