@@ -176,6 +176,8 @@ class BucketedRounds:
         self.path = new_path(self.spark, name)
         self.table = f"default.{self.path.rsplit('/', 1)[-1].replace('-', '_')}"
         _tables.append(self.table)
+        # the partition's name must not be one of the caller's
+        self.mark = "_".join(["round", *self.columns])
         self.add(first)
 
     def add(self, rows: DataFrame) -> None:
@@ -184,14 +186,14 @@ class BucketedRounds:
         counted = Observation()
         dealt = rows.repartition(self.buckets, *self.columns).observe(counted, F.count(F.lit(1)).alias("n"))
         (
-            dealt.withColumn("_round", F.lit(self.round))
+            dealt.withColumn(self.mark, F.lit(self.round))
             .write.format("parquet").mode("append").option("path", self.path)
-            .partitionBy("_round").bucketBy(self.buckets, *self.columns).saveAsTable(self.table)
+            .partitionBy(self.mark).bucketBy(self.buckets, *self.columns).saveAsTable(self.table)
         )
         self.last_rows = counted.get["n"]
 
     def last(self) -> DataFrame:
-        return self.spark.table(self.table).filter(F.col("_round") == self.round).drop("_round")
+        return self.spark.table(self.table).filter(F.col(self.mark) == self.round).drop(self.mark)
 
     def all(self) -> DataFrame:
-        return self.spark.table(self.table).drop("_round")
+        return self.spark.table(self.table).drop(self.mark)

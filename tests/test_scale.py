@@ -107,3 +107,13 @@ def test_a_closure_over_a_hot_vertex_and_a_cycle_is_whole(spark):
                 if to_id == at:
                     todo.append((from_id, derived or step))
     assert got == want
+
+
+def test_a_closure_of_nothing_and_over_nothing(spark):
+    starts = spark.createDataFrame([("a", 1, False), ("a", 1, False), ("b", None, False)], "_round string, at long, is_derived boolean")
+    edges = spark.createDataFrame([(1, None, True), (1, 2, False), (1, 2, False)], "to_id long, from_id long, is_derived boolean")
+    same = {("a", 1, False), ("b", None, False)}
+    for step in (edges.limit(0), edges.filter("to_id > 5")):
+        assert {tuple(r) for r in closure(starts, step).collect()} == same
+    assert closure(starts.filter("at > 5"), edges).isEmpty() and closure(starts.limit(0), edges).isEmpty()
+    assert {tuple(r) for r in closure(starts, edges).collect()} == same | {("a", None, True), ("a", 2, False)}
