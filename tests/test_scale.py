@@ -5,11 +5,13 @@ import re
 
 from pyspark.sql import functions as F
 
+from colflow import session
 from colflow.functions.text import normalize_statement
 from colflow.plans.closure import closure, new_rows
 from colflow.session import BucketedRounds
 from colflow.sources.statements import fan_out, statement_fingerprint
-from colflow.workload import star
+from colflow.workload import corpora, star
+from colflow.workload.registry import QUERIES
 
 
 def test_fan_out_of_a_hot_text_is_whole(spark):
@@ -117,3 +119,24 @@ def test_a_closure_of_nothing_and_over_nothing(spark):
         assert {tuple(r) for r in closure(starts, step).collect()} == same
     assert closure(starts.filter("at > 5"), edges).isEmpty() and closure(starts.limit(0), edges).isEmpty()
     assert {tuple(r) for r in closure(starts, edges).collect()} == same | {("a", None, True), ("a", 2, False)}
+
+
+def _lines(spark, folder, n):
+    spark.range(n).selectExpr(
+        "id div 4 as l_orderkey", "id % 50 as l_partkey", "cast(id % 4 as int) + 1 as l_linenumber",
+        "if(id % 5 = 0, 'R', 'N') as l_returnflag",
+    ).write.parquet(f"{folder}/lineitem.parquet")
+    spark.range(50).selectExpr(
+        "id as p_partkey", "concat('Brand#', id % 7) as p_brand", "cast(id % 9 as int) as p_size", "concat('T', id % 3) as p_type"
+    ).write.parquet(f"{folder}/part.parquet")
+
+
+def test_a_task_holds_a_bounded_number_of_lineage_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 100, raising=False)
+    _lines(spark, tmp_path, 4000)
+    origins = corpora.from_sql(spark, str(tmp_path), corpora.O_SQL)
+    for key, most in [("mappings", 250), ("source_columns", 250), ("visible_edges", 250)]:
+        rows = QUERIES[key](spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("part")).count()
+        assert rows.agg(F.max("count")).first()[0] <= most, key
+    assert QUERIES["row_ids"](spark, str(tmp_path)).select(origins.columns).exceptAll(origins).isEmpty()
+    assert QUERIES["row_ids"](spark, str(tmp_path)).count() == origins.count() > 2000
