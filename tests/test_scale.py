@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from colflow import session
 from colflow.functions.text import normalize_statement
+from colflow.operators import reports
 from colflow.plans.closure import closure, new_rows
 from colflow.session import BucketedRounds
 from colflow.sources.statements import fan_out, statement_fingerprint
@@ -140,3 +141,28 @@ def test_a_task_holds_a_bounded_number_of_lineage_rows(spark, tmp_path, monkeypa
         assert rows.agg(F.max("count")).first()[0] <= most, key
     assert QUERIES["row_ids"](spark, str(tmp_path)).select(origins.columns).exceptAll(origins).isEmpty()
     assert QUERIES["row_ids"](spark, str(tmp_path)).count() == origins.count() > 2000
+
+
+def test_the_quarantine_broadcasts_no_failures(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 100, raising=False)
+    kinds = "array('error', 'view', 'signup', 'click', 'buy')"
+    spark.range(1500).selectExpr("id as event_id", f"{kinds}[id % 5] as event_type").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(500).selectExpr("id as o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    split = QUERIES["quarantine_split"](spark, str(tmp_path))
+    assert "Broadcast" not in split._jdf.queryExecution().executedPlan().toString()
+    parts = split.groupBy("part", F.spark_partition_id().alias("at")).count()
+    assert parts.agg(F.max("count")).first()[0] <= 250
+    assert {tuple(r) for r in split.groupBy("part").count().collect()} == {("failed", 1500), ("good", 500)}
+
+
+def test_direct_outputs_are_verified_by_one_aggregation(spark):
+    table = spark.createDataFrame([(1, "x"), (1, "x"), (2, None)], "a long, b string")
+    result = spark.createDataFrame([(1, "x"), (3, "z"), (3, "z"), (None, None), (4, "x")], "p long, q string")
+    targets = spark.createDataFrame([(1, "p", "mapped"), (2, "q", "mapped")], "target_ordinal int, target_column string, status string")
+    origins = spark.createDataFrame(
+        [(1, "p", "s", "t", "a", False), (2, "q", "s", "t", "b", False)],
+        "target_ordinal int, target_column string, source_schema string, source_table string, source_column string, is_derived boolean",
+    )
+    got = reports.verify_direct(result, targets, origins, {"t": table})
+    assert {tuple(r) for r in got.collect()} == {("p", 2), ("q", 1)}
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
