@@ -134,8 +134,8 @@ def verify_direct(result: DataFrame, targets: DataFrame, origins: DataFrame, tab
     source columns (none should be).
 
     ``tables`` are named with their schema, or without where that is clear. All
-    columns are checked in one pass: values become (column, text) rows, distinct
-    before they are shuffled, and meet their sources' values once. Without an
+    columns are checked in one pass: values become (column, text) rows, and one
+    aggregation, which combines before its shuffle, says of each where it was seen. Without an
     output to check the result is empty.
     """
     eligible = (
@@ -151,9 +151,9 @@ def verify_direct(result: DataFrame, targets: DataFrame, origins: DataFrame, tab
     )
 
     def rows(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-        """Distinct (target_column, value as text) of the named columns."""
+        """(target_column, value as text) of the named columns."""
         cells = [F.struct(F.lit(t).alias("target_column"), F.col(c).cast("string").alias("v")) for t, c in pairs]
-        return df.select(F.inline(F.array(*cells))).filter("v is not null").distinct()
+        return df.select(F.inline(F.array(*cells))).filter("v is not null")
 
     if not eligible:
         return result.sparkSession.createDataFrame([], "target_column string, missing_values long")
@@ -163,10 +163,14 @@ def verify_direct(result: DataFrame, targets: DataFrame, origins: DataFrame, tab
             full = f"{source.source_schema}.{source.source_table}"
             name = full if full in tables else source.source_table
             by_table.setdefault(name, []).append((row.target_column, source.source_column))
-    known = reduce(DataFrame.unionByName, [rows(tables[t], pairs) for t, pairs in by_table.items()]).distinct()
+    known = reduce(DataFrame.unionByName, [rows(tables[t], pairs) for t, pairs in by_table.items()])
+    shown = rows(result, [(r.target_column, r.target_column) for r in eligible])
     return (
-        rows(result, [(r.target_column, r.target_column) for r in eligible])
-        .join(known.withColumn("known", F.lit(True)), ["target_column", "v"], "left")
+        shown.withColumn("known", F.lit(False))
+        .unionByName(known.withColumn("known", F.lit(True)))
+        .groupBy("target_column", "v")
+        .agg(F.bool_or("known").alias("known"), F.bool_or(~F.col("known")).alias("shown"))
+        .filter("shown")
         .groupBy("target_column")
-        .agg(F.count_if(F.col("known").isNull()).alias("missing_values"))
+        .agg(F.count_if(~F.col("known")).alias("missing_values"))
     )
