@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from colflow.session import materialize
@@ -23,21 +23,22 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large and small stars (Kiveris et al., 2014): rounds grow with the
     logarithm of the number of nodes. A node's neighbours are never collected; each
-    round is an aggregation and a join, stored before the next.
+    round is an aggregation and a join, stored before the next. The rounds end once
+    the smaller end of every edge is the smallest that either end is next to.
     """
-    now = materialize(edges.filter("u <> v").select("u", "v").distinct(), "edges")
-    before = None
+    oriented = edges.filter("u <> v").selectExpr("greatest(u, v) as u", "least(u, v) as v")
+    now = materialize(oriented.distinct(), "edges")
     while True:
         both = _both(now)
-        large = both.join(materialize(_low(both), "low"), "u").filter("v > u").selectExpr("v as u", "m as v")
+        state = Observation()
+        beside = both.join(materialize(_low(both), "low"), "u").observe(state, F.count_if(F.expr("m <> least(u, v)")).alias("n"))
+        large = beside.filter("v > u").selectExpr("v as u", "m as v")
         large = materialize(large.filter("u <> v").distinct(), "edges")
+        if not state.get["n"]:
+            break
         down = large.selectExpr("greatest(u, v) as u", "least(u, v) as v")
         low = materialize(_low(down), "low")
         small = down.join(low, "u").selectExpr("v as u", "m as v").unionByName(low.selectExpr("u", "m as v"))
         now = materialize(small.filter("u <> v").distinct(), "edges")
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before:
-            break
-        before = mark
     # every edge now leads from a node to the smallest of its component
     return now.selectExpr("u as node", "v as low").unionByName(now.selectExpr("v as node", "v as low").distinct())

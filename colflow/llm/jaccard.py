@@ -14,21 +14,26 @@ segments are depends on the larger set of a pair; sizes fall into blocks, and a
 goes only to the lists of the blocks where a partner may be: lists of other
 positions and blocks are skipped as a whole.
 
-Answers from similar sets. A list is not expanded into pairs. Its members are
-compared with one of them, the hub ``h``, that shares most lists with others, and
-their answers are derived from what they differ in. Let x lack r of the hub's
-shingles and have a others, X be all these, and t the threshold. Two members have
-``|h| - |X & h| - |Y & h| + |X & Y|`` shingles in common. It follows that, if they
-link and not both link with the hub (then its component is their answer), X and Y
-share at least ``max(1, r + t a - (1 - t) |h|)`` shingles, for either of them. So an
-index over the differences, by prefix, finds all these links: X in an order with
-the shingles foreign to the hub first, without its last ones that cannot be the
-first shared. Only members that the comparison with the hub leaves open enter it:
-those of lists that are not of one component by then. Entries of such a list are
-skipped by blocks of one component and one size of differences, and by position:
-what may still be shared after it, and what the bitmaps of X and Y allow, must reach
-what the pair needs. Copies with changes of their own share too little for that, so a group of n
-of them takes about n comparisons.
+A list of up to ``FEW`` members is answered by its pairs, of which sketches leave
+those that may link: the counts of shingles by bucket differ in total by no more than
+the sets do.
+
+Answers from similar sets. A longer list is not expanded into pairs. Its members are
+compared with one of them, the hub, that shares most lists with others. Lists that
+are not of one component then are answered from what their members differ in from a
+centre c, the shingles that more than half of a hub's members have. Let x lack r of
+the centre's shingles and have a others, X be all these, t the threshold and
+``d(x) = r + t a - (1 - t) |c|``. Two members link if and only if
+``(1 + t) |X & Y| >= d(x) + d(y) + (1 - t) |c|``. So if they link and share nothing, both
+link with the member b of the smallest d, which its numbers alone show. Else X and Y
+share at least ``max(1, d(x), (d(x) + d(b) + (1 - t) |c|) / (1 + t))`` shingles, for
+either of them, and an index over the differences, by prefix, finds all these links:
+X in an order with the shingles foreign to the centre first, without its last ones
+that cannot be the first shared. Entries of such a list are skipped by blocks of one
+component and one size of differences, and by position: what may still be shared
+after it, and what the bitmaps of X and Y allow, must reach what the pair needs. Copies
+with changes of their own share too little for that, so a group of n of them takes
+about n comparisons.
 
 Segments are matched by short hashes, which may only add candidates; every link is
 verified on the whole sets of 64-bit shingle hashes.
@@ -52,6 +57,10 @@ from colflow.session import materialize
 PART_DOCS = 4000
 #: texts that a task cuts into segments at a time, in bytes
 GATHER = 24 << 20
+#: members up to which a list is answered by its pairs
+FEW = 16
+#: buckets of a set's sketch, a byte each
+BUCKETS = 256
 
 
 class Sizes:
@@ -114,6 +123,17 @@ def _nodes(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64)).view(np.int64)
 
 
+def _sketches(values: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """How many shingles of each document fall into each bucket, 255 at most."""
+    out, bucket = [], (values & U(BUCKETS - 1)).astype(np.int64)
+    for a in range(0, len(at) - 1, 1024):
+        some = at[a : a + 1025]
+        doc = np.repeat(np.arange(len(some) - 1), np.diff(some))
+        counts = np.bincount(doc * BUCKETS + bucket[some[0] : some[-1]], minlength=(len(some) - 1) * BUCKETS)
+        out += [row.tobytes() for row in np.minimum(counts, 255).astype(np.uint8).reshape(-1, BUCKETS)]
+    return out
+
+
 def _signatures(values: np.ndarray, size: int, sizes: Sizes) -> Iterator[np.ndarray]:
     """Hashes of the non-empty segments that a set is indexed by."""
     for block, k in sizes.partners(size):
@@ -149,6 +169,7 @@ def _class_rows(n: int):
                         "text_key": part.column("text_key"),
                         "n_shingles": size,
                         "node": pa.array(_nodes(values, at), mask=size == 0),
+                        "sketch": _sketches(values, at),
                     }
                 )
 
@@ -196,9 +217,10 @@ def _index_rows(n: int, percent: int, parts: int):
     return run
 
 
-def _lists(table: pa.Table) -> pa.Table:
-    """The lists of one part with two sets or more; lists with the same members are
-    one, named by a hash of the members."""
+def _lists(table: pa.Table, most: int) -> pa.Table:
+    """The lists of one part with two sets or more. Lists of ``most`` members come as
+    their pairs ``u`` and ``v``, longer ones as members ``u``; lists with the same members are one,
+    named by a hash of the members."""
     signs = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("signs")])
     node = np.concatenate(
         [
@@ -214,9 +236,22 @@ def _lists(table: pa.Table) -> pa.Table:
     count = np.diff(np.append(first, len(signs)))
     name = mix(np.add.reduceat(mix(node.view(np.uint64)), first) + count.astype(np.uint64))
     _, chosen = np.unique(name, return_index=True)
-    chosen = chosen[count[chosen] > 1]
-    at = np.repeat(first[chosen], count[chosen]) + np.arange(count[chosen].sum()) - np.repeat(np.cumsum(count[chosen]) - count[chosen], count[chosen])
-    return pa.table({"list": np.repeat(name[chosen], count[chosen]).view(np.int64), "node": node[at]})
+    few, many = chosen[(count[chosen] > 1) & (count[chosen] <= most)], chosen[count[chosen] > max(most, 1)]
+    pairs = [np.zeros((0, 2), np.int64)]
+    for n in np.unique(count[few]).tolist():
+        members = node[first[few[count[few] == n]][:, None] + np.arange(n)]  # ascending
+        u, v = np.triu_indices(n, 1)
+        pairs.append(np.stack((members[:, u].ravel(), members[:, v].ravel()), axis=1))
+    pairs = np.unique(np.concatenate(pairs), axis=0)
+    at = np.repeat(first[many], count[many]) + np.arange(count[many].sum()) - np.repeat(np.cumsum(count[many]) - count[many], count[many])
+    no = pa.nulls(len(pairs), pa.int64()), pa.nulls(len(at), pa.int64())
+    return pa.table(
+        {
+            "list": pa.chunked_array([no[0], pa.array(np.repeat(name[many], count[many]).view(np.int64))]),
+            "u": np.concatenate((pairs[:, 0], node[at])),
+            "v": pa.chunked_array([pa.array(pairs[:, 1]), no[1]]),
+        }
+    )
 
 
 def _set_rows(n: int):
@@ -236,6 +271,21 @@ def _set_rows(n: int):
     return run
 
 
+def _may_link(percent: int):
+    """The pairs ``u``, ``v`` whose sketches do not differ by more than linked sets do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = Sizes(percent)
+        for batch in batches:
+            rows = batch.num_rows
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(rows, BUCKETS) for c in ("a", "b"))
+            apart = (np.maximum(a, b) - np.minimum(a, b)).sum(axis=1, dtype=np.int64)
+            total = batch.column("size_u").to_numpy().astype(np.int64) + batch.column("size_v").to_numpy()
+            yield batch.select(["u", "v"]).filter(pa.array(apart <= sizes.differ(total)))
+
+    return run
+
+
 class JaccardJoin:
     """Links of the documents of ``docs`` and their components.
 
@@ -250,15 +300,18 @@ class JaccardJoin:
         self.words, self.percent = words, percent
         text = F.coalesce(F.col("text").cast("string"), F.lit(""))
         self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-        kind = "doc_id long, text_key long, n_shingles long, node long"
+        kind = "doc_id long, text_key long, n_shingles long, node long, sketch binary"
         self.classes = materialize(self.texts.mapInArrow(_class_rows(words), kind), "classes")
         # one row stands for its class: the first by id and text
         first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
-        firsts = self.classes.filter("node is not null").groupBy("node").agg(first.alias("f"), F.max("n_shingles").alias("size"))
-        self.firsts = materialize(firsts.selectExpr("node", "size", "f.doc_id", "f.text_key"), "class-rows")
+        firsts = self.classes.filter("node is not null").groupBy("node").agg(
+            first.alias("f"), F.max("n_shingles").alias("size"), F.first("sketch").alias("sketch")
+        )
+        self.firsts = materialize(firsts.selectExpr("node", "size", "f.doc_id", "f.text_key", "sketch"), "class-rows")
 
     def index(self) -> DataFrame:
-        """``list`` and ``node``: the lists of the index with two sets or more."""
+        """The lists of the index with two sets or more: ``u`` and ``v``, the pairs of
+        those of few members, and ``list`` and ``u`` for the others."""
         rows = self.classes.filter("node is not null").select("doc_id", "text_key", "node")
         both = [rows["doc_id"].eqNullSafe(self.firsts["doc_id"]), rows["text_key"] == self.firsts["text_key"], rows["node"] == self.firsts["node"]]
         copies = materialize(rows.join(self.firsts, both, "left_anti").select("doc_id", "text_key").distinct(), "copies")
@@ -267,32 +320,37 @@ class JaccardJoin:
         blocks = single.mapInArrow(
             _index_rows(self.words, self.percent, parts), "part long, signs binary, nodes binary, counts binary"
         )
-        lists = blocks.groupBy("part").applyInArrow(_lists, "list long, node long")
+        most = FEW
+        lists = blocks.groupBy("part").applyInArrow(lambda table: _lists(table, most), "list long, u long, v long")
         return materialize(lists.distinct(), "lists")
 
     def _sets(self, wanted: DataFrame) -> DataFrame:
         """``node``, ``other`` and ``shingles`` for ``wanted(node, others)``: the set of
-        each node, once for each of the others. Only the texts of rows that stand in
-        the table more than once are shuffled."""
+        each node, once for each of the others. The texts are shuffled, at any number
+        of nodes; of rows that stand in the table more than once, one is taken."""
         names = ["doc_id", "text_key"]
         keys = materialize(self.firsts.join(wanted, "node").select(*names, "others"), "wanted")
-        near = rows_joined(self.texts, keys, names)
+        near = rows_joined(self.texts, keys.hint("merge"), names)
         twice = materialize(self.classes.groupBy(*names).count().filter("count > 1").select(*names), "repeated-rows")
         if not twice.isEmpty():
             near = rows_without(near, twice, names).unionByName(rows_with(near, twice, names).dropDuplicates(names))
         return near.select("text", "others").mapInArrow(_set_rows(self.words), "node long, other long, shingles array<long>")
 
-    def _sets_of_nodes(self, nodes: DataFrame) -> DataFrame:
-        """``node`` and ``shingles`` of the distinct ``nodes``."""
-        return self._sets(nodes.withColumn("others", F.array("node"))).select("node", "shingles")
-
-    def _beside_hubs(self, pairs: DataFrame) -> DataFrame:
-        """``u``, its hub ``v`` and both sets. A set has no more hubs than segments, so
-        its copies for them leave the task that reads its text."""
-        hubs = pairs.groupBy(F.col("u").alias("node")).agg(F.collect_list("v").alias("others"))
-        a = self._sets(hubs).select(F.col("node").alias("u"), F.col("other").alias("v"), F.col("shingles").alias("a"))
-        b = self._sets_of_nodes(pairs.select(F.col("v").alias("node")).distinct())
-        return a.join(b.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    def _beside(self, pairs: DataFrame) -> DataFrame:
+        """``u``, ``v`` and both sets. One pass over the texts gives the sets of both
+        sides; the copies of a set for its partners leave the task that reads its text."""
+        sides = F.array(F.struct(F.col("u").alias("node"), "v"), F.struct(F.col("v").alias("node"), "v"))
+        wanted = pairs.select(F.inline(sides)).groupBy("node").agg(F.collect_set("v").alias("others"))
+        sets = self._sets(wanted)
+        a = sets.filter("node <> other").select(F.col("node").alias("u"), F.col("other").alias("v"), F.col("shingles").alias("a"))
+        b = sets.filter("node = other").select(F.col("node").alias("v"), F.col("shingles").alias("b"))
+        return a.join(b, "v")
+
+    def _near_pairs(self, pairs: DataFrame) -> DataFrame:
+        """The distinct ``pairs`` that may link by their sketches."""
+        sketch = self.firsts.select("node", "size", "sketch")
+        side = [sketch.withColumnsRenamed({"node": x, "size": f"size_{x}", "sketch": y}) for x, y in (("u", "a"), ("v", "b"))]
+        return pairs.distinct().join(side[0], "u").join(side[1], "v").mapInArrow(_may_link(self.percent), "u long, v long")
 
     def _open_pairs(self, lists: DataFrame, hubs: DataFrame, found: DataFrame) -> DataFrame:
         """Pairs ``u`` and hub ``v`` of the lists that may hold a link not found yet:
@@ -303,90 +361,143 @@ class JaccardJoin:
         unsettled = state.filter("n > 2 and least < most").select("list")
         return labelled.join(unsettled, "list", "left_semi").join(hubs, "list").filter("u <> v").select("u", "v").distinct()
 
-    def _with_sets(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        a = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
-        b = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
-        return pairs.join(a, "u").join(b, "v")
-
-    def _hub_lists(self, pairs: DataFrame) -> DataFrame:
-        """For each pair of a member ``u`` and its hub ``v`` whether they link, the
-        sizes of the differences, two 64-bit maps of them, and their prefix."""
-        p = self.percent
-        both = self._beside_hubs(pairs).select(
+    def _compared(self, pairs: DataFrame) -> DataFrame:
+        """For each of ``pairs(u, v, is_hub)`` whether they link, and if ``v`` is a hub
+        its size and what ``u`` has besides (``foreign``) and lacks."""
+        both = self._beside(pairs).select(
             "u",
             "v",
             F.size("b").alias("h"),
             F.sort_array(F.array_except("a", "b")).alias("foreign"),
             F.sort_array(F.array_except("b", "a")).alias("lacked"),
         )
-        sized = both.withColumns({"fa": F.size("foreign"), "la": F.size("lacked")})
-        need = F.greatest(F.lit(1), F.ceil((100 * F.col("la") + p * F.col("fa") - (100 - p) * F.col("h")) / 100)).cast("int")
-        length = F.col("fa") + F.col("la")
-        linked = 100 * (F.col("h") - F.col("la")) >= p * (F.col("h") + F.col("fa"))
-        every = sized.withColumn("every", F.concat("foreign", "lacked"))
+        linked = 100 * (F.col("h") - F.size("lacked")) >= self.percent * (F.col("h") + F.size("foreign"))
+        kept = [F.when(F.col("is_hub"), F.col(c)).alias(c) for c in ("foreign", "lacked")]
+        return both.join(pairs, ["u", "v"]).select("u", "v", "is_hub", "h", linked.alias("linked"), *kept)
+
+    def _centred(self, rows: DataFrame) -> DataFrame:
+        """``rows(u, v, h, foreign, lacked)``, the hub's own among them, with the
+        differences from the hub replaced by those from the centre of its members: the
+        shingles that more than half of them have. ``h`` becomes the centre's size."""
+        sides = [rows.select("v", F.explode(c).alias("e"), F.lit(own).alias("own")) for c, own in (("foreign", False), ("lacked", True))]
+        counts = sides[0].unionByName(sides[1]).groupBy("v", "e", "own").agg(F.count("*").alias("n"))
+        members = rows.groupBy("v").agg(F.count("*").alias("members"))
+        changed = counts.join(members, "v").filter("2 * n > members").groupBy("v").agg(
+            F.collect_list(F.expr("if(own, null, e)")).alias("gained"), F.collect_list(F.expr("if(own, e, null)")).alias("lost")
+        )
+        changed = materialize(changed, "centres")
+        none = F.array().cast("array<long>")
+        found = rows.join(changed, "v", "left").withColumns({c: F.coalesce(c, none) for c in ("gained", "lost")})
+        foreign = F.concat(F.array_except("foreign", "gained"), F.array_except("lost", "lacked"))
+        lacked = F.concat(F.array_except("lacked", "lost"), F.array_except("gained", "foreign"))
+        return found.select(
+            "u", "v", (F.col("h") + F.size("gained") - F.size("lost")).alias("h"),
+            F.sort_array(foreign).alias("foreign"), F.sort_array(lacked).alias("lacked"),
+        )
+
+    def _differences(self, rows: DataFrame, found: DataFrame) -> DataFrame:
+        """Rows of ``_centred`` with the sizes of the differences, two 64-bit maps of
+        them, their prefix, and ``low``, the component known so far. ``best`` is the
+        member nearest to the centre if the two link whatever they share."""
+        p = self.percent
+        sized = rows.withColumns({"fa": F.size("foreign"), "la": F.size("lacked")})
+        beyond = 100 * F.col("la") + p * F.col("fa") - (100 - p) * F.col("h")
+        label = F.coalesce("low", "u").alias("low")
+        known = sized.join(found.withColumnRenamed("node", "u"), "u", "left").select(*sized.columns, label, beyond.alias("beyond"))
+        known = materialize(known, "centred")
+        nearest = known.groupBy("v").agg(F.min(F.struct("beyond", "u", "low")).alias("b"))
+        together = F.col("beyond") + F.col("b.beyond") + (100 - p) * F.col("h")
+        need = F.greatest(F.lit(1), F.ceil(F.col("beyond") / 100), F.ceil(together / (100 + p))).cast("int")
+        every = known.join(nearest, "v").withColumn("every", F.concat("foreign", "lacked"))
         maps = [
             F.expr(f"aggregate(filter(every, e -> (shiftright(e, 6) & 1) = {i}), 0L, (s, e) -> s | shiftleft(1L, cast(e & 63 as int)))")
             for i in range(2)
         ]
-        prefix = F.slice("every", F.lit(1), length - need + 1)
+        prefix = F.slice("every", F.lit(1), F.greatest(F.lit(0), F.col("fa") + F.col("la") - need + 1))
+        sure = together <= 0
         return every.select(
-            "u", "v", "h", "fa", "la", linked.alias("linked"), prefix.alias("prefix"), maps[0].alias("m0"), maps[1].alias("m1")
-        )
+            "u", "v", "h", "fa", "la", "foreign", "lacked", maps[0].alias("m0"), maps[1].alias("m1"), prefix.alias("prefix"),
+            F.when(sure, F.col("b.low")).otherwise(F.col("low")).alias("low"), F.when(sure, F.col("b.u")).alias("best"),
+        )
 
     def components(self) -> DataFrame:
         """``node`` and ``low``, the smallest node of its component, for the nodes
         that link with another."""
         p = self.percent
-        lists = self.index()
+        index = self.index()
+        few = self._near_pairs(index.filter("v is not null").select("u", "v")).withColumn("is_hub", F.lit(False))
+        lists = index.filter("v is null").select("list", F.col("u").alias("node"))
         members = lists.groupBy("list").agg(F.count("*").alias("n"))
-        shared = materialize(lists.join(members, "list").groupBy("node").agg(F.sum("n").alias("shared")), "shared")
-        ranked = lists.join(shared, "node")
+        ranked = lists.join(lists.join(members, "list").groupBy("node").agg(F.sum("n").alias("shared")), "node")
         hubs = ranked.groupBy("list").agg(F.max(F.struct("shared", "node")).alias("hub")).selectExpr("list", "hub.node as v")
         hubs = materialize(hubs, "hubs")
-        pairs = lists.withColumnRenamed("node", "u").join(hubs, "list").filter("u <> v").select("u", "v").distinct()
-        compared = materialize(self._hub_lists(materialize(pairs, "pairs")), "compared")
+        beside = lists.withColumnRenamed("node", "u").join(hubs, "list").filter("u <> v").select("u", "v", F.lit(True).alias("is_hub"))
+        pairs = materialize(few.unionByName(beside).groupBy("u", "v").agg(F.max("is_hub").alias("is_hub")), "pairs")
+        compared = materialize(self._compared(pairs), "compared")
         edges = compared.filter("linked").select("u", "v")
         found = materialize(components(edges), "components")
 
         left_over = materialize(self._open_pairs(lists, hubs, found), "open-pairs")
-        label = F.coalesce("low", "u").alias("low")
+        if left_over.isEmpty():
+            return found
+        member = compared.filter("is_hub").join(left_over, ["u", "v"], "left_semi").select("u", "v", "h", "foreign", "lacked")
+        none = F.array().cast("array<long>")
+        itself = member.groupBy("v").agg(F.max("h").alias("h")).select(F.col("v").alias("u"), "v", "h", none.alias("foreign"), none.alias("lacked"))
+        known = materialize(self._differences(self._centred(member.unionByName(itself)), found), "differences")
+        sure = known.filter("best <> u").select("u", F.col("best").alias("v"))
         entry = (
-            compared.join(left_over, ["u", "v"], "left_semi")
-            .join(found.withColumnRenamed("node", "u"), "u", "left")
-            .select("u", "v", "h", "fa", "la", "m0", "m1", label, F.posexplode("prefix").alias("pos", "e"))
+            known.select("u", "v", "h", "fa", "la", "m0", "m1", "low", F.posexplode("prefix").alias("pos", "e"))
             .withColumn("left", F.col("fa") + F.col("la") - F.col("pos"))
-            .select(F.xxhash64("v", "e").alias("list"), "u", "h", "fa", "la", "low", "m0", "m1", "left")
+            .drop("pos")
         )
         # lists of one component end here; what is left is few, and its size known
-        ends = entry.groupBy("list").agg(F.min("low").alias("least"), F.max("low").alias("most"))
-        shared = materialize(ends.filter("least < most").select("list"), "shared-differences")
-        entry = materialize(entry.join(shared, "list", "left_semi"), "entries")
+        ends = entry.groupBy("v", "e").agg(F.min("low").alias("least"), F.max("low").alias("most"))
+        shared = materialize(ends.filter("least < most").select("v", "e"), "shared-differences")
+        entry = materialize(entry.join(shared, ["v", "e"], "left_semi"), "entries")
         # Entries of one list, component and size of the differences are a block; a
-        # pair of blocks is skipped whole if nothing in it can share enough.
+        # pair of blocks is skipped whole if nothing in it can share enough. A bit that
+        # all maps of one have and none of the other stands for a difference not shared.
         must_share = 100 * (F.col("la") + F.col("la2")) + p * (F.col("fa") + F.col("fa2")) - (100 - p) * F.col("h")
-        block = ["list", "low", "fa", "la"]
-        blocks = entry.groupBy(*block).agg(F.max("left").alias("left"), F.max("h").alias("h"))
-        second = {c: f"{c}2" for c in ("u", "fa", "la", "low", "m0", "m1", "left")}
+        block = ["v", "e", "low", "fa", "la"]
+        maps = [F.expr(f"bit_{way}({m})").alias(f"{m}_{way}") for m in ("m0", "m1") for way in ("and", "or")]
+        blocks = entry.groupBy(*block).agg(F.max("left").alias("left"), F.max("h").alias("h"), *maps)
+        second = {c: f"{c}2" for c in ("u", "fa", "la", "low", "m0", "m1", "left", "m0_and", "m0_or", "m1_and", "m1_or")}
         other = blocks.drop("h").withColumnsRenamed(second)
-        meet = (F.col("low") < F.col("low2")) & ((100 + p) * F.least("left", "left2") >= must_share)
-        met = materialize(blocks.join(other, "list").filter(meet).drop("left", "left2", "h"), "met-blocks")
-        # a bit of one map that the other lacks stands for a difference not shared
-        most = [F.expr(f"fa{x} + la{x} - bit_count(m0{x} & ~m0{y}) - bit_count(m1{x} & ~m1{y})") for x, y in (("", "2"), ("2", ""))]
-        may_share = (100 + p) * F.least("left", "left2", *most)
+
+        def may_share(every: str, some: str):
+            most = [f"fa{x} + la{x} - bit_count(m0{every}{x} & ~m0{some}{y}) - bit_count(m1{every}{x} & ~m1{some}{y})" for x, y in (("", "2"), ("2", ""))]
+            return (100 + p) * F.least("left", "left2", *map(F.expr, most))
+
+        meet = (F.col("low") < F.col("low2")) & (may_share("_and", "_or") >= must_share)
+        met = materialize(blocks.join(other, ["v", "e"]).filter(meet).select(*block, "low2", "fa2", "la2"), "met-blocks")
         candidates = (
             met.join(entry, block)
-            .join(entry.drop("h").withColumnsRenamed(second), ["list", "low2", "fa2", "la2"])
-            .filter(may_share >= must_share)
-            .select("u", F.col("u2").alias("v"))
+            .join(entry.drop("h").withColumnsRenamed(second), ["v", "e", "low2", "fa2", "la2"])
+            .filter(may_share("", "") >= must_share)
+            .select("v", "u", "u2")
             .distinct()
         )
         candidates = materialize(candidates, "candidates")
-        nodes = candidates.select(F.inline(F.array(F.struct(F.col("u").alias("node")), F.struct(F.col("v").alias("node"))))).distinct()
-        sets = materialize(self._sets_of_nodes(nodes), "sets")
-        common = F.size(F.array_intersect("a", "b"))
-        more = self._with_sets(candidates, sets).filter(100 * common >= p * (F.size("a") + F.size("b") - common)).select("u", "v")
-        more = materialize(more, "links")
-        return found if more.isEmpty() else materialize(components(edges.unionByName(more)), "components")
+        sides = known.select("v", "u", "h", "fa", "la", "foreign", "lacked")
+        common = sum(F.size(F.array_intersect(c, f"{c}2")) for c in ("foreign", "lacked"))
+        more = (
+            candidates.join(sides, ["v", "u"])
+            .join(sides.drop("h").withColumnsRenamed({c: f"{c}2" for c in ("u", "fa", "la", "foreign", "lacked")}), ["v", "u2"])
+            .filter((100 + p) * common >= must_share)
+            .select("u", F.col("u2").alias("v"))
+        )
+        more = materialize(sure.unionByName(more), "links")
+        # links between components known so far join these; the nodes follow
+        ends = more
+        for end in ("u", "v"):
+            ends = ends.join(found.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("low", end)).drop("low")
+        joins = materialize(ends.filter("u <> v").distinct(), "joining-links")
+        if joins.isEmpty():
+            return found
+        joined = components(joins).selectExpr("node as low", "low as lowest")
+        alone = joined.selectExpr("low as node", "low").join(found, "node", "left_anti")
+        every = found.unionByName(alone).join(joined, "low", "left")
+        return materialize(every.select("node", F.coalesce("lowest", "low").alias("low")), "components")
 
     def documents(self) -> DataFrame:
         """One row per document row: ``doc_id``, ``text_key``, ``n_shingles`` and

@@ -150,3 +150,55 @@ def test_empty(spark):
     nothing = brute.table(spark, [(1, None, None, None, 0), (None, "", None, None, 0), (2, " ", None, None, 0)])
     assert brute.ordered(op7_jaccard_join(spark, "", nothing).collect()) == brute.ordered([(1, 0, 1), (None, 0, None), (2, 0, 2)])
     assert drop_near_duplicates(nothing).count() == 3
+
+
+@pytest.mark.parametrize(("words", "percent", "few"), [(3, 90, 1), (5, 80, 1), (3, 90, 10_000)])
+def test_short_and_long_lists_give_the_same(spark, monkeypatch, words, percent, few):
+    """All lists by their hubs and centres, some, and all by their pairs."""
+    monkeypatch.setattr(jaccard, "FEW", few)
+    rows = near_rows(words + 20)
+    got = JaccardJoin(brute.table(spark, rows), words, percent).documents().select("doc_id", "n_shingles", "component_id").collect()
+    assert brute.ordered(got) == brute.ordered(grouped(rows, words, percent))
+
+
+def test_copies_with_changes_of_their_own_are_not_paired(spark, monkeypatch):
+    """Copies of one text that differ too much to link: what they differ in from the
+    one they are compared with is common to all of them, from their centre it is not."""
+    rng = random.Random(4)
+    base = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(150)]
+    rows = []
+    for i in range(240):
+        text = list(base)
+        for at in rng.sample(range(150), 5):
+            text[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(text), None, None, 0))
+    counts = {}
+
+    def counted(df, name):
+        out = plain(df, name)
+        counts[name] = out.count()
+        return out
+
+    plain = jaccard.materialize
+    monkeypatch.setattr(jaccard, "materialize", counted)
+    got = op7_jaccard_join(spark, "", brute.table(spark, rows)).collect()
+    assert brute.ordered(got) == brute.ordered(grouped(rows, 3, 90))
+    assert counts["met-blocks"] < 240 * 4 and counts["candidates"] < 240 * 4
+
+
+def test_sketches_lose_no_link():
+    rng = random.Random(8)
+    for n in (1, 20, 300, 3000):
+        base = [rng.getrandbits(64) for _ in range(n)]
+        other = base[n // 8 :] + [rng.getrandbits(64) for _ in range(n // 9)]
+        sets = [np.array(sorted(x), np.uint64) for x in (base, other)]
+        at = np.cumsum([0, *map(len, sets)])
+        a, b = (np.frombuffer(x, np.uint8).astype(int) for x in jaccard._sketches(np.concatenate(sets), at))
+        assert np.abs(a - b).sum() <= len(set(base) ^ set(other))
+
+
+def test_components_of_stars_that_begin_at_the_smallest(spark):
+    edges = [(1, 2), (1, 3), (3, 1), (9, 8)]
+    got = sorted(tuple(r) for r in components(spark.createDataFrame(edges, "u long, v long")).collect())
+    assert got == [(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)]
+    assert components(spark.createDataFrame([], "u long, v long")).collect() == []
