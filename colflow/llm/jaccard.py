@@ -28,8 +28,9 @@ the centre's shingles and have a others, X be all these, t the threshold and
 link with the member b of the smallest d, which its numbers alone show. Else X and Y
 share at least ``max(1, d(x), (d(x) + d(b) + (1 - t) |c|) / (1 + t))`` shingles, for
 either of them, and an index over the differences, by prefix, finds all these links:
-X in an order with the shingles foreign to the centre first, without its last ones
-that cannot be the first shared. Entries of such a list are skipped by blocks of one
+X in an order with the shingles that the fewest members have first, without its last
+ones that cannot be the first shared. Shingles that only members of one component
+have are left out before. Entries of such a list are skipped by blocks of one
 component and one size of differences, and by position: what may still be shared
 after it, and what the bitmaps of X and Y allow, must reach what the pair needs. Copies
 with changes of their own share too little for that, so a group of n of them takes
@@ -45,7 +46,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colflow.llm.common import document_rows, documents, rows_joined, rows_with, rows_without
@@ -61,6 +62,8 @@ GATHER = 24 << 20
 FEW = 16
 #: buckets of a set's sketch, a byte each
 BUCKETS = 256
+#: 64-bit maps of a set's differences, a power of two
+MAPS = 4
 
 
 class Sizes:
@@ -396,8 +399,8 @@ class JaccardJoin:
         )
 
     def _differences(self, rows: DataFrame, found: DataFrame) -> DataFrame:
-        """Rows of ``_centred`` with the sizes of the differences, two 64-bit maps of
-        them, their prefix, and ``low``, the component known so far. ``best`` is the
+        """Rows of ``_centred`` with the sizes of the differences, the ``need`` of them that
+        a partner shares, and ``low``, the component known so far. ``best`` is the
         member nearest to the centre if the two link whatever they share."""
         p = self.percent
         sized = rows.withColumns({"fa": F.size("foreign"), "la": F.size("lacked")})
@@ -408,18 +411,28 @@ class JaccardJoin:
         nearest = known.groupBy("v").agg(F.min(F.struct("beyond", "u", "low")).alias("b"))
         together = F.col("beyond") + F.col("b.beyond") + (100 - p) * F.col("h")
         need = F.greatest(F.lit(1), F.ceil(F.col("beyond") / 100), F.ceil(together / (100 + p))).cast("int")
-        every = known.join(nearest, "v").withColumn("every", F.concat("foreign", "lacked"))
-        maps = [
-            F.expr(f"aggregate(filter(every, e -> (shiftright(e, 6) & 1) = {i}), 0L, (s, e) -> s | shiftleft(1L, cast(e & 63 as int)))")
-            for i in range(2)
-        ]
-        prefix = F.slice("every", F.lit(1), F.greatest(F.lit(0), F.col("fa") + F.col("la") - need + 1))
         sure = together <= 0
-        return every.select(
-            "u", "v", "h", "fa", "la", "foreign", "lacked", maps[0].alias("m0"), maps[1].alias("m1"), prefix.alias("prefix"),
+        return known.join(nearest, "v").select(
+            "u", "v", "h", "fa", "la", "foreign", "lacked", need.alias("need"),
             F.when(sure, F.col("b.low")).otherwise(F.col("low")).alias("low"), F.when(sure, F.col("b.u")).alias("best"),
         )
 
+    def _entries(self, known: DataFrame) -> DataFrame:
+        """The index over the differences of ``known``: an entry for each difference in a
+        prefix that members of two components have. The order is by the number of members,
+        the fewest first, and those of one component before all. ``left`` is how many
+        may still be shared from an entry on, ``s`` how many at all, ``m0`` to ``m3`` a map of them."""
+        each = known.select("v", "u", "low", F.explode(F.concat("foreign", "lacked")).alias("e"))
+        ends = each.groupBy("v", "e").agg(F.min("low").alias("least"), F.max("low").alias("most"), F.count("*").alias("n"))
+        shared = materialize(ends.filter("least < most").select("v", "e", "n"), "shared-differences")
+        own = Window.partitionBy("v", "u")
+        bit = F.expr("shiftleft(1L, cast(e & 63 as int))")
+        maps = [F.bit_or(F.when(F.expr(f"shiftright(e, 6) & {MAPS - 1} = {i}"), bit).otherwise(F.lit(0))).over(own).alias(f"m{i}") for i in range(MAPS)]
+        left = F.row_number().over(own.orderBy(F.desc("n"), "e"))
+        placed = each.drop("low").join(shared, ["v", "e"]).select("v", "u", "e", left.alias("left"), F.count("*").over(own).alias("s"), *maps)
+        entry = placed.join(known.select("v", "u", "h", "fa", "la", "low", "need"), ["v", "u"]).filter("left >= need")
+        return materialize(entry.drop("need"), "entries")
+
     def components(self) -> DataFrame:
         """``node`` and ``low``, the smallest node of its component, for the nodes
         that link with another."""
@@ -445,27 +458,22 @@ class JaccardJoin:
         itself = member.groupBy("v").agg(F.max("h").alias("h")).select(F.col("v").alias("u"), "v", "h", none.alias("foreign"), none.alias("lacked"))
         known = materialize(self._differences(self._centred(member.unionByName(itself)), found), "differences")
         sure = known.filter("best <> u").select("u", F.col("best").alias("v"))
-        entry = (
-            known.select("u", "v", "h", "fa", "la", "m0", "m1", "low", F.posexplode("prefix").alias("pos", "e"))
-            .withColumn("left", F.col("fa") + F.col("la") - F.col("pos"))
-            .drop("pos")
-        )
-        # lists of one component end here; what is left is few, and its size known
-        ends = entry.groupBy("v", "e").agg(F.min("low").alias("least"), F.max("low").alias("most"))
-        shared = materialize(ends.filter("least < most").select("v", "e"), "shared-differences")
-        entry = materialize(entry.join(shared, ["v", "e"], "left_semi"), "entries")
+        entry = self._entries(known)
         # Entries of one list, component and size of the differences are a block; a
         # pair of blocks is skipped whole if nothing in it can share enough. A bit that
         # all maps of one have and none of the other stands for a difference not shared.
         must_share = 100 * (F.col("la") + F.col("la2")) + p * (F.col("fa") + F.col("fa2")) - (100 - p) * F.col("h")
         block = ["v", "e", "low", "fa", "la"]
-        maps = [F.expr(f"bit_{way}({m})").alias(f"{m}_{way}") for m in ("m0", "m1") for way in ("and", "or")]
-        blocks = entry.groupBy(*block).agg(F.max("left").alias("left"), F.max("h").alias("h"), *maps)
-        second = {c: f"{c}2" for c in ("u", "fa", "la", "low", "m0", "m1", "left", "m0_and", "m0_or", "m1_and", "m1_or")}
+        names = [f"m{i}" for i in range(MAPS)]
+        both = [f"{m}_{way}" for m in names for way in ("and", "or")]
+        maps = [F.expr(f"bit_{way}({m})").alias(f"{m}_{way}") for m in names for way in ("and", "or")]
+        blocks = entry.groupBy(*block).agg(F.max("left").alias("left"), F.max("s").alias("s"), F.max("h").alias("h"), *maps)
+        second = {c: f"{c}2" for c in ("u", "fa", "la", "low", "left", "s", *names, *both)}
         other = blocks.drop("h").withColumnsRenamed(second)
 
         def may_share(every: str, some: str):
-            most = [f"fa{x} + la{x} - bit_count(m0{every}{x} & ~m0{some}{y}) - bit_count(m1{every}{x} & ~m1{some}{y})" for x, y in (("", "2"), ("2", ""))]
+            lost = [" - ".join(f"bit_count({m}{every}{x} & ~{m}{some}{y})" for m in names) for x, y in (("", "2"), ("2", ""))]
+            most = [f"s - {lost[0]}", f"s2 - {lost[1]}"]
             return (100 + p) * F.least("left", "left2", *map(F.expr, most))
 
         meet = (F.col("low") < F.col("low2")) & (may_share("_and", "_or") >= must_share)

@@ -186,6 +186,34 @@ def test_copies_with_changes_of_their_own_are_not_paired(spark, monkeypatch):
     assert counts["met-blocks"] < 240 * 4 and counts["candidates"] < 240 * 4
 
 
+def test_members_that_share_passages_are_not_paired(spark, monkeypatch):
+    """Texts of one head and half of the same passages each: any two share some of what
+    they differ in from their centre, too little to link; a few differ by a word only."""
+    rng = random.Random(12)
+
+    def some(n):
+        return ["".join(rng.choices("abcdefgh", k=5)) for _ in range(n)]
+
+    head, passages, rows = some(120), [some(12) for _ in range(24)], []
+    for i in range(160):
+        text = head + [w for p in rng.sample(passages, 12) for w in p] + some(20)
+        rows.append((i, " ".join(text), None, None, 0))
+        if i % 40 == 0:
+            rows.append((1000 + i, " ".join([*text[:-1], "last"]), None, None, 0))
+    counts = {}
+
+    def counted(df, name):
+        out = plain(df, name)
+        counts[name] = out.count()
+        return out
+
+    plain = jaccard.materialize
+    monkeypatch.setattr(jaccard, "materialize", counted)
+    got = JaccardJoin(brute.table(spark, rows), 5, 80).documents().select("doc_id", "n_shingles", "component_id").collect()
+    assert brute.ordered(got) == brute.ordered(grouped(rows, 5, 80))
+    assert counts["entries"] > 160 and counts["met-blocks"] < 160 and counts["candidates"] < 160, counts
+
+
 def test_sketches_lose_no_link():
     rng = random.Random(8)
     for n in (1, 20, 300, 3000):
