@@ -423,13 +423,17 @@ class JaccardJoin:
         the fewest first, and those of one component before all. ``left`` is how many
         may still be shared from an entry on, ``s`` how many at all, ``m0`` to ``m3`` a map of them."""
         each = known.select("v", "u", "low", F.explode(F.concat("foreign", "lacked")).alias("e"))
-        ends = each.groupBy("v", "e").agg(F.min("low").alias("least"), F.max("low").alias("most"), F.count("*").alias("n"))
-        shared = materialize(ends.filter("least < most").select("v", "e", "n"), "shared-differences")
-        own = Window.partitionBy("v", "u")
+        # a difference is one row, sorted once; a key has half of a hub's members at most
+        members, own = Window.partitionBy("v", "e"), Window.partitionBy("v", "u")
+        counted = each.select(
+            "v", "u", "e", F.min("low").over(members).alias("least"), F.max("low").over(members).alias("most"),
+            F.count("*").over(members).alias("n"),
+        )
+        shared = counted.filter("least < most")
         bit = F.expr("shiftleft(1L, cast(e & 63 as int))")
         maps = [F.bit_or(F.when(F.expr(f"shiftright(e, 6) & {MAPS - 1} = {i}"), bit).otherwise(F.lit(0))).over(own).alias(f"m{i}") for i in range(MAPS)]
         left = F.row_number().over(own.orderBy(F.desc("n"), "e"))
-        placed = each.drop("low").join(shared, ["v", "e"]).select("v", "u", "e", left.alias("left"), F.count("*").over(own).alias("s"), *maps)
+        placed = shared.select("v", "u", "e", left.alias("left"), F.count("*").over(own).alias("s"), *maps)
         entry = placed.join(known.select("v", "u", "h", "fa", "la", "low", "need"), ["v", "u"]).filter("left >= need")
         return materialize(entry.drop("need"), "entries")
 
