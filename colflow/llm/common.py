@@ -68,13 +68,6 @@ def rows_without(rows: DataFrame, keys: DataFrame, names: list[str]) -> DataFram
     return _matched(rows, keys, names, "left_anti")
 
 
-def rows_joined(rows: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
-    """``rows`` with the further columns of ``keys``, a written table of distinct keys;
-    rows without a key go. Spark broadcasts the table by its size."""
-    same = [rows[n].eqNullSafe(keys[n]) for n in names]
-    return rows.join(keys, same).select(*(rows[c] for c in rows.columns), *(keys[c] for c in keys.columns if c not in names))
-
-
 def named_rows(docs: DataFrame, **keys: Column) -> DataFrame:
     """``row``, the whole row of ``docs`` as a struct, and ``keys``: columns of any
     name of the caller's stay apart from those used inside. A table without

@@ -18,8 +18,16 @@ A list of up to ``FEW`` members is answered by its pairs, of which sketches leav
 those that may link: the counts of shingles by bucket differ in total by no more than
 the sets do.
 
-Answers from similar sets. A longer list is not expanded into pairs. Its members are
-compared with one of them, the hub, that shares most lists with others. Lists that
+Members of longer lists are indexed again, by single shingles, those that the fewest of
+these members have first. Linked sets share one of the first ``size - overlap + 1``,
+``overlap`` being the least that a linked set shares. A set that has as many to itself
+links with no other member, however many lists it stands in, and goes; the others stand
+in lists of these first shingles that other members have too. Of those that are still
+longer, up to ``MANY`` members, sketches leave the members that may link with another; if
+these have few such partners, the pairs answer the list.
+
+Answers from similar sets. The other lists are not expanded into pairs.
+Their members are compared with one of them, the hub, that shares most lists with others. Lists that
 are not of one component then are answered from what their members differ in from a
 centre c, the shingles that more than half of a hub's members have. Let x lack r of
 the centre's shingles and have a others, X be all these, t the threshold and
@@ -42,24 +50,29 @@ verified on the whole sets of 64-bit shingle hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from colflow.llm.common import document_rows, documents, rows_joined, rows_with, rows_without
+from colflow.llm.common import document_rows, documents, rows_with, rows_without
 from colflow.llm.components import components
 from colflow.llm.hashing import FOLDED, U, batches_of, mix, shingle_hashes, word_hashes
 from colflow.session import materialize
 
 #: documents for each part of the index
 PART_DOCS = 4000
+#: shingles for each part of the index of long lists' members
+PART_SHINGLES = 1 << 19
 #: texts that a task cuts into segments at a time, in bytes
 GATHER = 24 << 20
 #: members up to which a list is answered by its pairs
 FEW = 16
+#: members up to which those of a longer list are compared by their sketches
+MANY = 1024
 #: buckets of a set's sketch, a byte each
 BUCKETS = 256
 #: 64-bit maps of a set's differences, a power of two
@@ -179,36 +192,59 @@ def _class_rows(n: int):
     return run
 
 
-def _index_rows(n: int, percent: int, parts: int):
-    """Blocks of signatures by part: the short hashes, by node in order, and how
-    many each node has."""
+#: blocks of an index: of a part, the short hashes, by node in order, and how many each node has
+BLOCKS = "part long, signs binary, nodes binary, counts binary"
+#: lists: ``u`` and ``v`` are a pair of a list of few members, ``u`` is a member of a longer one
+LISTS = "list long, u long, v long"
+
+
+def _blocks(part: np.ndarray, signs: np.ndarray, node: np.ndarray) -> dict[str, object]:
+    """Columns of ``BLOCKS`` for entries whose nodes are together within a part."""
+    order = np.argsort(part, kind="stable")
+    part, signs, node = part[order], signs[order], node[order]
+    cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))[: len(part)])
+    rows: dict[str, object] = {"part": part[cut].astype(np.int64)}
+    signs_of, nodes_of, counts_of = [], [], []
+    for a, b in zip(cut, [*cut[1:], len(part)], strict=False):
+        own = node[a:b]
+        starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        signs_of.append(signs[a:b].tobytes())
+        nodes_of.append(own[starts].tobytes())
+        counts_of.append(np.diff(np.append(starts, len(own))).astype(np.uint32).tobytes())
+    binary = {"signs": signs_of, "nodes": nodes_of, "counts": counts_of}
+    return rows | {c: pa.array(x, pa.binary()) for c, x in binary.items()}
+
+
+def _block_entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Short hash and node of each entry of the blocks of one part."""
+    signs = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("signs")])
+    node = np.concatenate(
+        [
+            np.repeat(np.frombuffer(x.as_py(), np.int64), np.frombuffer(c.as_py(), np.uint32))
+            for x, c in zip(table.column("nodes"), table.column("counts"), strict=True)
+        ]
+    )
+    return signs, node
+
+
+def _index_rows(n: int, parts: int, signatures: Callable[[np.ndarray, int], Iterator[np.ndarray]]):
+    """Blocks of what ``signatures`` gives for each set and its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = Sizes(percent)
         found: list[tuple[int, np.ndarray]] = []
         gathered = 0
 
         def out() -> pa.RecordBatch:
             signs = np.concatenate([s for _, s in found])
             node = np.repeat(np.array([x for x, _ in found], np.int64), [len(s) for _, s in found])
-            part = (signs >> U(32)) % U(parts)
-            order = np.argsort(part, kind="stable")
-            part, signs, node = part[order], (signs[order] & U(0xFFFFFFFF)).astype(np.uint32), node[order]
-            cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-            rows = {"part": part[cut].astype(np.int64), "signs": [], "nodes": [], "counts": []}
-            for a, b in zip(cut, [*cut[1:], len(part)], strict=True):
-                own = node[a:b]
-                starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-                rows["signs"].append(signs[a:b].tobytes())
-                rows["nodes"].append(own[starts].tobytes())
-                rows["counts"].append(np.diff(np.append(starts, len(own))).astype(np.uint32).tobytes())
-            return pa.RecordBatch.from_pydict(rows)
+            short = (signs & U(0xFFFFFFFF)).astype(np.uint32)
+            return pa.RecordBatch.from_pydict(_blocks((signs >> U(32)) % U(parts), short, node))
 
         for batch in batches:
             for _, _, values, at in _sets_of(batch, n):
                 size, nodes = np.diff(at), _nodes(values, at)
                 for d in np.flatnonzero(size).tolist():
-                    for signs in _signatures(values[at[d] : at[d + 1]], int(size[d]), sizes):
+                    for signs in signatures(values[at[d] : at[d + 1]], int(size[d])):
                         found.append((nodes[d], signs))
                 gathered += 8 * len(values)
                 if gathered > GATHER and found:
@@ -220,17 +256,52 @@ def _index_rows(n: int, percent: int, parts: int):
     return run
 
 
+def _repeated(table: pa.Table) -> pa.Table:
+    """The entries of one part whose hash is not the only one: for each node its
+    ``signs``, and ``counts``, how many entries have each."""
+    signs, node = _block_entries(table)
+    order = np.argsort(signs, kind="stable")
+    signs, node = signs[order], node[order]
+    first = np.flatnonzero(np.concatenate(([True], signs[1:] != signs[:-1])))
+    count = np.diff(np.append(first, len(signs)))
+    count = np.repeat(count, count)
+    order = np.flatnonzero(count > 1)
+    order = order[np.argsort(node[order], kind="stable")]
+    signs, node, count = signs[order], node[order], count[order].astype(np.uint32)
+    cut = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1]))[: len(node)])
+    at = pa.py_buffer((4 * np.append(cut, len(node))).astype(np.int32))
+    binary = [pa.Array.from_buffers(pa.binary(), len(cut), [None, at, pa.py_buffer(np.ascontiguousarray(x))]) for x in (signs, count)]
+    part = np.full(len(cut), table.column("part")[0].as_py() if len(cut) else 0, np.int64)
+    return pa.table({"part": part, "node": node[cut], "signs": binary[0], "counts": binary[1]})
+
+
+def _rarest(table: pa.Table, percent: int) -> pa.Table:
+    """Blocks of the first shingles of the nodes of ``table``, which has all rows of
+    ``_repeated`` of a node, and its ``size``: those that the fewest have are first, those
+    that no other has before all and left out."""
+    nodes, size = table.column("node").to_numpy(), table.column("size").to_numpy()
+    signs, count = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint32) for c in ("signs", "counts"))
+    each = pc.binary_length(table.column("signs")).to_numpy() // 4
+    node, part, size = (np.repeat(x, each) for x in (nodes, table.column("part").to_numpy(), size))
+    order = np.lexsort((signs, part, count, node))
+    node, part, signs, size = node[order], part[order], signs[order], size[order]
+    first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1]))[: len(node)])
+    repeated = np.diff(np.append(first, len(node)))
+    # of the first ones that linked sets share one of, so many are not the set's alone
+    alone = size[first] - repeated
+    wanted = size[first] + (-size[first] * percent // 100) + 1 - alone
+    new = np.concatenate(([True], (node[1:] != node[:-1]) | (part[1:] != part[:-1]) | (signs[1:] != signs[:-1])))[: len(node)]
+    rank = np.cumsum(new)
+    rank -= np.repeat(rank[first] - 1, repeated)  # from 1 on
+    keep = new & (rank <= np.repeat(wanted, repeated))
+    return pa.table(_blocks(part[keep], signs[keep], node[keep]))
+
+
 def _lists(table: pa.Table, most: int) -> pa.Table:
     """The lists of one part with two sets or more. Lists of ``most`` members come as
     their pairs ``u`` and ``v``, longer ones as members ``u``; lists with the same members are one,
     named by a hash of the members."""
-    signs = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("signs")])
-    node = np.concatenate(
-        [
-            np.repeat(np.frombuffer(x.as_py(), np.int64), np.frombuffer(c.as_py(), np.uint32))
-            for x, c in zip(table.column("nodes"), table.column("counts"), strict=True)
-        ]
-    )
+    signs, node = _block_entries(table)
     order = np.lexsort((node, signs))
     signs, node = signs[order], node[order]
     new = np.concatenate(([True], (signs[1:] != signs[:-1]) | (node[1:] != node[:-1])))
@@ -257,6 +328,37 @@ def _lists(table: pa.Table, most: int) -> pa.Table:
     )
 
 
+def _near_members(table: pa.Table, percent: int, few: int, many: int) -> pa.Table:
+    """What sketches leave of one list, a row for each member, as ``_lists`` gives it: the
+    pairs that may link if a member has no more of them than in a list of ``few``, else
+    the members that have one. A list of more than ``many`` stays as it is."""
+    name, rows = table.column("list")[0].as_py(), table.num_rows
+    node, size = table.column("u").to_numpy(), table.column("size").to_numpy().astype(np.int64)
+    none = np.zeros(0, np.int64)
+    u, v, near = [none], [none], np.full(rows, rows > many)
+    order = np.argsort(size, kind="stable")
+    size = size[order]
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(rows, BUCKETS)[order]
+    # linked sets of ascending sizes end here
+    ends = np.searchsorted(size, size * 100 // percent, side="right")
+    found, sizes = 0, Sizes(percent)
+    for i in range(0 if rows > many else rows):
+        a, b = sketch[i], sketch[i + 1 : ends[i]]
+        apart = (np.maximum(a, b) - np.minimum(a, b)).sum(axis=1, dtype=np.int32)
+        with_i = i + 1 + np.flatnonzero(apart <= sizes.differ(size[i] + size[i + 1 : ends[i]]))
+        near[order[with_i]] = True
+        near[order[i]] |= len(with_i) > 0
+        found += len(with_i)
+        if found <= few * rows // 2:
+            u.append(node[order[with_i]])
+            v.append(np.full(len(with_i), node[order[i]]))
+    if rows <= many and found <= few * rows // 2:
+        u, v = np.concatenate(u), np.concatenate(v)
+        return pa.table({"list": pa.nulls(len(u), pa.int64()), "u": np.minimum(u, v), "v": np.maximum(u, v)})
+    kept = node[near]
+    return pa.table({"list": np.full(len(kept), name, np.int64), "u": kept, "v": pa.nulls(len(kept), pa.int64())})
+
+
 def _set_rows(n: int):
     """``node`` and ``shingles`` of each text, once for each of its ``others``."""
 
@@ -301,6 +403,7 @@ class JaccardJoin:
 
     def __init__(self, docs: DataFrame, words: int, percent: int):
         self.words, self.percent = words, percent
+        self.twice: DataFrame | None = None
         text = F.coalesce(F.col("text").cast("string"), F.lit(""))
         self.texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
         kind = "doc_id long, text_key long, n_shingles long, node long, sketch binary"
@@ -320,23 +423,56 @@ class JaccardJoin:
         copies = materialize(rows.join(self.firsts, both, "left_anti").select("doc_id", "text_key").distinct(), "copies")
         single = rows_without(self.texts, copies, ["doc_id", "text_key"])
         parts = max(8, -(-self.firsts.count() // PART_DOCS))
-        blocks = single.mapInArrow(
-            _index_rows(self.words, self.percent, parts), "part long, signs binary, nodes binary, counts binary"
-        )
+        sizes = Sizes(self.percent)
+        blocks = single.mapInArrow(_index_rows(self.words, parts, lambda values, size: _signatures(values, size, sizes)), BLOCKS)
+        return materialize(self._listed(blocks), "lists")
+
+    def _listed(self, blocks: DataFrame) -> DataFrame:
         most = FEW
-        lists = blocks.groupBy("part").applyInArrow(lambda table: _lists(table, most), "list long, u long, v long")
-        return materialize(lists.distinct(), "lists")
+        return blocks.groupBy("part").applyInArrow(lambda table: _lists(table, most), LISTS).distinct()
+
+    def rare_index(self, members: DataFrame) -> DataFrame:
+        """``index`` of the sets of ``members(node)`` among each other, by their rarest
+        shingles. Every linked pair of them shares a list."""
+        percent, names = self.percent, ["doc_id", "text_key"]
+        members = materialize(self.firsts.join(members, "node").select("node", "size", *names), "members")
+        shingles = members.agg(F.sum("size")).first()[0]
+        if shingles is None:
+            return self.firsts.sparkSession.createDataFrame([], LISTS)
+        parts = max(8, -(-shingles // PART_SHINGLES))
+        texts = self._once(rows_with(self.texts, members.select(*names), names))
+        blocks = texts.mapInArrow(_index_rows(self.words, parts, lambda values, size: [mix(values)]), BLOCKS)
+        shared = blocks.groupBy("part").applyInArrow(_repeated, "part long, node long, signs binary, counts binary")
+        shared = materialize(shared, "entries").join(members.select("node", "size"), "node")
+        dealt = shared.groupBy(F.pmod(F.xxhash64("node"), F.lit(parts)))
+        rarest = dealt.applyInArrow(lambda table: _rarest(table, percent), BLOCKS)
+        lists = materialize(self._listed(rarest), "rare-lists")
+        few, many = FEW, MANY
+        sketch = self.firsts.selectExpr("node as u", "size", "sketch")
+        long = lists.filter("v is null").join(sketch, "u").select("list", "u", "size", "sketch")
+        long = long.groupBy("list").applyInArrow(lambda table: _near_members(table, percent, few, many), LISTS)
+        return lists.filter("v is not null").unionByName(materialize(long.distinct(), "met-blocks"))
+
+    def _once(self, near: DataFrame) -> DataFrame:
+        """``near``, rows of ``texts``: of rows that stand in the table more than once, one."""
+        names = ["doc_id", "text_key"]
+        if self.twice is None:
+            self.twice = materialize(self.classes.groupBy(*names).count().filter("count > 1").select(*names), "repeated-rows")
+        if self.twice.isEmpty():
+            return near
+        return rows_without(near, self.twice, names).unionByName(rows_with(near, self.twice, names).dropDuplicates(names))
 
     def _sets(self, wanted: DataFrame) -> DataFrame:
         """``node``, ``other`` and ``shingles`` for ``wanted(node, others)``: the set of
-        each node, once for each of the others. The texts are shuffled, at any number
+        each node, once for each of the others. The texts wanted are shuffled, at any number
         of nodes; of rows that stand in the table more than once, one is taken."""
         names = ["doc_id", "text_key"]
         keys = materialize(self.firsts.join(wanted, "node").select(*names, "others"), "wanted")
-        near = rows_joined(self.texts, keys.hint("merge"), names)
-        twice = materialize(self.classes.groupBy(*names).count().filter("count > 1").select(*names), "repeated-rows")
-        if not twice.isEmpty():
-            near = rows_without(near, twice, names).unionByName(rows_with(near, twice, names).dropDuplicates(names))
+        # the texts that are not wanted stay where they are if the keys are few
+        near = rows_with(self.texts, keys.select(*names), names)
+        sides = keys.withColumnsRenamed({n: f"own_{n}" for n in names}).hint("merge")
+        near = near.join(sides, F.expr(" and ".join(f"{n} <=> own_{n}" for n in names)))
+        near = self._once(near.select(*names, "text", "others"))
         return near.select("text", "others").mapInArrow(_set_rows(self.words), "node long, other long, shingles array<long>")
 
     def _beside(self, pairs: DataFrame) -> DataFrame:
@@ -442,8 +578,10 @@ class JaccardJoin:
         that link with another."""
         p = self.percent
         index = self.index()
-        few = self._near_pairs(index.filter("v is not null").select("u", "v")).withColumn("is_hub", F.lit(False))
-        lists = index.filter("v is null").select("list", F.col("u").alias("node"))
+        rare = self.rare_index(index.filter("v is null").select(F.col("u").alias("node")).distinct())
+        few = index.unionByName(rare).filter("v is not null").select("u", "v")
+        few = materialize(self._near_pairs(few), "candidates").withColumn("is_hub", F.lit(False))
+        lists = rare.filter("v is null").select("list", F.col("u").alias("node"))
         members = lists.groupBy("list").agg(F.count("*").alias("n"))
         ranked = lists.join(lists.join(members, "list").groupBy("node").agg(F.sum("n").alias("shared")), "node")
         hubs = ranked.groupBy("list").agg(F.max(F.struct("shared", "node")).alias("hub")).selectExpr("list", "hub.node as v")

@@ -4,6 +4,8 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from colflow.llm import common, jaccard
@@ -230,3 +232,99 @@ def test_components_of_stars_that_begin_at_the_smallest(spark):
     got = sorted(tuple(r) for r in components(spark.createDataFrame(edges, "u long, v long")).collect())
     assert got == [(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)]
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def sizes_of_tables(monkeypatch):
+    """Rows of each table that the join writes, by name."""
+    counts, plain = {}, jaccard.materialize
+
+    def counted(df, name):
+        out = plain(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", counted)
+    return counts
+
+
+def test_members_with_enough_of_their_own_are_not_compared(spark, monkeypatch):
+    """Texts of one head, each with a fourth of its own, stand in long lists and link with
+    none; copies of a few of them do, and are all that is compared."""
+    rng = random.Random(21)
+
+    def some(n):
+        return ["".join(rng.choices("abcdefgh", k=5)) for _ in range(n)]
+
+    head, rows = some(150), []
+    for i in range(200):
+        text = head + some(50)
+        rows.append((i, " ".join(text), None, None, 0))
+        if i % 40 == 0:
+            rows.append((1000 + i, " ".join([*text[:-1], "last"]), None, None, 0))
+    counts = sizes_of_tables(monkeypatch)
+    got = JaccardJoin(brute.table(spark, rows), 5, 80).documents().select("doc_id", "n_shingles", "component_id").collect()
+    assert brute.ordered(got) == brute.ordered(grouped(rows, 5, 80))
+    assert counts["members"] > 160 and counts["pairs"] == 5, counts
+
+
+def versions(seed=22, count=200):
+    """Versions of one text that differ in places where only two words come up: none has
+    a shingle to itself, few pairs link."""
+    rng = random.Random(seed)
+    words = [["".join(rng.choices("abcdefgh", k=5)) for _ in range(2)] for _ in range(300)]
+    rows = []
+    for i in range(count):
+        text = [w[at % 5 == 2 and rng.random() < 0.3] for at, w in enumerate(words)]
+        rows.append((i, " ".join(text), None, None, 0))
+        if i % 40 == 0:
+            rows.append((1000 + i, " ".join([*text[:-1], "last"]), None, None, 0))
+    return rows
+
+
+def test_versions_are_compared_if_their_sketches_allow_it(spark, monkeypatch):
+    rows, counts = versions(), sizes_of_tables(monkeypatch)
+    got = JaccardJoin(brute.table(spark, rows), 5, 80).documents().select("doc_id", "n_shingles", "component_id").collect()
+    assert brute.ordered(got) == brute.ordered(grouped(rows, 5, 80))
+    assert counts["rare-lists"] > 200 and counts["pairs"] < 50, counts
+
+
+@pytest.mark.parametrize(("few", "many"), [(1, 1), (1, 1024)])
+def test_lists_of_versions_by_hubs_and_sketches_give_the_same(spark, monkeypatch, few, many):
+    monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "MANY", many)
+    monkeypatch.setattr(jaccard, "PART_SHINGLES", 2000)
+    rows = versions(few + many, 60) + near_rows(30)
+    got = JaccardJoin(brute.table(spark, rows), 5, 80).documents().select("doc_id", "n_shingles", "component_id").collect()
+    assert brute.ordered(got) == brute.ordered(grouped(rows, 5, 80))
+
+
+@pytest.mark.parametrize("percent", [90, 80])
+def test_rarest_shingles_meet_every_pair_at_the_threshold(percent):
+    """Sets that share shingles widely: any two that link share one of their first."""
+    rng = random.Random(percent)
+    pool = [rng.getrandbits(64) for _ in range(60)]
+    sets = [set(rng.sample(pool, rng.randrange(2, 40))) for _ in range(60)]
+    for base in sets[:40]:
+        other = set(base)
+        for _ in range(rng.randrange(1, 5)):
+            other ^= {rng.choice(pool)} if rng.random() < 0.7 else {rng.getrandbits(64)}
+        sets.append(other or base)
+    sizes = np.array([len(x) for x in sets])
+    tokens = np.array([x for some in sets for x in sorted(some)], np.uint64)
+    blocks = jaccard._blocks(tokens % np.uint64(4), (tokens >> np.uint64(32)).astype(np.uint32), np.repeat(np.arange(len(sets)), sizes))
+    blocks = pa.table(blocks)
+    shared = pa.concat_tables([jaccard._repeated(blocks.filter(pc.equal(blocks["part"], k))) for k in range(4)])
+    first = jaccard._rarest(shared.append_column("size", pa.array(sizes[shared["node"].to_numpy()])), percent)
+    met = set()
+    for k in range(4):
+        some = first.filter(pc.equal(first["part"], k))
+        if some.num_rows:
+            lists = jaccard._lists(some, 1 << 20)
+            met |= set(zip(lists["u"].to_pylist(), lists["v"].to_pylist(), strict=True))
+    linked = 0
+    for v in range(len(sets)):
+        for u in range(v):
+            if sets[u] != sets[v] and 100 * len(sets[u] & sets[v]) >= percent * len(sets[u] | sets[v]):
+                linked += 1
+                assert (u, v) in met, (sizes[u], sizes[v])
+    assert linked > 5
